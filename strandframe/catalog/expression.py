@@ -1 +1,161 @@
-"""Registered queries."""
+"""Registered queries on expression counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandframe.catalog import tails
+from strandframe.catalog.base import query
+from strandframe.operators import expression as E
+
+_SF = """w AS (SELECT gene, avg(ln(n)) AS lg FROM counts WHERE n > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample) FROM counts)),
+    sf AS (SELECT sample, exp(quantile_cont(ln(n) - lg, 0.5)) AS size_factor FROM counts JOIN w USING (gene) GROUP BY sample)"""
+
+
+@query("size_factors", f"WITH {_SF} SELECT sample, round(size_factor, 6) AS size_factor FROM sf", ["counts"])
+def _(x):
+    return E.size_factors(x.counts).withColumn("size_factor", F.round("size_factor", 6))
+
+
+@query("normalised_counts", f"WITH {_SF} SELECT gene, sample, n, round(n / size_factor, 6) AS norm FROM counts JOIN sf USING (sample)", ["counts"])
+def _(x):
+    return E.normalised_counts(x.counts).select("gene", "sample", "n", F.round("norm", 6).alias("norm"))
+
+
+@query("counts_per_million", "SELECT gene, sample, round(n * 1e6 / sum(n) OVER (PARTITION BY sample), 6) AS cpm FROM counts", ["counts"])
+def _(x):
+    return E.counts_per_million(x.counts).select("gene", "sample", F.round("cpm", 6).alias("cpm"))
+
+
+@query(
+    "filter_by_expression",
+    """WITH c AS (SELECT gene, n * 1e6 / sum(n) OVER (PARTITION BY sample) AS cpm FROM counts), k AS (SELECT gene FROM c WHERE cpm >= 450 GROUP BY gene HAVING count(*) >= 4)
+    SELECT gene, sample, n FROM counts WHERE gene IN (SELECT gene FROM k)""",
+    ["counts"],
+)
+def _(x):
+    return E.filter_by_expression(x.counts, 450, 4).select("gene", "sample", "n")
+
+
+@query(
+    "tmm_factors",
+    """WITH lib AS (SELECT sample, sum(n)::DOUBLE AS lib FROM counts GROUP BY sample), b AS (SELECT c.*, lib FROM counts c JOIN lib USING (sample) WHERE n > 0),
+    r AS (SELECT gene, n AS nr, lib AS lr FROM b WHERE sample = 0),
+    s AS (SELECT sample, gene, log2((n / lib) / (nr / lr)) AS m, log2((n / lib) * (nr / lr)) / 2 AS a, (lib - n) / (lib * n) + (lr - nr) / (lr * nr) AS v FROM b JOIN r USING (gene)),
+    k AS (SELECT *, count(*) OVER (PARTITION BY sample) AS g, rank() OVER (PARTITION BY sample ORDER BY m) + (count(*) OVER (PARTITION BY sample, m) - 1) / 2.0 AS rm,
+        rank() OVER (PARTITION BY sample ORDER BY a) + (count(*) OVER (PARTITION BY sample, a) - 1) / 2.0 AS ra FROM s),
+    f AS (SELECT sample, sum(m / v) / sum(1 / v) AS l FROM k WHERE rm BETWEEN floor(g * 0.3) + 1 AND g - floor(g * 0.3) AND ra BETWEEN floor(g * 0.05) + 1 AND g - floor(g * 0.05) AND v > 0 GROUP BY sample),
+    a AS (SELECT sample, coalesce(l, 0) AS l FROM lib LEFT JOIN f USING (sample))
+    SELECT sample, round(pow(2, l - (SELECT avg(l) FROM a)), 5) AS tmm_factor FROM a""",
+    ["counts"],
+)
+def _(x):
+    return E.tmm_factors(x.counts, 0).withColumn("tmm_factor", F.round("tmm_factor", 5))
+
+
+_DE = f"""{_SF}, nm AS (SELECT gene, condition, n / size_factor AS x FROM counts JOIN sf USING (sample) JOIN meta USING (sample)),
+    k AS (SELECT count(*) FILTER (condition = 'trt') AS nt, count(*) FILTER (condition = 'ctrl') AS nc FROM meta),
+    s AS (SELECT gene, coalesce(sum(x) FILTER (condition = 'trt'), 0) AS st, coalesce(sum(x) FILTER (condition = 'ctrl'), 0) AS sc, coalesce(sum(x * x) FILTER (condition = 'trt'), 0) AS stt, coalesce(sum(x * x) FILTER (condition = 'ctrl'), 0) AS scc FROM nm GROUP BY gene),
+    g AS (SELECT *, st / nt AS mt, sc / nc AS mc, (st + sc) / (nt + nc) AS bm FROM s, k),
+    d AS (SELECT *, greatest(1e-8, ((stt - st * mt + scc - sc * mc) / (nt + nc - 2) - bm) / (bm * bm)) AS disp FROM g WHERE bm >= 10),
+    t AS (SELECT regr_slope(disp, 1 / bm) AS a1, regr_intercept(disp, 1 / bm) AS a0 FROM d),
+    e AS (SELECT *, exp((ln(disp) + ln(greatest(1e-8, a0 + a1 / bm))) / 2) AS dispersion FROM d, t),
+    z AS (SELECT gene, bm AS "baseMean", ln((mt + 0.5) / (mc + 0.5)) / ln(2) AS lfc, sqrt(1 / (nt * (mt + 0.5)) + dispersion / nt + 1 / (nc * (mc + 0.5)) + dispersion / nc) / ln(2) AS se, dispersion FROM e),
+    wt AS (SELECT *, lfc / se AS stat, {tails.normal_two_sided("lfc / se", 1200)} AS p FROM z),
+    q0 AS (SELECT *, rank() OVER (ORDER BY p DESC) AS dr, count(*) OVER () AS m FROM wt),
+    de AS (SELECT *, least(1.0, min(p * m / (m - dr + 1)) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS padj FROM q0)"""
+
+
+def _de(x):
+    return E.de_two_group(x.counts, x.meta, "trt", "ctrl")
+
+
+@query(
+    "de_two_group",
+    f"""WITH {_DE} SELECT gene, round("baseMean", 4) AS "baseMean", round(lfc, 5) AS "log2FoldChange", round(se, 5) AS "lfcSE", round(dispersion, 5) AS dispersion, round(stat, 5) AS stat, round(p, 5) AS pvalue, round(padj, 5) AS padj FROM de""",
+    ["counts", "meta"],
+)
+def _(x):
+    return _de(x).select("gene", F.round("baseMean", 4).alias("baseMean"), *[F.round(c, 5).alias(c) for c in ("log2FoldChange", "lfcSE", "dispersion", "stat", "pvalue", "padj")])
+
+
+@query("shrink_fold_changes", f"WITH {_DE}, pr AS (SELECT quantile_cont(abs(lfc), 0.975) / 1.959963984540054 AS sd FROM de) SELECT gene, round(lfc * sd * sd / (sd * sd + se * se), 5) AS lfc_shrunk FROM de, pr", ["counts", "meta"])
+def _(x):
+    return E.shrink_fold_changes(_de(x)).select("gene", F.round("lfc_shrunk", 5).alias("lfc_shrunk"))
+
+
+@query(
+    "de_summary",
+    f"""WITH {_DE} SELECT count(*) AS n_tested, count(*) FILTER (padj < 0.5) AS n_significant, count(*) FILTER (padj < 0.5 AND lfc > 0.5) AS n_up, count(*) FILTER (padj < 0.5 AND lfc < -0.5) AS n_down FROM de""",
+    ["counts", "meta"],
+)
+def _(x):
+    return E.de_summary(_de(x), 0.5, 0.5)
+
+
+@query(
+    "volcano",
+    f"""WITH {_DE} SELECT gene, round(lfc, 5) AS "log2FoldChange", round(-log10(greatest(padj, 1e-300)), 4) AS neg_log10_padj, round(log10("baseMean" + 1), 5) AS log10_mean,
+    CASE WHEN padj < 0.5 AND lfc > 0.5 THEN 'Up' WHEN padj < 0.5 AND lfc < -0.5 THEN 'Down' ELSE 'NS' END AS direction FROM de""",
+    ["counts", "meta"],
+)
+def _(x):
+    v = E.volcano(_de(x), 0.5, 0.5)
+    return v.select("gene", F.round("log2FoldChange", 5).alias("log2FoldChange"), F.round("neg_log10_padj", 4).alias("neg_log10_padj"), F.round("log10_mean", 5).alias("log10_mean"), "direction")
+
+
+@query(
+    "row_zscore",
+    """WITH z AS (SELECT gene, sample, n, avg(n) OVER w AS m, stddev_samp(n) OVER w AS s FROM counts WINDOW w AS (PARTITION BY gene))
+    SELECT gene, sample, CASE WHEN s > 0 THEN round((n - m) / s, 6) ELSE 0.0 END AS z FROM z""",
+    ["counts"],
+)
+def _(x):
+    return E.row_zscore(x.counts, "n").withColumn("z", F.round("z", 6))
+
+
+def _fit(x, reduced=False):
+    terms = {"batch": (F.col("batch") == "b1")}
+    if not reduced:
+        terms["condition"] = F.col("condition") == "trt"
+    logged = E.counts_per_million(x.counts).withColumn("y", F.log2(F.col("cpm") + 1))
+    return E.linear_model(logged, x.meta, terms, "y")
+
+
+_LM = """l AS (SELECT gene, sample, log2(n * 1e6 / sum(n) OVER (PARTITION BY sample) + 1) AS y FROM counts),
+    d AS (SELECT gene, y, (batch = 'b1')::INT::DOUBLE AS b, (condition = 'trt')::INT::DOUBLE AS c FROM l JOIN meta USING (sample)),
+    m AS (SELECT gene, count(*) AS n, avg(y) AS my, avg(b) AS mb, avg(c) AS mc, covar_pop(y, b) AS yb, covar_pop(y, c) AS yc, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(b, c) AS bc, var_pop(y) AS yy FROM d GROUP BY gene HAVING count(*) = 6),
+    f AS (SELECT *, (yb * cc - yc * bc) / (bb * cc - bc * bc) AS beta_b, (yc * bb - yb * bc) / (bb * cc - bc * bc) AS beta_c FROM m)"""
+
+
+@query("linear_model", f"WITH {_LM} SELECT gene, round(beta_b, 5) AS batch, round(beta_c, 5) AS condition, round(n * (yy - beta_b * yb - beta_c * yc), 5) AS rss FROM f", ["counts", "meta"])
+def _(x):
+    fit = _fit(x).where("df_residual = 3")
+    return fit.groupBy("gene").agg(
+        *[F.round(F.max(F.when(F.col("term") == t, F.col("estimate"))), 5).alias(t) for t in ("batch", "condition")], F.round(F.max("rss"), 5).alias("rss")
+    )
+
+
+@query("moderated_t")
+def _(x):
+    return E.moderated_t(_fit(x), ["condition"])
+
+
+@query("nested_model_test")
+def _(x):
+    return E.nested_model_test(_fit(x), _fit(x, reduced=True))
+
+
+@query(
+    "exact_two_sample",
+    """WITH l AS (SELECT sum(n) FILTER (sample = 0) AS la, sum(n) FILTER (sample = 3) AS lb FROM counts),
+    g AS (SELECT gene, coalesce(sum(n) FILTER (sample = 0), 0)::BIGINT AS xa, coalesce(sum(n) FILTER (sample = 3), 0)::BIGINT AS xb FROM counts WHERE sample IN (0, 3) GROUP BY gene),
+    k AS (SELECT gene, xa, xb, la, lb, la / (la + lb) AS s, unnest(range(0, xa + xb + 1)) AS k FROM g, l WHERE xa + xb > 0),
+    p AS (SELECT *, exp(lgamma(xa + xb + 1) - lgamma(k + 1) - lgamma(xa + xb - k + 1) + k * ln(s) + (xa + xb - k) * ln(1 - s)) AS p FROM k)
+    SELECT gene, any_value(xa) AS xa, any_value(xb) AS xb, round(any_value(log2(((xa + 0.5) / la) / ((xb + 0.5) / lb))), 5) AS "log2FoldChange",
+    round(least(1.0, 2 * least(sum(p) FILTER (k >= xa), sum(p) FILTER (k <= xa))), 5) AS p FROM p GROUP BY gene""",
+    ["counts"],
+)
+def _(x):
+    r = E.exact_two_sample(x.counts, 0, 3)
+    return r.select("gene", "xa", "xb", F.round("log2FoldChange", 5).alias("log2FoldChange"), F.round("p", 5).alias("p"))

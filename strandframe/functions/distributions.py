@@ -73,7 +73,9 @@ def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
             s["a"].alias("a"), s["b"].alias("b"), s["x"].alias("x"), c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"), coef.alias("e")
         )
 
-    return F.aggregate(F.sequence(F.lit(2), F.lit(2 * _STEPS)), start, step, lambda s: s["h"])
+    # the fraction settles after O(sqrt(max(a, b))) terms
+    terms = 2 * F.ceil(20 + 4 * F.sqrt(F.greatest(a, b))).cast("int")
+    return F.aggregate(F.sequence(F.lit(2), terms), start, step, lambda s: s["h"])
 
 
 def beta_inc(a, b, x) -> Column:

@@ -327,13 +327,19 @@ def bonferroni(df: DataFrame, p: str = "p", by: Sequence[str] = (), out: str = "
     return joined.withColumn(out, F.least(F.lit(1.0), F.col(p) * F.col("_m"))).drop("_m")
 
 
+def _p_block(p: Column) -> Column:
+    """Block of a probability: even steps above 1/4096, logarithmic ones below."""
+    small = 1024 - F.least(F.lit(1023), F.floor(-F.log(F.greatest(p, F.lit(1e-300)))))
+    return F.when(p >= 1 / 4096, 1024 + F.floor(p * 4096)).otherwise(small).cast("int")
+
+
 def bh_fdr(df: DataFrame, p: str = "p", by: Sequence[str] = (), out: str = "q") -> DataFrame:
     """Benjamini-Hochberg: min over p' >= p of p' * m / rank(p'), at most 1.
 
     Works on distinct p values in blocks, so millions of tests are no single task.
     """
     by = list(by)
-    pre = scan.tallied(df, by, p)
+    pre = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("_n")).withColumn("_block", _p_block(F.col(p)))
     ranked = scan.running(pre, by, [p], "_block", [("_rank", "_n", "sum", "upto"), ("_rest", "_n", "sum", "after")])
     raw = ranked.withColumn("_raw", F.col(p) * (F.col("_rank") + F.col("_rest")) / F.col("_rank"))
     best = scan.running(raw.select(*by, p, "_block", "_raw"), by, [p], "_block", [("_best", "_raw", "min", "onward")])

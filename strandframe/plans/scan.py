@@ -20,6 +20,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandframe.plans.storage import cut_lineage
+
 N_BLOCKS = 256
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -98,6 +100,22 @@ def running(
     return result
 
 
+def row_positions(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """Global one-based position of every row in ``order``.
+
+    Rows are range-partitioned, stored once so that the ranges stay fixed, and
+    numbered inside their range after an offset per range is known.
+    """
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per range
+    before = Window.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    numbered = ranged.withColumn("_i", inside).join(offsets, "_range")
+    return numbered.withColumn(out, F.col("_off") + F.col("_i")).drop("_range", "_i", "_off")
+
+
 def tallied(df: DataFrame, keys: Sequence[str], value: str, n_blocks: int = N_BLOCKS) -> DataFrame:
     """Distinct values per group with their count ``_n`` and block."""
     pre = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
