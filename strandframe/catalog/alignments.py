@@ -1 +1,207 @@
-"""Registered queries."""
+"""Registered queries on alignments, motifs and trees."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from strandframe.catalog.base import query
+from strandframe.catalog.sequences import CHARS, _kmers_sql
+from strandframe.operators import alignment as A
+from strandframe.operators import phylogeny as P
+
+
+def _turn_pairs(x):
+    a = x.turns.select((F.col("construct") * 1000 + F.col("ord")).alias("pair_id"), "construct", "ord", F.col("seq").alias("a"))
+    b = x.turns.select("construct", (F.col("ord") - 1).alias("ord"), F.col("seq").alias("b"))
+    return a.join(b, ["construct", "ord"]).select("pair_id", "a", "b")
+
+
+@query("pairwise_align")
+def _(x):
+    return A.pairwise_align(_turn_pairs(x))
+
+
+@query("local_align")
+def _(x):
+    return A.pairwise_align(_turn_pairs(x), mode="local")
+
+
+_ROWPAIRS = """rp AS (SELECT a.seq_id AS pair_id, a.aligned AS a, b.aligned AS b FROM msa a JOIN msa b ON b.seq_id = a.seq_id + 1),
+    rc AS (SELECT pair_id, unnest(string_split(a, '')) AS a, unnest(string_split(b, '')) AS b, unnest(range(1, length(a) + 1)) AS pos FROM rp)"""
+
+
+def _row_pairs(x):
+    return x.msa.select(F.col("seq_id").alias("pair_id"), F.col("aligned").alias("a")).join(x.msa.select((F.col("seq_id") - 1).alias("pair_id"), F.col("aligned").alias("b")), "pair_id")
+
+
+@query(
+    "identity_percent",
+    f"WITH {_ROWPAIRS} SELECT pair_id, round(count(*) FILTER (a = b AND a <> '-') / least(count(*) FILTER (a <> '-'), count(*) FILTER (b <> '-'))::DOUBLE * 100, 2) AS identity_pct FROM rc GROUP BY pair_id",
+    ["msa"],
+)
+def _(x):
+    return A.identity_percent(_row_pairs(x))
+
+
+@query("diff_positions", f"WITH {_ROWPAIRS} SELECT pair_id, pos, a, b FROM rc WHERE a <> b", ["msa"])
+def _(x):
+    return A.diff_positions(_row_pairs(x))
+
+
+@query(
+    "seed_candidates",
+    f"""WITH chars AS (SELECT construct * 1000 + ord AS seq_id, unnest(string_split(seq, '')) AS ch, unnest(range(length(seq))) AS pos FROM turns WHERE length(seq) > 0),
+    k AS (SELECT DISTINCT seq_id, kmer FROM ({_kmers_sql(8)}) q), n AS (SELECT seq_id, count(*) AS n FROM k GROUP BY 1)
+    SELECT a.seq_id AS query, b.seq_id AS subject, count(*) AS shared, any_value(n.n) AS n_kmers FROM k a JOIN k b USING (kmer) JOIN n ON n.seq_id = a.seq_id GROUP BY a.seq_id, b.seq_id HAVING count(*) >= ceil(any_value(n.n) * 0.5)""",
+    ["turns"],
+)
+def _(x):
+    t = x.turns.select((F.col("construct") * 1000 + F.col("ord")).alias("seq_id"), "seq")
+    return A.seed_candidates(t, t, k=8, min_share=0.5)
+
+
+_COLS = """cr AS (SELECT aln_id, seq_id, unnest(string_split(aligned, '')) AS ch, unnest(range(length(aligned))) AS col FROM msa),
+    cc AS (SELECT aln_id, col, ch, count(*) AS n, min(seq_id) AS f FROM cr GROUP BY ALL),
+    cb AS (SELECT aln_id, col, coalesce(arg_min(ch, (-n, f)) FILTER (ch <> '-'), '-') AS letter, count(*) FILTER (ch <> '-') = 1 AS conserved FROM cc GROUP BY ALL)"""
+
+
+@query("msa_pssm", f"WITH {_COLS} SELECT aln_id, col, ch, n FROM cc", ["msa"])
+def _(x):
+    return A.msa_pssm(x.msa)
+
+
+@query(
+    "msa_conservation",
+    f"WITH {_COLS} SELECT aln_id, (SELECT count(*) FROM msa m WHERE m.aln_id = cb.aln_id) AS sequences, count(*) AS length, round(count(*) FILTER (conserved) / count(*)::DOUBLE * 100, 2) AS conserved_pct FROM cb GROUP BY aln_id",
+    ["msa"],
+)
+def _(x):
+    return A.msa_conservation(x.msa)
+
+
+@query("msa_consensus", f"WITH {_COLS} SELECT aln_id, string_agg(letter, '' ORDER BY col) AS consensus FROM cb GROUP BY aln_id", ["msa"])
+def _(x):
+    return A.msa_consensus(x.msa)
+
+
+_COARSE = "cm AS (SELECT seq_id // 2 AS aln_id, seq_id, translate(aligned, 'ACGT-', 'AAGG-') AS aligned FROM msa)"
+
+
+@query(
+    "conserved_runs",
+    f"WITH {_COARSE}, {_COLS.replace('FROM msa', 'FROM cm')}, r AS (SELECT aln_id, col, col - row_number() OVER (PARTITION BY aln_id ORDER BY col) AS g FROM cb WHERE conserved) SELECT aln_id, min(col) + 1 AS start, max(col) + 1 AS \"end\", count(*) AS length FROM r GROUP BY aln_id, g HAVING count(*) >= 5 AND max(col) < 63",
+    ["msa"],
+)
+def _(x):
+    coarse = x.msa.select(F.floor(F.col("seq_id") / 2).alias("aln_id"), "seq_id", F.translate("aligned", "ACGT-", "AAGG-").alias("aligned"))
+    return A.conserved_runs(coarse, 5)
+
+
+@query(
+    "identity_distance",
+    """WITH b AS (SELECT seq_id // 20 AS aln_id, seq_id, aligned FROM msa), p AS (SELECT x.aln_id, x.seq_id AS a, y.seq_id AS b, x.aligned AS xa, y.aligned AS ya FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.seq_id < y.seq_id)
+    SELECT aln_id, a, b, round(1 - len(list_filter(range(1, 65), lambda i: xa[i] = ya[i])) / 64.0, 6)::DOUBLE AS distance FROM p""",
+    ["msa"],
+)
+def _(x):
+    blocks = x.msa.withColumn("aln_id", F.floor(F.col("seq_id") / 20))
+    return A.identity_distance(blocks).withColumn("distance", F.round("distance", 6))
+
+
+_INST = "inst AS (SELECT aln_id AS motif_id, translate(aligned, '-', 'A') AS instance FROM msa)"
+_MOTIF = f"""{_INST}, ic AS (SELECT motif_id, unnest(string_split(instance, '')) AS letter, unnest(range(64)) AS pos FROM inst), mn AS (SELECT motif_id, pos, letter, count(*) AS c FROM ic GROUP BY ALL),
+    mf AS (SELECT g.motif_id, g.pos, g.letter, coalesce(c, 0) AS count, (coalesce(c, 0) + 0.5) / (sum(coalesce(c, 0)) OVER (PARTITION BY g.motif_id, g.pos) + 2) AS probability
+        FROM (SELECT motif_id, pos, unnest(['A', 'C', 'G', 'T']) AS letter FROM (SELECT DISTINCT motif_id, pos FROM mn) q) g LEFT JOIN mn USING (motif_id, pos, letter))"""
+
+
+def _instances(x):
+    return x.msa.select(F.col("aln_id").alias("motif_id"), F.translate("aligned", "-", "A").alias("instance"))
+
+
+@query("motif_build", f"WITH {_MOTIF} SELECT motif_id, pos, letter, count, round(probability, 6) AS probability, round(log2(probability / 0.25), 6) AS weight FROM mf", ["msa"])
+def _(x):
+    m = A.motif_build(_instances(x))
+    return m.select("motif_id", "pos", "letter", "count", F.round("probability", 6).alias("probability"), F.round("weight", 6).alias("weight"))
+
+
+@query("motif_consensus", f"WITH {_MOTIF}, b AS (SELECT motif_id, pos, arg_min(letter, (-count, letter)) AS l FROM mf GROUP BY ALL) SELECT motif_id, string_agg(l, '' ORDER BY pos) AS consensus FROM b GROUP BY motif_id", ["msa"])
+def _(x):
+    return A.motif_consensus(A.motif_build(_instances(x)))
+
+
+@query("motif_reverse_complement", f"WITH {_MOTIF} SELECT motif_id, 63 - pos AS pos, translate(letter, 'ACGT', 'TGCA') AS letter, count FROM mf", ["msa"])
+def _(x):
+    return A.motif_reverse_complement(A.motif_build(_instances(x))).select("motif_id", "pos", "letter", "count")
+
+
+@query(
+    "motif_scan",
+    f"""WITH {_MOTIF}, m AS (SELECT motif_id, pos - 8 AS p, letter, log2(probability / 0.25) AS w FROM mf WHERE pos BETWEEN 8 AND 15), chars AS ({CHARS}),
+    both2 AS (SELECT motif_id, '+' AS strand, p, letter, w FROM m UNION ALL SELECT motif_id, '-', 7 - p, translate(letter, 'ACGT', 'TGCA'), w FROM m),
+    s AS (SELECT motif_id, seq_id, strand, pos - p AS pos, sum(w) AS s, count(*) AS n FROM chars JOIN both2 ON ch = letter GROUP BY ALL)
+    SELECT motif_id, seq_id, pos, strand, round(s, 2) AS score FROM s WHERE n = 8 AND pos >= 0 AND s >= 4.0""",
+    ["msa", "seqs"],
+)
+def _(x):
+    core = A.motif_build(_instances(x)).where("pos BETWEEN 8 AND 15").withColumn("pos", F.col("pos") - 8)
+    return A.motif_scan(x.seqs, core, 4.0, both_strands=True)
+
+
+@query("terminals", "SELECT t1.child AS leaf, blen FROM tree t1 WHERE NOT EXISTS (SELECT 1 FROM tree p WHERE p.parent = t1.child)", ["tree"])
+def _(x):
+    return P.terminals(x.tree).select(F.col("child").alias("leaf"), "blen")
+
+
+@query("tree_length", "SELECT tree_id, round(sum(blen), 6) AS total_length, count(*) AS n_edges FROM tree GROUP BY tree_id", ["tree"])
+def _(x):
+    return P.tree_length(x.tree).withColumn("total_length", F.round("total_length", 6))
+
+
+_DEPTH = """dp AS (SELECT 'root' AS node, 0 AS level, 0.0::DOUBLE AS depth UNION ALL SELECT child, level + 1, depth + blen FROM tree JOIN dp ON parent = node)"""
+
+
+@query("tree_depths", f"WITH {_DEPTH} SELECT node, level, round(depth, 6) AS depth FROM dp", ["tree"])
+def _(x):
+    return P.tree_depths(x.tree).select("node", "level", F.round("depth", 6).alias("depth"))
+
+
+_ANC = f"""{_DEPTH}, an AS (SELECT child AS node, child AS anc FROM tree UNION ALL SELECT node, parent FROM an JOIN tree ON child = anc),
+    pr AS (SELECT concat('c', o_custkey) AS a, concat('c', (o_custkey + o_orderkey) % (SELECT count(*) FROM customer)) AS b FROM orders)"""
+
+
+@query(
+    "patristic_distance",
+    f"""WITH {_ANC}, u AS (SELECT DISTINCT a, b FROM pr WHERE a <> b), c AS (SELECT u.a, u.b, x.anc, d.depth AS dm, d.level FROM u JOIN an x ON x.node = a JOIN an y ON y.node = b AND y.anc = x.anc JOIN dp d ON d.node = x.anc),
+    m AS (SELECT a, b, arg_max(anc, level) AS mrca, max(dm) AS dm FROM c GROUP BY ALL)
+    SELECT a, b, mrca, round(p.depth + q.depth - 2 * dm, 6) AS distance FROM m JOIN dp p ON p.node = a JOIN dp q ON q.node = b""",
+    ["tree"],
+)
+def _(x):
+    n = x.table("customer").agg(F.count(F.lit(1)).alias("n"))
+    o = x.table("orders").join(F.broadcast(n), F.lit(True))
+    pairs = o.select(F.lit("t1").alias("tree_id"), F.concat(F.lit("c"), F.col("o_custkey")).alias("a"), F.concat(F.lit("c"), (F.col("o_custkey") + F.col("o_orderkey")) % F.col("n")).alias("b")).where("a <> b").distinct()
+    return P.patristic_distance(x.tree, pairs).select("a", "b", "mrca", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "prune_tree",
+    """WITH k AS (SELECT concat('c', c_custkey) AS leaf FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey < 12 AND c_acctbal > 8500),
+    up AS (SELECT leaf AS node FROM k UNION SELECT parent FROM tree JOIN up ON child = node), e AS (SELECT child, parent, blen FROM tree WHERE child IN (SELECT node FROM up)),
+    deg AS (SELECT parent, count(*) AS n FROM e GROUP BY parent), keepn AS (SELECT DISTINCT child AS node FROM e WHERE child IN (SELECT leaf FROM k) UNION SELECT parent FROM deg WHERE n > 1 UNION SELECT 'root'),
+    w AS (SELECT child, parent AS up_to, blen FROM e WHERE child IN (SELECT node FROM keepn) UNION ALL SELECT w.child, e.parent, w.blen + e.blen FROM w JOIN e ON e.child = w.up_to WHERE w.up_to NOT IN (SELECT node FROM keepn))
+    SELECT child, up_to AS parent, round(blen, 6) AS blen FROM w WHERE up_to IN (SELECT node FROM keepn)""",
+    ["tree"],
+)
+def _(x):
+    keep = x.table("customer").where("c_mktsegment = 'BUILDING' AND c_nationkey < 12 AND c_acctbal > 8500").select(F.lit("t1").alias("tree_id"), F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+    return P.prune(x.tree, keep).select("child", "parent", F.round("blen", 6).alias("blen"))
+
+
+@query(
+    "reroot_tree",
+    """WITH pa AS (SELECT 'n7' AS node UNION ALL SELECT parent FROM tree JOIN pa ON child = node)
+    SELECT CASE WHEN child IN (SELECT node FROM pa) THEN parent ELSE child END AS child, CASE WHEN child IN (SELECT node FROM pa) THEN child ELSE parent END AS parent, blen FROM tree""",
+    ["tree"],
+)
+def _(x):
+    return P.reroot(x.tree, "n7").select("child", "parent", "blen")
