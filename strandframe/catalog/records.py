@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandframe.catalog.base import query
 from strandframe.operators import literature as W
 from strandframe.operators import oplog as O
+from strandframe.streaming.oplog import usage_by_window
 
 _WORD = r"regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}]){w}($|[^\p{{L}}\p{{N}}])')"
 
@@ -131,3 +132,13 @@ def _(x):
     code = F.concat(F.lit("from Bio import "), F.col("event_type"), F.lit("\nBio."), F.col("event_type"), F.lit(".run(1)\nBio."), F.col("event_type"), F.lit(".run (2)\n"))
     err = F.concat(F.lit("Traceback (most recent call last):\nKeyError: x\nValueError: bad "), F.col("event_type"), F.lit(" "), F.col("user_id"), F.lit("\n"))
     return e.select("event_id", O.code_hash(F.concat(F.lit("from Bio import X"), F.col("event_id"))).alias("code_hash"), O.code_signature(code).alias("signature"), O.error_signature(err).alias("error"))
+
+
+@query(
+    "usage_by_window",
+    """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, op, count(*) AS calls, count(*) FILTER (NOT ok) AS failures, round(avg(duration_ms), 6) AS mean_ms FROM oplog GROUP BY ALL""",
+    ["oplog"],
+)
+def _(x):
+    u = usage_by_window(x.oplog)
+    return u.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "op", "calls", "failures", F.round("mean_ms", 6).alias("mean_ms"))

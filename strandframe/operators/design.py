@@ -22,7 +22,6 @@ def primer_pairs(
     lo, hi = lengths
     text = F.upper(F.replace("seq", F.lit(" "), F.lit("")))
     n = F.length("_s")
-    size = F.least(n, F.lit(product_size + starts))
     base = df.select("seq_id", text.alias("_s")).where((n >= 20) & ~F.col("_s").rlike("[^ACGTRYSWKMBDHVN]"))
     n_starts = F.least(F.lit(starts), n - hi)
     # the only letters a primer can touch: the head and the zone around the product end

@@ -50,7 +50,7 @@ def ora(genes: DataFrame, sets: DataFrame, universe: DataFrame, min_overlap: int
     ).where(F.col("overlap_count") >= min_overlap)
     j = per.join(F.broadcast(totals), F.lit(True))
     hits, picks, size, everything = F.col("overlap_count"), F.col("_picked"), F.col("set_size"), F.col("_universe")
-    out = j.withColumn("p_value", _hyper_upper(hits, picks, size, everything))
+    out = scan.cut_lineage(j.withColumn("p_value", _hyper_upper(hits, picks, size, everything)))
     out = out.withColumn("odds_ratio", hits * (everything - size - picks + hits) / F.nullif((size - hits) * (picks - hits), F.lit(0)).cast("double"))
     out = out.withColumn("combined_score", -F.log(F.greatest("p_value", F.lit(1e-300))) * F.col("odds_ratio")).drop("_universe", "_picked")
     adjusted = bh_fdr(out, "p_value", by=keys, out="adjusted_p_value")
