@@ -64,23 +64,23 @@ def codons(seq: ColumnOrName) -> Column:
     return F.regexp_extract_all(_c(seq), F.lit("(?s)..."), F.lit(0))
 
 
-def translate_codons(codon_array: Column, table: int = 1) -> Column:
-    """Residue letters of an array of upper-case codons (T, not U)."""
-    lookup = F.split(F.lit(T.degenerate_residues(table)), "")
-
-    def place(codon: Column, i: int) -> Column:
-        return F.instr(F.lit(T.IUPAC_ORDER), F.substring(codon, i, 1))
-
-    def one(codon: Column) -> Column:
-        known = F.get(lookup, place(codon, 1) * 256 + place(codon, 2) * 16 + place(codon, 3))
-        return F.when(codon == "---", "-").otherwise(known)
+def amino_array(seq: Column, table: int = 1) -> Column:
+    """Residue letter of every whole codon of an upper-case text (T, not U).
 
-    return F.transform(codon_array, one)
+    Letters become the hexadecimal digit of their base set, so a codon is a
+    three-digit place in the table of all base-set triples.
+    """
+    lookup = F.split(F.lit(T.degenerate_residues(table)), "")
+    digits = F.translate(F.regexp_replace(seq, f"[^{T.IUPAC_ORDER}]", "0"), T.IUPAC_ORDER, "123456789ABCDEF")
+    plain = F.transform(codons(digits), lambda c: F.get(lookup, F.conv(c, 16, 10).cast("int")))
+    # only a text with gaps has to tell a pure gap codon from an unknown one
+    gapped = F.zip_with(codons(seq), plain, lambda c, aa: F.when(c == "---", "-").otherwise(aa))
+    return F.when(seq.contains("---"), gapped).otherwise(plain)
 
 
 def translate(seq: ColumnOrName, table: int = 1, to_stop: bool = False) -> Column:
     """Protein text; ``*`` for stops, ``X`` where a codon is not determined."""
-    protein = F.array_join(translate_codons(codons(F.translate(F.upper(_c(seq)), "U", "T")), table), "")
+    protein = F.array_join(amino_array(F.translate(F.upper(_c(seq)), "U", "T"), table), "")
     return F.split_part(protein, F.lit("*"), F.lit(1)) if to_stop else protein
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,26 +211,42 @@ def motif_scan(df: DataFrame, motif: DataFrame, threshold: float, both_strands:
             strands.append(("-", {(width - 1 - p, ch.translate(flip)): w for (p, ch), w in weights.items()}))
         by_width.setdefault(width, []).extend((motif_id, strand, table) for strand, table in strands)
 
-    step = 4
-
-    def total(table: dict, width: int) -> Column:
-        """Sum of one table lookup per piece of four letters."""
-        score: Column = F.lit(0.0)
-        for at in range(0, width, step):
-            span = range(at, min(at + step, width))
-            sums = [sum(table[(p, ch)] for p, ch in zip(span, word)) for word in product("ACGT", repeat=len(span))]
-            listed = F.split(F.lit(",".join(map(repr, sums))), ",").cast("array<double>")
-            score = score + F.get(listed, F.col(f"_w{at}"))
-        return score
-
     out = None
     for width, tables in by_width.items():
-        words = tiles.kmer_rows(df.select("seq_id", F.translate(F.upper("seq"), "ACGT", "0123").alias("seq")), width).where(F.col("kmer").rlike("^[0-3]+$"))
-        coded = words.select("seq_id", "pos", *[F.conv(F.substring("kmer", at + 1, step), 4, 10).cast("int").alias(f"_w{at}") for at in range(0, width, step)])
-        scored = coded.select("seq_id", "pos", *[total(t, width).alias(f"_s{i}") for i, (_, _, t) in enumerate(tables)])
-        peak = F.greatest(*[F.col(f"_s{i}") for i in range(len(tables))]) if len(tables) > 1 else F.col("_s0")
-        named = F.array(*[F.struct(F.lit(m).alias("motif_id"), F.lit(s).alias("strand"), F.col(f"_s{i}").alias("s")) for i, (m, s, _) in enumerate(tables)])
-        hits = scored.where(peak >= threshold).select("seq_id", "pos", F.explode(F.filter(named, lambda h: h["s"] >= threshold)).alias("h"))
-        part = hits.select("h.motif_id", "seq_id", "pos", "h.strand", F.round("h.s", 2).alias("score"))
+        part = _scan_width(df, width, tables, threshold)
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def _scan_width(df: DataFrame, width: int, tables: list, threshold: float) -> DataFrame:
+    """Hits of all motifs of one width.
+
+    A window is read in pieces of up to 8 letters, each a base-4 number.  Per
+    piece there is a table of at most 65536 numbers per motif with the piece's
+    sum; the first table keeps only numbers that can still reach the threshold
+    with the best rest, so most windows end at the first lookup.
+    """
+    spark = df.sparkSession
+    piece = 8
+    spots = list(range(0, width, piece))
+    words = tiles.kmer_rows(df.select("seq_id", F.translate(F.upper("seq"), "ACGT", "0123").alias("seq")), width)
+    code = lambda at: F.conv(F.substring("kmer", at + 1, piece), 4, 10).cast("long").alias(f"_w{at}")
+    hits = words.where(F.length(F.translate("kmer", "0123", "")) == 0).select("seq_id", "pos", *[code(at) for at in spots])
+    best = {(m, s): [max(t[(p, ch)] for ch in "ACGT") for p in range(width)] for m, s, t in tables}
+    for at in spots:
+        size = min(piece, width - at)
+        part = None
+        for motif_id, strand, table in tables:
+            score: Column = F.lit(0.0)
+            for p in range(size):
+                digit = F.shiftright(F.col("id"), 2 * (size - 1 - p)).bitwiseAND(F.lit(3))
+                score = score + F.get(F.array(*[F.lit(table[(at + p, ch)]) for ch in "ACGT"]), digit.cast("int"))
+            rest = sum(best[(motif_id, strand)]) - sum(best[(motif_id, strand)][at : at + size])
+            one = spark.range(4**size).select(F.lit(motif_id).alias("motif_id"), F.lit(strand).alias("strand"), F.col("id").alias(f"_w{at}"), score.alias(f"_s{at}"))
+            one = one.where(F.col(f"_s{at}") + rest >= threshold - 1e-9)
+            part = one if part is None else part.unionByName(one)
+        # at most 4**8 rows per motif and strand, and motifs are a short list
+        keys = [f"_w{at}"] if at == 0 else [f"_w{at}", "motif_id", "strand"]
+        hits = hits.join(F.broadcast(part), keys)
+    total = sum((F.col(f"_s{at}") for at in spots), F.lit(0.0))
+    return hits.withColumn("_s", total).where(F.col("_s") >= threshold).select("motif_id", "seq_id", "pos", "strand", F.round("_s", 2).alias("score"))

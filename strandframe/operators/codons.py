@@ -78,7 +78,7 @@ def codon_optimize(df: DataFrame, organism: str = "ecoli") -> DataFrame:
         df.select("seq_id", F.translate(F.upper(F.replace("seq", F.lit(" "), F.lit(""))), "U", "T").alias("_s"))
         .where(F.length("_s") >= 3)
         .select("seq_id", "_s", dna.codons("_s").alias("_old"))
-        .withColumn("_aa", dna.translate_codons(F.col("_old")))
+        .withColumn("_aa", dna.amino_array(F.col("_s")))
     )
     fresh = F.transform("_aa", lambda a: F.when(a == "*", "TAA").otherwise(F.coalesce(pick(a), F.lit("NNN"))))
     kept = prepared.select(

@@ -40,15 +40,17 @@ def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = T
     if not linear:
         text = F.concat(text, F.left(text, F.lit(longest - 1)))
     rows = tiles.tile_rows(df.select("seq_id", n.alias("_n"), text.alias("seq")), overlap=longest - 1)
-
-    def spots(name: str, site: str, rx: str, off: int):
-        own = F.filter(match_starts(F.col("tile"), rx), lambda i: i < tiles.TILE)
-        return F.transform(
-            own, lambda i: F.struct(F.lit(name).alias("enzyme"), F.lit(site).alias("site"), i.alias("i"), F.lit(off).alias("off"))
-        )
-
-    found = F.flatten(F.array(*[spots(*p) for p in probes]))
-    hits = rows.select("seq_id", "_n", "tile_start0", F.explode(found).alias("h"))
+    # one pass finds the places of any site; the few words there name their enzymes
+    any_site = "|".join(sorted({rx for _, _, rx, _ in probes}))
+    starts = F.filter(match_starts(F.col("tile"), any_site), lambda i: i < tiles.TILE)
+    words = rows.select("seq_id", "_n", "tile_start0", "tile", F.explode(starts).alias("i")).select(
+        "seq_id", "_n", "tile_start0", "i", F.col("tile").substr(F.col("i") + 1, F.lit(longest)).alias("_w")
+    )
+    named = [
+        F.when(F.col("_w").rlike(f"^{rx}"), F.struct(F.lit(name).alias("enzyme"), F.lit(site).alias("site"), F.lit(off).alias("off"), F.col("i").alias("i")))
+        for name, site, rx, off in probes
+    ]
+    hits = words.select("seq_id", "_n", "tile_start0", F.explode(F.array_compact(F.array(*named))).alias("h"))
     start = F.col("tile_start0") + F.col("h.i")
     cut = start + F.col("h.off") + 1
     inside = hits.where(start < F.col("_n")).select(

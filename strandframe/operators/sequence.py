@@ -275,22 +275,22 @@ def pattern_count(df: DataFrame, text: str) -> DataFrame:
     )
 
 
-def match_starts(text: Column, regex: str | Column) -> Column:
+def match_starts(text: Column, regex: str) -> Column:
     """Zero-based starts of all, also overlapping, matches of ``regex``.
 
     The text is split before every match; running lengths are the starts.
     """
-    pattern = F.lit(regex) if isinstance(regex, str) else regex
-    parts = F.split(text, F.concat(F.lit("(?="), pattern, F.lit(")")))
-    inner = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
-    at_zero = F.when(F.rlike(text, F.concat(F.lit("^(?:"), pattern, F.lit(")"))), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
-    start = F.struct(F.lit(0).alias("at"), at_zero.alias("found"))
-    return F.aggregate(
-        inner,
+    parts = F.split(text, f"(?={regex})")
+    first = F.when(text.rlike(f"^(?:{regex})"), F.array(F.lit(0))).otherwise(F.array().cast("array<int>"))
+    start = F.struct(F.lit(0).alias("at"), first.alias("found"))
+    ends = F.aggregate(
+        parts,
         start,
         lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.concat(s["found"], F.array(s["at"] + F.length(p))).alias("found")),
         lambda s: s["found"],
     )
+    # the last running length is the end of the text, not a match
+    return F.when(text.rlike(regex), F.slice(ends, F.lit(1), F.greatest(F.size(ends) - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
 
 
 def pattern_search(df: DataFrame, pattern: str) -> DataFrame:

@@ -67,6 +67,8 @@ def running(
     it) or ``after`` / ``onward``.  ``block`` must be monotone in ``order``.
     """
     keys = list(keys)
+    # one shuffle serves the window inside blocks and the block totals
+    df = df.repartition(*keys, block)
     far = {
         "before": (Window.unboundedPreceding, -1),
         "upto": (Window.unboundedPreceding, 0),
