@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
 from strandframe.plans import scan, tiles
+from strandframe.plans.storage import cut_lineage
 
 
 def pairwise_align(
@@ -247,6 +248,7 @@ def _scan_width(df: DataFrame, width: int, tables: list, threshold: float) -> Da
             part = one if part is None else part.unionByName(one)
         # at most 4**8 rows per motif and strand, and motifs are a short list
         keys = [f"_w{at}"] if at == 0 else [f"_w{at}", "motif_id", "strand"]
-        hits = hits.join(F.broadcast(part), keys)
+        # stored first, or the optimizer would repeat the scores as a filter on every window
+        hits = hits.join(F.broadcast(cut_lineage(part)), keys)
     total = sum((F.col(f"_s{at}") for at in spots), F.lit(0.0))
     return hits.withColumn("_s", total).where(F.col("_s") >= threshold).select("motif_id", "seq_id", "pos", "strand", F.round("_s", 2).alias("score"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from statistics import NormalDist
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,7 +61,6 @@ def ttest_paired(df: DataFrame, before: str, after: str, by: Sequence[str] = ())
 
 def _exact_u(u: Column, n1: Column, n2: Column) -> Column:
     """Exact two-sided p of U for small tie-free groups (one result row)."""
-    import pandas as pd
 
     @F.pandas_udf("double")
     def exact(us: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:

@@ -100,15 +100,15 @@ def read_msa(spark: SparkSession, path: str, fmt: str = "fasta") -> DataFrame:
     """Aligned rows; interleaved clustal, stockholm and phylip blocks are joined by id."""
     if fmt == "fasta":
         return read_fasta(spark, path).select("seq_id", F.col("seq").alias("aligned"))
+    if fmt not in ("clustal", "stockholm", "phylip"):
+        raise ValueError("fmt must be fasta, clustal, stockholm or phylip")
     lines = numbered_lines(spark, path)
     if fmt == "clustal":
         lines = lines.where(F.col("value").rlike(r"^\S") & ~F.col("value").rlike("^(CLUSTAL|MUSCLE)"))
     elif fmt == "stockholm":
         lines = lines.where(F.col("value").rlike(r"^[^#/\s]"))
-    elif fmt == "phylip":
-        lines = lines.where((F.col("line") > 0) & F.col("value").rlike(r"^\S"))
     else:
-        raise ValueError("fmt must be fasta, clustal, stockholm or phylip")
+        lines = lines.where((F.col("line") > 0) & F.col("value").rlike(r"^\S"))
     cut = lines.select("file", "line", F.regexp_extract("value", r"^(\S+)\s+", 1).alias("seq_id"), F.regexp_replace(F.regexp_extract("value", r"^\S+\s+([A-Za-z*.\- ]+)", 1), " ", "").alias("chunk"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("line", "chunk"))), lambda s: s["chunk"])
     return cut.groupBy("file", "seq_id").agg(F.array_join(ordered, "").alias("aligned")).select("seq_id", "aligned")

@@ -125,14 +125,14 @@ def read_blast_xml(spark: SparkSession, path: str) -> DataFrame:
 def read_jaspar(spark: SparkSession, path: str) -> DataFrame:
     rows = records(spark, path, "\n>").select(F.regexp_replace("value", "^>", "").alias("v")).where(F.trim("v") != "")
     per = rows.select(F.regexp_extract("v", r"^(\S+)", 1).alias("motif_id"), F.regexp_extract("v", r"^\S+[ \t]+(\S+)", 1).alias("name"), F.explode(F.array(*[F.struct(F.lit(x).alias("letter"), F.regexp_extract("v", rf"(?m)^\s*{x}\s*\[?([\d.\s]+?)\]?\s*$", 1).alias("row")) for x in "ACGT"])).alias("r"), "v")
-    return per.select("motif_id", "name", F.col("r.letter").alias("letter"), F.posexplode(F.split(F.trim("r.row"), r"\s+")).alias("pos", "_c")).select("motif_id", "name", "pos", "letter", F.col("_c").cast("double").alias("count"))
+    return per.select("motif_id", "name", F.col("r.letter").alias("letter"), F.posexplode(F.split(F.regexp_replace("r.row", r"^\s+|\s+$", ""), r"\s+")).alias("pos", "_c")).select("motif_id", "name", "pos", "letter", F.col("_c").cast("double").alias("count"))
 
 
 def read_meme(spark: SparkSession, path: str) -> DataFrame:
     """Probability matrices of a MEME text file."""
     rows = records(spark, path, "MOTIF ").where(F.col("value").contains("letter-probability matrix"))
     body = F.regexp_extract("value", r"(?s)letter-probability matrix[^\n]*\n((?:\s*[\d.eE+\-]+(?:[ \t]+[\d.eE+\-]+){3}[ \t]*\n?)+)", 1)
-    lines = rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("motif_id"), F.posexplode(F.split(F.trim(body), r"\s*\n\s*")).alias("pos", "_l"))
+    lines = rows.select(F.regexp_extract("value", r"^(\S+)", 1).alias("motif_id"), F.posexplode(F.split(F.regexp_replace(body, r"^\s+|\s+$", ""), r"\s*\n\s*")).alias("pos", "_l"))
     return lines.select("motif_id", "pos", F.posexplode(F.split(F.trim("_l"), r"\s+")).alias("_i", "_v")).select("motif_id", "pos", F.element_at(F.array(*[F.lit(x) for x in "ACGT"]), F.col("_i") + 1).alias("letter"), F.col("_v").cast("double").alias("probability"))
 
 
