@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
 from strandframe.plans import scan, tiles
-from strandframe.plans.storage import cut_lineage
+
+
+# lookup tables beyond this many rows are joined by shuffle
+_BROADCAST_ROWS = 2_000_000
 
 
 def pairwise_align(
@@ -214,12 +219,12 @@ def motif_scan(df: DataFrame, motif: DataFrame, threshold: float, both_strands:
 
     out = None
     for width, tables in by_width.items():
-        part = _scan_width(df, width, tables, threshold)
+        part = _scan_width(df, width, tables, threshold, dict(motif.dtypes)["motif_id"])
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scan_width(df: DataFrame, width: int, tables: list, threshold: float) -> DataFrame:
+def _scan_width(df: DataFrame, width: int, tables: list, threshold: float, kind: str) -> DataFrame:
     """Hits of all motifs of one width.
 
     A window is read in pieces of up to 8 letters, each a base-4 number.  Per
@@ -236,19 +241,17 @@ def _scan_width(df: DataFrame, width: int, tables: list, threshold: float) -> Da
     best = {(m, s): [max(t[(p, ch)] for ch in "ACGT") for p in range(width)] for m, s, t in tables}
     for at in spots:
         size = min(piece, width - at)
-        part = None
+        numbers = np.arange(4**size, dtype=np.int64)
+        parts = []
         for motif_id, strand, table in tables:
-            score: Column = F.lit(0.0)
-            for p in range(size):
-                digit = F.shiftright(F.col("id"), 2 * (size - 1 - p)).bitwiseAND(F.lit(3))
-                score = score + F.get(F.array(*[F.lit(table[(at + p, ch)]) for ch in "ACGT"]), digit.cast("int"))
+            weight = np.array([[table[(at + p, ch)] for ch in "ACGT"] for p in range(size)])
+            score = sum(weight[p][(numbers >> (2 * (size - 1 - p))) & 3] for p in range(size))
             rest = sum(best[(motif_id, strand)]) - sum(best[(motif_id, strand)][at : at + size])
-            one = spark.range(4**size).select(F.lit(motif_id).alias("motif_id"), F.lit(strand).alias("strand"), F.col("id").alias(f"_w{at}"), score.alias(f"_s{at}"))
-            one = one.where(F.col(f"_s{at}") + rest >= threshold - 1e-9)
-            part = one if part is None else part.unionByName(one)
-        # at most 4**8 rows per motif and strand, and motifs are a short list
+            live = score + rest >= threshold - 1e-9
+            parts.append(pd.DataFrame({"motif_id": motif_id, "strand": strand, f"_w{at}": numbers[live], f"_s{at}": score[live]}))
+        rows = pd.concat(parts)
+        lookup = spark.createDataFrame(rows, f"motif_id {kind}, strand string, _w{at} long, _s{at} double")
         keys = [f"_w{at}"] if at == 0 else [f"_w{at}", "motif_id", "strand"]
-        # stored first, or the optimizer would repeat the scores as a filter on every window
-        hits = hits.join(F.broadcast(cut_lineage(part)), keys)
+        hits = hits.join(F.broadcast(lookup) if len(rows) <= _BROADCAST_ROWS else lookup, keys)
     total = sum((F.col(f"_s{at}") for at in spots), F.lit(0.0))
     return hits.withColumn("_s", total).where(F.col("_s") >= threshold).select("motif_id", "seq_id", "pos", "strand", F.round("_s", 2).alias("score"))

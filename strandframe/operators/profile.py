@@ -8,15 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandframe.plans import scan
 
-_NUMERIC = (T.NumericType,)
-
-
 def _text_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, value) with every value as text, nulls kept."""
     return df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column", "value")
@@ -201,7 +198,7 @@ def top_group_counts(df: DataFrame, by: Sequence[str], n: int = 20) -> DataFrame
 
 
 def label_codes(df: DataFrame, column: str, out: str = "code") -> DataFrame:
-    """Sorted labels to 0..n-1; the label list is the only thing ordered."""
+    """Sorted labels to 0..n-1; only the distinct labels are ordered, by range."""
     levels = df.select(column).where(F.col(column).isNotNull()).distinct()
-    ranked = levels.withColumn(out, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(column)) - 1)
+    ranked = scan.row_positions(levels, [F.asc(column)], out).withColumn(out, F.col(out) - 1)
     return df.join(ranked, column, "left")

@@ -104,4 +104,4 @@ def double_digest_feasible(vectors: DataFrame, inserts: DataFrame, first: str, s
     """Vectors cut by both enzymes, with how many inserts neither enzyme cuts."""
     in_vector = cut_rows(vectors, [first, second], linear=False).groupBy("seq_id").agg(F.count_distinct("enzyme").alias("n_enzymes"))
     whole = cloning_check(inserts, first, second).agg(F.sum((F.col("insert_status") == "usable").cast("long")).alias("n_usable_inserts"))
-    return in_vector.where(F.col("n_enzymes") == 2).select("seq_id").join(F.broadcast(whole), how="cross")
+    return in_vector.where(F.col("n_enzymes") == 2).select("seq_id").join(F.broadcast(whole), F.lit(True))
