@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import distributions as D
 from strandframe.operators.hypothesis import bh_fdr
 from strandframe.plans import scan
+from strandframe.plans.storage import spread_rows
 
 
 def _hyper_upper(hits: Column, drawn: Column, marked: Column, whole: Column) -> Column:
@@ -48,7 +49,7 @@ def ora(genes: DataFrame, sets: DataFrame, universe: DataFrame, min_overlap: int
         F.count(F.lit(1)).alias("set_size"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("overlap_count"),
         F.array_join(F.array_sort(F.collect_list(F.when(F.col("_hit") == 1, F.col("gene")))), ",").alias("overlap_genes"),
     ).where(F.col("overlap_count") >= min_overlap)
-    j = per.join(F.broadcast(totals), F.lit(True))
+    j = spread_rows(per).join(F.broadcast(totals), F.lit(True))
     hits, picks, size, everything = F.col("overlap_count"), F.col("_picked"), F.col("set_size"), F.col("_universe")
     out = scan.cut_lineage(j.withColumn("p_value", _hyper_upper(hits, picks, size, everything)))
     out = out.withColumn("odds_ratio", hits * (everything - size - picks + hits) / F.nullif((size - hits) * (picks - hits), F.lit(0)).cast("double"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from strandframe.functions import distributions as D
 from strandframe.operators.hypothesis import bh_fdr
 from strandframe.plans import scan
-from strandframe.plans.storage import cut_lineage
+from strandframe.plans.storage import cut_lineage, spread_rows
 
 
 def _n_samples(counts: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def de_two_group(counts: DataFrame, meta: DataFrame, treated: str, control: str,
     mt, mc = F.col("mt") + half, F.col("mc") + half
     se = F.sqrt(1 / (nt * mt) + F.col("dispersion") / nt + 1 / (nc * mc) + F.col("dispersion") / nc)
     out = d.select("gene", "baseMean", (F.log(mt / mc) / F.log(F.lit(2.0))).alias("log2FoldChange"), (se / F.log(F.lit(2.0))).alias("lfcSE"), "dispersion")
-    out = out.withColumn("stat", F.col("log2FoldChange") / F.col("lfcSE")).withColumn("pvalue", D.normal_two_sided(F.col("stat")))
+    out = spread_rows(out).withColumn("stat", F.col("log2FoldChange") / F.col("lfcSE")).withColumn("pvalue", D.normal_two_sided(F.col("stat")))
     return bh_fdr(cut_lineage(out), "pvalue", out="padj")
 
 
@@ -216,7 +216,7 @@ def moderated_t(fit: DataFrame, terms: Sequence[str]) -> DataFrame:
     post = fit.where(F.col("term").isin(*terms)).join(F.broadcast(prior), F.lit(True))
     s2p = (F.col("_d0") * F.col("_s0") + F.col("rss")) / (F.col("_d0") + F.col("df_residual"))
     out = post.select("gene", "term", "estimate", (F.col("estimate") / F.sqrt(s2p * F.col("unscaled"))).alias("t"), (F.col("_d0") + F.col("df_residual")).alias("dof"))
-    out = out.withColumn("p", D.t_two_sided(F.col("t"), F.col("dof")))
+    out = spread_rows(out).withColumn("p", D.t_two_sided(F.col("t"), F.col("dof")))
     return bh_fdr(cut_lineage(out), "p", by=["term"], out="padj")
 
 
@@ -227,7 +227,7 @@ def nested_model_test(full: DataFrame, reduced: DataFrame) -> DataFrame:
     n = F.col("d1") + F.col("kd1")
     lr = F.greatest(F.lit(0.0), n * F.log(F.col("r0") / F.col("r1")))
     out = j.select("gene", lr.alias("deviance"), (F.col("d0") - F.col("d1")).alias("dof")).where(F.col("dof") > 0)
-    return bh_fdr(cut_lineage(out.withColumn("p", D.chi2_upper(F.col("deviance"), F.col("dof")))), "p", out="padj")
+    return bh_fdr(cut_lineage(spread_rows(out).withColumn("p", D.chi2_upper(F.col("deviance"), F.col("dof")))), "p", out="padj")
 
 
 def exact_two_sample(counts: DataFrame, a, b) -> DataFrame:
@@ -241,7 +241,7 @@ def exact_two_sample(counts: DataFrame, a, b) -> DataFrame:
     per = counts.where(sa | sb).groupBy("gene").agg(
         F.coalesce(F.sum(F.when(sa, F.col("n"))), F.lit(0)).alias("xa"), F.coalesce(F.sum(F.when(sb, F.col("n"))), F.lit(0)).alias("xb")
     ).where(F.col("xa") + F.col("xb") > 0)
-    j = per.join(F.broadcast(lib), F.lit(True)).withColumn("share", F.col("la") / (F.col("la") + F.col("lb")))
+    j = spread_rows(per).join(F.broadcast(lib), F.lit(True)).withColumn("share", F.col("la") / (F.col("la") + F.col("lb")))
     xa, n, s = F.col("xa"), F.col("xa") + F.col("xb"), F.col("share")
     ge = F.when(xa > 0, D.beta_inc(F.greatest(xa, F.lit(1)), n - xa + 1, s)).otherwise(F.lit(1.0))
     le = F.when(xa < n, D.beta_inc(F.greatest(n - xa, F.lit(1)), xa + 1, 1 - s)).otherwise(F.lit(1.0))

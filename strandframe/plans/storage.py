@@ -41,3 +41,12 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """Use all cores for costly expressions on few result rows.
+
+    Adaptive execution folds small results into one task; a partition count
+    given here is kept.
+    """
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
