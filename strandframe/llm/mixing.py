@@ -26,7 +26,7 @@ def _share(nodes: DataFrame, parent: Sequence[str], weight: Column) -> DataFrame
     """Split each parent's ``grant`` by weight under the caps ``cap``: what a full child leaves goes to its siblings.
 
     Children in order of cap / weight fill up first; the first that does not
-    fill fixes the common level for the rest.
+    fill fixes the common level for the rest (levels only fall after it, so it is the largest).
     """
     nodes = nodes.withColumn("_w", weight).withColumn("_r", F.col("cap") / F.col("_w"))
     order = Window.partitionBy(*parent).orderBy("_r", *[c for c in LEVELS if c in nodes.columns])
@@ -34,7 +34,7 @@ def _share(nodes: DataFrame, parent: Sequence[str], weight: Column) -> DataFrame
     onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     spent, weights = F.coalesce(F.sum("cap").over(before), F.lit(0)), F.sum("_w").over(onward)
     nodes = nodes.withColumn("_level", (F.col("grant") - spent) / weights)
-    first = F.min(F.when(F.col("_r") > F.col("_level"), F.col("_level"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.max(F.when(F.col("_r") > F.col("_level"), F.col("_level"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     return nodes.withColumn("grant", F.when(first.isNull(), F.col("cap").cast("double")).otherwise(F.col("_w") * first)).drop("_w", "_r", "_level")
 
 
