@@ -82,7 +82,7 @@ WITH t AS (
   UNION ALL SELECT -1, 0, 'user', '{PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{PROBE}'
 ), e AS (
   SELECT *, replace(replace(replace(replace(text, '\\', '\\e'), '<', '\\l'), '[', '\\b'), '>', '\\g') AS coded,
-    CASE role WHEN 'system' THEN 17 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END AS marks,
+    CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 END AS marks,
     lag(role) OVER w AS prior, lag(role, 2) OVER w AS prior2, lead(role) OVER w AS following
   FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
 )
