@@ -7,8 +7,8 @@ shift of k for coordinate k.  ``bands`` x ``rows`` coordinates are banded;
 
 Work is kept linear in hot groups: equal shingle sets are one class before
 banding; each band bucket first checks its members against its smallest class
-only; just the pairs of a bucket that are then still in different components
-are checked among each other.  Links come only from full shingle sets.
+only, then, while many pairs are open, against further leaders; the pairs of a
+bucket that are then still in different components are checked in full.  Links come only from full shingle sets.
 """
 
 from __future__ import annotations
@@ -108,18 +108,41 @@ def near_duplicates(
     texts = stored(texts.join(wanted, "doc_id", "left_semi"), "texts")
     first = stored(verified(star, texts, n, percent), "links")
     found = components(first)
-    place = busy.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp")
-    )
-    mixed = place.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-    place = stored(place.join(mixed, "band", "left_semi"), "mixed")
+    links, tested, idle, turn = first, star, 0, 0
+    while True:
+        place = busy.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+            "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp")
+        )
+        mixed = (
+            place.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("band")
+            .agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.col("n")).alias("q")).where("m * m > q")
+        )
+        mixed = stored(mixed, "mixed")
+        open_pairs, members = mixed.agg(F.coalesce(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2), F.lit(0)), F.coalesce(F.sum("m"), F.lit(0))).first()
+        place = stored(place.join(mixed.select("band"), "band", "left_semi"), "open")
+        # another leader per bucket merges most of a large group at linear cost; what stays apart is then compared in full
+        if open_pairs <= 4 * members or idle == 2:
+            break
+        turn += 1
+        leader = place.groupBy("band").agg(F.min_by(F.struct("doc_id", "n_shingles", "comp"), F.xxhash64("doc_id", F.lit(turn))).alias("p"))
+        tries = (
+            place.join(leader, "band").where("comp <> p.comp").where(fits("n_shingles", "p.n_shingles"))
+            .select(F.greatest("doc_id", "p.doc_id").alias("a"), F.least("doc_id", "p.doc_id").alias("b")).distinct()
+        )
+        tries = stored(tries.join(tested, ["a", "b"], "left_anti"), "tries")
+        more = stored(verified(tries, texts, n, percent), "links")
+        tested, links = tested.union(tries), links.union(more)
+        if more.limit(1).count():
+            found, idle = components(links), 0
+        else:
+            idle += 1
     other = place.toDF("band", "b", "m", "comp_b")
     rest = (
         place.join(other, "band").where("comp <> comp_b and doc_id > b").where(fits("n_shingles", "m"))
-        .select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+        .select(F.col("doc_id").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
     )
     more = stored(verified(rest, texts, n, percent), "links")
-    found = components(first.union(more)) if more.limit(1).count() else found
+    found = components(links.union(more)) if more.limit(1).count() else found
     return (
         sign.select("doc_id", "n_shingles", "set_key")
         .join(classes.select("set_key", "rep"), "set_key", "left")
