@@ -12,7 +12,6 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_STEPS = 300
 _TINY = 1e-300
 
 # Lanczos coefficients for g = 7, n = 9.
@@ -92,10 +91,12 @@ def beta_inc(a, b, x) -> Column:
     return _bind(whole, a=_d(a), b=_d(b), x=_d(x))
 
 
-def gamma_upper(a, x, steps: int = _STEPS) -> Column:
+def gamma_upper(a, x, steps: int | None = None) -> Column:
     """Regularised upper incomplete gamma Q(a, x)."""
 
     def whole(a: Column, x: Column) -> Column:
+        # near x = a both forms settle after O(sqrt(a)) terms
+        last = F.lit(steps) if steps else (300 + F.ceil(12 * F.sqrt(a))).cast("int")
         front = F.exp(-x + a * F.log(x) - ln_gamma(a))
         start = F.struct(a.alias("a"), x.alias("x"), (F.lit(1.0) / a).alias("t"), (F.lit(1.0) / a).alias("s"))
 
@@ -103,7 +104,7 @@ def gamma_upper(a, x, steps: int = _STEPS) -> Column:
             t = state["t"] * state["x"] / (state["a"] + n)
             return F.struct(state["a"].alias("a"), state["x"].alias("x"), t.alias("t"), (state["s"] + t).alias("s"))
 
-        low = front * F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, grow, lambda s: s["s"])
+        low = front * F.aggregate(F.sequence(F.lit(1), last), start, grow, lambda s: s["s"])
         b0 = x + 1 - a
         frac0 = F.struct(a.alias("a"), b0.alias("b"), F.lit(1 / _TINY).alias("c"), (1 / _guard(b0)).alias("d"), (1 / _guard(b0)).alias("h"))
 
@@ -114,7 +115,7 @@ def gamma_upper(a, x, steps: int = _STEPS) -> Column:
             c = _guard(b + an / state["c"])
             return F.struct(state["a"].alias("a"), b.alias("b"), c.alias("c"), d.alias("d"), (state["h"] * d * c).alias("h"))
 
-        high = front * F.aggregate(F.sequence(F.lit(1), F.lit(steps)), frac0, step, lambda s: s["h"])
+        high = front * F.aggregate(F.sequence(F.lit(1), last), frac0, step, lambda s: s["h"])
         return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, 1 - low).otherwise(high)
 
     return _bind(whole, a=_d(a), x=_d(x))

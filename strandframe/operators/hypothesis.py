@@ -6,11 +6,12 @@ column expressions on the few result rows.  ``by`` columns repeat a test per key
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from statistics import NormalDist
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
@@ -18,8 +19,8 @@ from strandframe.plans import scan
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, sd, exact median and error-bar columns per group (null values left out)."""
-    base = df.where(F.col(value).isNotNull())
+    """n, mean, sd, exact median and error-bar columns per group (null and NaN values left out)."""
+    base = scan.present(df, value)
     moments = base.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"))
     med = scan.exact_quantiles(base, [group], value, {"median": 0.5})
     sem = F.col("sd") / F.sqrt("n")
@@ -70,10 +71,12 @@ def _exact_u(u: Column, n1: Column, n2: Column) -> Column:
         for uu, x, y in zip(us, a.astype(int), b.astype(int)):
             ways = np.zeros(x * y + 1)
             ways[0] = 1.0
+            x, y = min(x, y), max(x, y)
             for i in range(1, x + 1):
-                ways[y + i :] -= ways[: max(len(ways) - y - i, 0)].copy()
-                for j in range(i, len(ways)):
-                    ways[j] += ways[j - i]
+                ways[y + i :] = ways[y + i :] - ways[: max(len(ways) - y - i, 0)]
+                # running sums with stride i
+                padded = np.append(ways, np.zeros(-len(ways) % i)).reshape(-1, i)
+                ways = padded.cumsum(axis=0).ravel()[: len(ways)]
             top = int(np.ceil(max(uu, x * y - uu)))
             out.append(min(1.0, 2 * ways[top:].sum() / ways.sum()))
         return pd.Series(out)
@@ -89,7 +92,7 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b, exact: bool = Fals
     """
     ga, gb = F.col(group) == F.lit(a), F.col(group) == F.lit(b)
     pre = (
-        df.where((ga | gb) & F.col(value).isNotNull())
+        scan.present(df, value).where(ga | gb)
         .groupBy(value)
         .agg(F.sum(ga.cast("long")).alias("_na"), F.count(F.lit(1)).alias("_n"))
     )
@@ -104,8 +107,9 @@ def mann_whitney(df: DataFrame, group: str, value: str, a, b, exact: bool = Fals
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     total = n1 + n2
     u = F.col("_r1") - n1 * (n1 + 1) / 2
-    spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.col("_ties") / (total * (total - 1))))
-    z = (F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5) / spread
+    spread = F.sqrt(n1 * n2 / 12 * ((total + 1) - F.try_divide(F.col("_ties"), total * (total - 1))))
+    # all values tied: no spread, U at its mean, z 0 and p 1
+    z = F.when(spread > 0, F.try_divide(F.greatest(u, n1 * n2 - u) - n1 * n2 / 2 - 0.5, spread)).when((n1 > 0) & (n2 > 0), F.lit(0.0))
     out = s.select("n1", "n2", u.alias("u"), z.alias("z"))
     p = _exact_u(F.col("u"), F.col("n1"), F.col("n2")) if exact else F.least(F.lit(1.0), 2 * D.normal_upper(F.col("z")))
     return out.withColumn("p", p)
@@ -163,7 +167,7 @@ def chi2_contingency(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
-    """Rank test of several groups with tie correction."""
+    """Rank test of several groups with tie correction; fewer than two groups or all values tied: null h and p."""
     clean = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
     cells = clean.groupBy(value, group).agg(F.count(F.lit(1)).alias("_c"))
     ranks = scan.midranks(clean, [], value)
@@ -173,8 +177,9 @@ def kruskal(df: DataFrame, group: str, value: str) -> DataFrame:
     ties = ranks.agg(F.sum(t * t * t - t).alias("_ties"))
     s = per.agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("n")).alias("_rr")).join(F.broadcast(ties), F.lit(True))
     n = F.col("n").cast("double")
-    h = (12 / (n * (n + 1)) * F.col("_rr") - 3 * (n + 1)) / (1 - F.col("_ties") / (n * n * n - n))
-    out = s.select("k", "n", h.alias("h"), (F.col("k") - 1).cast("double").alias("dof"))
+    raw = 12 / (n * (n + 1)) * F.col("_rr") - 3 * (n + 1)
+    h = F.when(F.col("k") > 1, F.try_divide(raw, 1 - F.try_divide(F.col("_ties"), n * n * n - n)))
+    out = s.where("k > 0").select("k", "n", h.alias("h"), (F.col("k") - 1).cast("double").alias("dof"))
     return out.withColumn("p", D.chi2_upper(F.col("h"), F.col("dof")))
 
 
@@ -229,16 +234,29 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     return out.withColumn("p", _r_test(F.col("n"), F.col("r")))
 
 
-def shapiro(df: DataFrame, group: str, value: str, order: str, first: int = 5000) -> DataFrame:
-    """Shapiro-Wilk per group on its first ``first`` rows in ``order`` (Royston 1995)."""
-    w = Window.partitionBy(group)
-    head = (
-        df.where(F.col(value).isNotNull())
-        .withColumn("_o", F.row_number().over(w.orderBy(order)))
-        .where(F.col("_o") <= first)
-        .select(group, F.col(value).cast("double").alias("_x"))
-    )
-    ranked = head.withColumn("_i", F.row_number().over(w.orderBy("_x"))).withColumn("_n", F.count(F.lit(1)).over(w)).where(F.col("_n") >= 4)
+def _place_in_group(df: DataFrame, group: str, order: Sequence[str], out: str) -> DataFrame:
+    """One-based place of every row inside its group and the group's row count ``_n``."""
+    placed = scan.row_positions(df, [F.col(c).asc() for c in (group, *order)], "_at")
+    sizes = placed.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    return placed.join(sizes, group).withColumn(out, F.col("_at") - F.col("_first") + 1).drop("_at", "_first")
+
+
+def shapiro(df: DataFrame, group: str, value: str, order: str | None = None, first: int | None = 5000) -> DataFrame:
+    """Shapiro-Wilk per group of three or more values (Royston 1995).
+
+    With ``order`` a group is judged by its first ``first`` rows in that order;
+    without it, or with ``first=None``, by all its rows.  ``order`` must not be
+    the value itself, whose first rows would be the smallest ones.  Ranks come
+    from range partitions, so a large group is no single task.
+    """
+    if order == value:
+        raise ValueError("order rows by a column other than the tested value")
+    head = scan.present(df, value).where(F.col(group).isNotNull())
+    if order is not None and first is not None:
+        placed = _place_in_group(head.select(group, value, order), group, [order, value], "_o")
+        head = placed.where(F.col("_o") <= first)
+    head = head.select(group, F.col(value).cast("double").alias("_x"))
+    ranked = _place_in_group(head, group, ["_x"], "_i").where(F.col("_n") >= 3)
     m = ranked.withColumn("_m", D.normal_quantile((F.col("_i") - 0.375) / (F.col("_n") + 0.25)))
     sums = m.groupBy(group).agg(
         F.max("_n").alias("n"), F.sum(F.col("_m") * F.col("_m")).alias("_mm"), F.max(F.when(F.col("_i") == F.col("_n"), F.col("_m"))).alias("_m1"),
@@ -262,7 +280,8 @@ def shapiro(df: DataFrame, group: str, value: str, order: str, first: int = 5000
     i, k = F.col("_i"), F.col("_n")
     mid = F.col("_m") / F.sqrt("_phi")
     weight = (
-        F.when(i == k, F.col("_a1")).when(i == 1, -F.col("_a1"))
+        F.when((k == 3) & (i == 2), F.lit(0.0)).when(k == 3, (i - 2) * math.sqrt(0.5))
+        .when(i == k, F.col("_a1")).when(i == 1, -F.col("_a1"))
         .when((k > 5) & (i == k - 1), F.col("_a2")).when((k > 5) & (i == 2), -F.col("_a2")).otherwise(mid)
     )
     stat = m.join(coef, group).groupBy(group).agg(F.max("n").alias("n"), F.sum(weight * F.col("_x")).alias("_ax"), F.max("_v").alias("_v"))
@@ -272,7 +291,10 @@ def shapiro(df: DataFrame, group: str, value: str, order: str, first: int = 5000
     big_z = (y - poly((-1.5861, -0.31082, -0.083751, 0.0038915), ln)) / F.exp(poly((-0.4803, -0.082676, 0.0030302), ln))
     gamma = poly((-2.273, 0.459), n)
     low_z = (-F.log(F.greatest(gamma - y, F.lit(1e-300))) - poly((0.544, -0.39978, 0.025054, -6.714e-4), n)) / F.exp(poly((1.3822, -0.77857, 0.062767, -0.0020322), n))
-    return out.withColumn("p", D.normal_upper(F.when(n >= 12, big_z).otherwise(low_z)))
+    # three values: the distribution of W is known in closed form
+    three = F.lit(6 / math.pi) * (F.asin(F.sqrt(F.least(F.lit(1.0), F.col("w")))) - math.asin(math.sqrt(0.75)))
+    spread = D.normal_upper(F.when(n >= 12, big_z).otherwise(low_z))
+    return out.withColumn("p", F.when(n == 3, F.greatest(F.lit(0.0), three)).otherwise(spread))
 
 
 def shown_p(p: Column) -> Column:
@@ -286,7 +308,9 @@ def stats_test(df: DataFrame, group: str, value: str, test: str = "auto", order:
 
     ``auto``: two groups get a t test when every group of more than two passes
     Shapiro-Wilk at 0.05, otherwise Mann-Whitney; more groups get ANOVA.  Only
-    the per-group result rows are looked at to decide.
+    the per-group result rows are looked at to decide.  The normality check
+    takes the first 5000 rows of a group in ``order``, all rows without it.
+    Mann-Whitney is exact when the smaller group has at most 8 values and none are tied.
     """
     if test == "chi2":
         found = chi2_contingency(df, group, value).select(F.lit("Chi-squared").alias("test"), F.col("chi2").alias("statistic"), "p")
@@ -296,7 +320,7 @@ def stats_test(df: DataFrame, group: str, value: str, test: str = "auto", order:
         raise ValueError(f"need at least 2 groups, found {len(names)}")
     if test == "auto":
         if len(names) == 2:
-            bad = shapiro(df, group, value, order or value).where(F.col("p") <= 0.05).limit(1).count()
+            bad = shapiro(df, group, value, order).where(F.col("p") <= 0.05).limit(1).count()
             test = "mannwhitney" if bad else "ttest"
         else:
             test = "anova"
@@ -305,8 +329,8 @@ def stats_test(df: DataFrame, group: str, value: str, test: str = "auto", order:
     if test == "ttest":
         found = ttest(df, group, value, *names).select(F.lit("Independent t-test").alias("test"), F.col("t").alias("statistic"), "p")
     elif test == "mannwhitney":
-        counts = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least"), F.max("n").alias("most")).first()
-        exact = counts["least"] <= 8 and counts["least"] * counts["most"] <= 1_000_000
+        counts = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least")).first()
+        exact = counts["least"] <= 8
         if exact:
             exact = df.where(F.col(value).isNotNull()).groupBy(value).count().where("count > 1").limit(1).count() == 0
         found = mann_whitney(df, group, value, *names, exact=exact).select(F.lit("Mann-Whitney U").alias("test"), F.col("u").alias("statistic"), "p")

@@ -42,7 +42,7 @@ def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = T
     rows = tiles.tile_rows(df.select("seq_id", n.alias("_n"), text.alias("seq")), overlap=longest - 1)
     # one pass finds the places of any site; the few words there name their enzymes
     any_site = "|".join(sorted({rx for _, _, rx, _ in probes}))
-    starts = F.filter(match_starts(F.col("tile"), any_site), lambda i: i < tiles.TILE)
+    starts = F.filter(match_starts(F.col("tile"), any_site), lambda i: i < tiles.tile_width(longest - 1))
     words = rows.select("seq_id", "_n", "tile_start0", "tile", F.explode(starts).alias("i")).select(
         "seq_id", "_n", "tile_start0", "i", F.col("tile").substr(F.col("i") + 1, F.lit(longest)).alias("_w")
     )

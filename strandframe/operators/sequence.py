@@ -296,7 +296,7 @@ def match_starts(text: Column, regex: str) -> Column:
 def pattern_search(df: DataFrame, pattern: str) -> DataFrame:
     """One row per start of an IUPAC pattern, overlapping matches included."""
     rows = tiles.tile_rows(df.select("seq_id", F.upper("seq").alias("seq")), overlap=len(pattern) - 1)
-    starts = F.filter(match_starts(F.col("tile"), T.iupac_pattern(pattern)), lambda i: i < tiles.TILE)
+    starts = F.filter(match_starts(F.col("tile"), T.iupac_pattern(pattern)), lambda i: i < tiles.tile_width(len(pattern) - 1))
     return rows.select("seq_id", "tile_start0", F.explode(starts).alias("_i")).select(
         "seq_id", (F.col("tile_start0") + F.col("_i")).alias("pos")
     )

@@ -1,4 +1,4 @@
-"""Survival analysis on rows with ``time`` (whole units) and ``event`` (0/1)."""
+"""Survival analysis on rows with ``time`` and ``event`` (0/1)."""
 
 from __future__ import annotations
 
@@ -66,7 +66,7 @@ def logrank(df: DataFrame, group: str, a, b) -> DataFrame:
         F.sum(F.when(n > 1, d * (n1 / n) * (1 - n1 / n) * (n - d) / F.greatest(n - 1, F.lit(1.0))).otherwise(F.lit(0.0))).alias("variance"),
     )
     diff = F.col("observed") - F.col("expected")
-    return s.withColumn("chi2", diff * diff / F.col("variance")).withColumn("p", D.chi2_upper(F.col("chi2"), F.lit(1.0)))
+    return s.withColumn("chi2", F.try_divide(diff * diff, F.col("variance"))).withColumn("p", D.chi2_upper(F.col("chi2"), F.lit(1.0)))
 
 
 def _risk_sets(df: DataFrame, covars: Sequence[str], beta: Sequence[float]) -> DataFrame:
@@ -159,7 +159,11 @@ def concordance_index(df: DataFrame, risk: str) -> DataFrame:
     rows with a smaller risk are counted over the dyadic pieces of the risk
     rank, N log N rows in one running scan, so no pair is formed.
     """
-    clean = df.where(F.col(risk).isNotNull())
+    clean = scan.present(df, risk)
+    # real times are replaced by their rank, whole units serve as they are
+    if clean.schema["time"].dataType.typeName() in ("float", "double", "decimal"):
+        places = scan.midranks(clean, [], "time").select("time", F.col("n_less").alias("_rank"))
+        clean = clean.join(places, "time").drop("time").withColumnRenamed("_rank", "time")
     total = clean.count()
     bits = max(1, total.bit_length())
     ranks = scan.midranks(clean, [], risk).select(risk, F.col("n_less").alias("_r"))
@@ -182,7 +186,7 @@ def concordance_index(df: DataFrame, risk: str) -> DataFrame:
     per = rows.groupBy("_t").agg(F.sum("_c").alias("_c"), F.sum(F.when(F.col("event") == 1, F.col("_c")).otherwise(0)).alias("_d")).withColumn("_block", scan.width_block("_t", _SPAN))
     pairs = scan.running(per, [], ["_t"], "_block", [("_later", "_c", "sum", "after")]).agg(F.sum(F.col("_d") * F.coalesce("_later", zero)).alias("comparable"))
     return good.join(F.broadcast(pairs), F.lit(True)).select(
-        "concordant", "tied", "comparable", ((F.col("concordant") + 0.5 * F.col("tied")) / F.col("comparable")).alias("c_index")
+        "concordant", "tied", "comparable", F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable")).alias("c_index")
     )
 
 

@@ -39,8 +39,15 @@ def width_block(pos: str | Column, width: int) -> Column:
     return F.floor(col / F.lit(width)).cast("long")
 
 
+def present(df: DataFrame, value: str) -> DataFrame:
+    """Rows with a value: neither null nor NaN."""
+    rows = df.where(F.col(value).isNotNull())
+    return rows.where(~F.isnan(value)) if df.schema[value].dataType.typeName() in ("float", "double") else rows
+
+
 def value_block(df: DataFrame, value: str, out: str = "_block", n: int = N_BLOCKS) -> DataFrame:
-    """Add the quantile block of a real-valued column (nulls must be gone)."""
+    """Add the quantile block of a real-valued column (nulls must be gone; NaN rows are left out)."""
+    df = present(df, value)
     probs = [i / n for i in range(1, n)]
     cuts = df.approxQuantile(value, probs, 0.5 / n)
     cuts = sorted({float(c) for c in cuts})
@@ -120,7 +127,7 @@ def row_positions(df: DataFrame, order: Sequence[Column], out: str = "position")
 
 def tallied(df: DataFrame, keys: Sequence[str], value: str, n_blocks: int = N_BLOCKS) -> DataFrame:
     """Distinct values per group with their count ``_n`` and block."""
-    pre = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    pre = present(df, value).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     return value_block(pre, value, "_block", n_blocks)
 
 

@@ -14,13 +14,18 @@ def pieces(seq: str | Column, width: int) -> Column:
     return F.regexp_extract_all(col, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
 
 
+def tile_width(overlap: int, width: int = TILE) -> int:
+    """Letters that a tile owns: the overlap must fit into the next tile."""
+    return max(width, overlap)
+
+
 def tile_rows(df: DataFrame, seq: str = "seq", overlap: int = 0, width: int = TILE) -> DataFrame:
     """Replace ``seq`` by ``tile_start0`` and ``tile``.
 
     Each tile also carries the first ``overlap`` letters that follow it, so a
     pattern of ``overlap + 1`` letters is found in the tile where it starts.
     """
-    width = max(width, overlap)
+    width = tile_width(overlap, width)
     cut = df.withColumn("_pieces", pieces(seq, width))
     if overlap:
         tail = lambda i: F.coalesce(F.substring(F.get(F.col("_pieces"), i + 1), 1, overlap), F.lit(""))

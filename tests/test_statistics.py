@@ -274,3 +274,43 @@ def test_de_finds_changed_genes(spark):
     assert sum(res[g]["padj"] < 0.05 for g in range(10, 200)) < 15
     with pytest.raises(ValueError):
         expression.align_samples(counts, meta.where("sample < 5"))
+
+
+def test_tied_and_missing_values(spark):
+    tied = spark.createDataFrame([("a", 1.0)] * 4 + [("b", 1.0)] * 5, "g string, v double")
+    r = hypothesis.mann_whitney(tied, "g", "v", "a", "b").first()
+    assert (r["u"], r["z"], r["p"]) == (10.0, 0.0, 1.0)
+    k = hypothesis.kruskal(tied, "g", "v").first()
+    assert k["k"] == 2 and k["h"] is None and k["p"] is None
+    some = spark.createDataFrame([("a", float(x)) for x in (1, 2, 3, "nan", 4)], "g string, v double")
+    r = hypothesis.group_stats(some, "g", "v").first()
+    assert (r["n"], r["mean"], r["median"]) == (4, 2.5, 2.5)
+
+
+def test_concordance_of_real_times(spark):
+    rows = spark.createDataFrame([(1.1, 1, 4.0), (1.2, 1, 3.0), (1.3, 0, 2.0), (1.4, 1, 1.0)], "time double, event int, risk double")
+    r = survival.concordance_index(rows, "risk").first()
+    assert (r["concordant"], r["comparable"], r["c_index"]) == (5, 5, 1.0)
+
+
+def test_normality_without_order_uses_all_rows(spark):
+    nd = statistics.NormalDist()
+    rows = [(g, nd.inv_cdf((i - 0.375) / 6000.25)) for g in "xy" for i in range(1, 6001)] + [("z", v) for v in (1.0, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in hypothesis.shapiro(df, "g", "v").collect()}
+    assert got["x"]["n"] == 6000 and got["x"]["p"] > 0.5
+    assert got["z"]["w"] == pytest.approx(1.0) and got["z"]["p"] == pytest.approx(1.0)
+    assert hypothesis.stats_test(df.where("g <> 'z'"), "g", "v").first()["test"] == "Independent t-test"
+    with pytest.raises(ValueError):
+        hypothesis.shapiro(df, "g", "v", order="v")
+
+
+def test_chi2_with_many_degrees_of_freedom(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.functions import distributions as D
+
+    for k in (20_000, 200_000, 2_000_000):
+        p = spark.range(1).select(D.chi2_upper(F.lit(float(k)), F.lit(float(k)))).first()[0]
+        # median of chi-squared is about k - 2/3, density there 1 / sqrt(4 pi k)
+        assert p == pytest.approx(0.5 - (2 / 3) / math.sqrt(4 * math.pi * k), abs=2e-6)
