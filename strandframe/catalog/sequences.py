@@ -339,7 +339,7 @@ def _(x):
     return codons.adaptation_index(x.seqs, x.seqs)
 
 
-_HOST = ", ".join("('{}', '{}')".format(*p.split(":")) for p in (T.HOST_CODONS["ecoli"] + ",*:TAA").split(","))
+_HOST = ", ".join(f"('{aa}', '{codon}')" for aa, codon in (T.HOST_CODONS["ecoli"] | {"*": "TAA"}).items())
 _OPT = f"""chars AS ({CHARS}), code(codon, aa) AS (VALUES {CODE}), host(aa, best) AS (VALUES {_HOST}), tri AS ({TRIPLES}),
     o AS (SELECT seq_id, string_agg(best, '' ORDER BY pos) AS optimized_sequence, count(*) FILTER (aa <> '*' AND best <> codon) AS codon_changes, count(*) AS protein_length
         FROM tri JOIN code USING (codon) JOIN host USING (aa) WHERE pos % 3 = 0 GROUP BY seq_id)"""

@@ -70,7 +70,7 @@ def codon_optimize(df: DataFrame, organism: str = "ecoli") -> DataFrame:
     """
     if organism not in T.HOST_CODONS:
         raise ValueError(f"unknown organism: {organism}; supported: {', '.join(T.HOST_CODONS)}")
-    best = dict(x.split(":") for x in T.HOST_CODONS[organism].split(","))
+    best = T.HOST_CODONS[organism]
     letters = "".join(best)
     choices = F.array(*[F.lit(best[x]) for x in letters])
     pick = lambda aa: F.get(choices, F.instr(F.lit(letters), aa) - 1)
