@@ -13,7 +13,13 @@ from strandframe.llm.common import stored
 from strandframe.llm.words import WordHash, grams, split_words
 from strandframe.plans.scan import row_positions
 
-CELLS = 1 << 14
+CELLS = 1 << 20
+#: Pseudo texts that draw a gram's toxic share to the base rate.
+PRIOR_TEXTS = 10.0
+#: Pseudo n-grams that draw a cell's log ratio to zero.
+PRIOR_GRAMS = 1.0
+FLUSH = 1 << 20
+PLAIN = bytes(c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
 
 def _cells(text: str | None, cache: WordHash) -> np.ndarray:
@@ -21,52 +27,139 @@ def _cells(text: str | None, cache: WordHash) -> np.ndarray:
     return (np.concatenate([grams(h, 1), grams(h, 2, 1)]) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _marks(text: str | None, cache: WordHash) -> np.ndarray:
+    """Distinct 64-bit unigrams and bigrams of a text without its ASCII punctuation."""
+    h = cache.of((text or "").encode("utf-8", "surrogatepass").translate(PLAIN).lower().split())
+    return np.unique(np.concatenate([grams(h, 1), grams(h, 2, 1)])).view(np.int64)
+
+
+def _met(known: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Places in the sorted ``known`` of the ``marks`` that are there."""
+    if not len(known):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(known, marks), len(known) - 1)
+    return at[known[at] == marks]
+
+
+def evidence(bad: np.ndarray, fine: np.ndarray, n_bad: int, n_fine: int) -> np.ndarray:
+    """Likelihood-ratio statistic of grams held by ``bad`` toxic and ``fine`` clean texts; 0 where toxic texts hold it less often."""
+    held, rate = bad + fine, n_bad / (n_bad + n_fine)
+    total = np.zeros(len(bad))
+    for seen, due in ((bad, held * rate), (fine, held * (1 - rate)), (n_bad - bad, (n_bad + n_fine - held) * rate), (n_fine - fine, (n_bad + n_fine - held) * (1 - rate))):
+        total += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(due, 1e-300)), 0.0)
+    return np.where(bad > held * rate, total, 0.0)
+
+
+def _suspects(base: DataFrame, n_bad: int, n_fine: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Sorted grams of labelled toxic texts that can still be telling, the number of such texts, the evidence needed.
+
+    A gram held by so few toxic texts that it would not be telling even if no clean text held it stays in Spark.
+    """
+    if not n_bad or not n_fine:
+        return np.empty(0, np.int64), np.empty(0, np.int64), 0.0
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cache = WordHash()
+            gram, bad = np.unique(np.concatenate([_marks(t, cache) for t in batch["text"]] or [np.empty(0, np.int64)]), return_counts=True)
+            yield pd.DataFrame({"gram": gram, "bad": bad})
+
+    seen = stored(base.where("_t = 1").select("text").mapInPandas(count, "gram long, bad long").groupBy("gram").agg(F.sum("bad").alias("bad")), "toxic_grams")
+    needed = 2 * np.log(max(seen.count(), 2))
+    alone = np.arange(1, n_bad + 1)
+    enough = alone[evidence(alone, np.zeros(n_bad, np.int64), n_bad, n_fine) > needed]
+    found = seen.where(F.col("bad") >= int(enough[0] if len(enough) else n_bad + 1)).toArrow()
+    gram, bad = found["gram"].to_numpy(), found["bad"].to_numpy()
+    order = np.argsort(gram)
+    return gram[order], bad[order], needed
+
+
 def resampled(docs: DataFrame, labels: DataFrame, keep: float = 0.5, seed: int = 23) -> DataFrame:
     """doc_id, log_weight, gumbel_key, kept for every row of ``docs`` (doc_id, text).
 
     Target model: texts that ``labels`` (doc_id, quality, toxic) calls good and not
     toxic.  Raw model: all texts.  Both count hashed unigrams and bigrams over all
-    their rows.  ``log_weight`` is the mean log ratio per n-gram times the square
+    their rows; a cell's log ratio is that of its count to the count due in the
+    target, both with pseudo n-grams.  ``log_weight`` is the mean log ratio per n-gram times the square
     root of their number, so long texts do not outweigh the rest; adding seeded
     Gumbel noise and keeping the ``keep`` share with the largest keys samples
-    without replacement in proportion to the weights.  Texts labelled toxic
-    are never kept.  Texts without words weigh 0.  Ties keep the smaller doc_id.
+    without replacement in proportion to the weights.
+
+    Toxic model: unigrams and bigrams (64-bit, no shared cells) that labelled toxic
+    texts hold more often than labelled clean ones beyond chance, each with the log
+    ratio of its shrunken odds to the base odds.  A text whose base odds and ratios
+    sum above zero is never kept, labelled or not, nor is a text labelled toxic.
+    Without both kinds of label only the labels reject.
+
+    Texts without words weigh 0.  Ties keep the smaller doc_id.
     Without any target text every weight is 0.
     """
     marks = labels.groupBy("doc_id").agg(F.max("quality").alias("_q"), F.max("toxic").alias("_t"))
     base = stored(docs.select("doc_id", "text").join(marks, "doc_id", "left"), "labelled")
     good = (F.col("_q") == 1) & (F.coalesce("_t", F.lit(0)) == 0)
+    n, n_bad, n_fine = base.agg(F.count(F.lit(1)), F.count_if(F.col("_t") == 1), F.count_if(F.col("_t") == 0)).first()
+    gram, bad, needed = _suspects(base, n_bad, n_fine)
+    suspects = base.sparkSession.sparkContext.broadcast(gram)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, CELLS), np.int64)
+        sums, fine = np.zeros((2, CELLS), np.int64), np.zeros(len(suspects.value), np.int64)
+        waiting: list[list[np.ndarray]] = [[], []]
+        held = 0
+
+        def flush() -> None:
+            for k in range(2):
+                if waiting[k]:
+                    sums[k] += np.bincount(np.concatenate(waiting[k]), minlength=CELLS)
+                    waiting[k].clear()
+
         for batch in batches:
             cache = WordHash()
-            for text, target in zip(batch["text"], batch["target"], strict=True):
-                c = np.bincount(_cells(text, cache), minlength=CELLS)
-                sums[0] += c
+            for text, target, clean in zip(batch["text"], batch["target"], batch["clean"], strict=True):
+                c = _cells(text, cache)
+                waiting[0].append(c)
                 if target:
-                    sums[1] += c
-        at = np.flatnonzero(sums[0])
+                    waiting[1].append(c)
+                if clean:
+                    fine[_met(suspects.value, _marks(text, cache))] += 1
+                held += len(c)
+                if held > FLUSH:
+                    flush()
+                    held = 0
+        flush()
+        at, which = np.flatnonzero(sums[0]), np.flatnonzero(fine)
         yield pd.DataFrame({"cell": at, "raw": sums[0][at], "target": sums[1][at]})
+        yield pd.DataFrame({"cell": -1 - which, "raw": fine[which], "target": np.zeros(len(which), np.int64)})
+
+    got = base.select("text", F.coalesce(good, F.lit(False)).alias("target"), F.coalesce(F.col("_t") == 0, F.lit(False)).alias("clean"))
+    got = got.mapInPandas(count, "cell long, raw long, target long").groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    got = got.toArrow()  # at most CELLS rows and one per suspect
+    cell, raw, target = (got[c].to_numpy() for c in ("cell", "raw", "target"))
+    fine = np.zeros(len(gram), np.int64)
+    fine[-1 - cell[cell < 0]] = raw[cell < 0]
+    cell, raw, target = cell[cell >= 0], raw[cell >= 0], target[cell >= 0]
+    ratio = np.zeros(CELLS)
+    if target.sum():
+        ratio[cell] = np.log((target + PRIOR_GRAMS) / (target.sum() * (raw / raw.sum()) + PRIOR_GRAMS))
 
-    got = base.select("text", F.coalesce(good, F.lit(False)).alias("target")).mapInPandas(count, "cell int, raw long, target long")
-    got = got.groupBy("cell").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toPandas()  # at most CELLS rows
-    counts = np.full((2, CELLS), 1.0)
-    counts[0, got["cell"]] += got["raw"]
-    counts[1, got["cell"]] += got["target"]
-    logp = np.log(counts / counts.sum(axis=1, keepdims=True))
-    ratio = logp[1] - logp[0] if got["target"].sum() else np.zeros(CELLS)
+    telling = evidence(bad, fine, n_bad, n_fine) > needed if len(gram) else np.zeros(0, bool)
+    rate = n_bad / max(n_bad + n_fine, 1)
+    share = (bad[telling] + PRIOR_TEXTS * rate) / (bad[telling] + fine[telling] + PRIOR_TEXTS)
+    prior = np.log(rate / (1 - rate)) if 0 < rate < 1 else -np.inf
+    shared = base.sparkSession.sparkContext.broadcast((ratio, gram[telling], np.log(share / (1 - share)) - prior, prior))
 
-    @F.pandas_udf("double")
-    def weight(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("weight double, toxic boolean")
+    def judge(texts: pd.Series) -> pd.DataFrame:
+        ratio, known, gain, prior = shared.value
         cache = WordHash()
         cells = [_cells(t, cache) for t in texts]
-        return pd.Series([float(ratio[c].mean() * np.sqrt(len(c))) if len(c) else 0.0 for c in cells], dtype=float)
+        weights = [float(ratio[c].mean() * np.sqrt(len(c))) if len(c) else 0.0 for c in cells]
+        toxic = [bool(prior + gain[_met(known, _marks(t, cache))].sum() > 0) for t in texts]
+        return pd.DataFrame({"weight": np.array(weights, float), "toxic": np.array(toxic, bool)})
 
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
-    keyed = base.select("doc_id", weight("text").alias("log_weight"), "_t").withColumn(
-        "gumbel_key", F.when(F.coalesce("_t", F.lit(0)) == 1, F.lit(float("-inf"))).otherwise(F.col("log_weight") - F.log(-F.log(unit)))
+    judged = stored(base.select("doc_id", "_t", judge("text").alias("_j")), "judged")
+    keyed = judged.select("doc_id", F.col("_j.weight").alias("log_weight"), (F.col("_j.toxic") | (F.coalesce("_t", F.lit(0)) == 1)).alias("_out")).withColumn(
+        "gumbel_key", F.when(F.col("_out"), F.lit(float("-inf"))).otherwise(F.col("log_weight") - F.log(-F.log(unit)))
     )
     ranked = row_positions(keyed, [F.col("gumbel_key").desc(), F.col("doc_id").asc()])
-    n = docs.count()
-    return ranked.select("doc_id", "log_weight", "gumbel_key", ((F.col("position") <= int(n * keep)) & (F.coalesce("_t", F.lit(0)) != 1)).alias("kept"))
+    return ranked.select("doc_id", "log_weight", "gumbel_key", ((F.col("position") <= int(n * keep)) & ~F.col("_out")).alias("kept"))

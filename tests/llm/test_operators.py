@@ -223,6 +223,24 @@ def test_quality(spark):
     assert quality.resampled(docs.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
 
 
+def test_quality_rejects_unlabelled_toxic_texts(spark):
+    rng = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(300)]
+    slurs = [f"slur{i}" for i in range(5)]
+    rows = []
+    for i in range(600):
+        w = rng.choices(vocabulary, k=40)
+        if i % 4 == 0:
+            w[5:7] = rng.sample(slurs, 2)
+            w[6] += rng.choice(["", ",", "!"])
+        rows.append((i, " ".join(w)))
+    labels = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = by_id(quality.resampled(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")))
+    assert not any(got[i].kept for i in range(0, 600, 4))
+    assert sum(r.kept for r in got.values()) == 300 and sum(got[i].kept for i in range(300, 600)) > 100
+
+
 def test_licenses(spark):
     filler = " ".join(f"w{i}" for i in range(500))
     rows = [(i, f"{' '.join(filler.split()[: i * 7])} {t} {filler}") for i, t in enumerate(license.NOTICES.values())]
