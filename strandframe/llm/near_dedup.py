@@ -40,7 +40,7 @@ def signature(shingles: np.ndarray, scatter: np.ndarray, shifts: np.ndarray) ->
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """doc_id, text, n_shingles, set_key (128-bit digest of the set), band keys."""
+    """row, doc_id, text_key, n_shingles, set_key (128-bit digest of the set), band keys."""
     import xxhash
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -60,9 +60,10 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
                     found.append(acc.astype(np.int64).tolist())
                 else:
                     found.append([])
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_shingles": sizes, "set_key": keys, "bands": found})
+            yield pd.DataFrame({"row": batch["row"], "doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"], "n_shingles": sizes, "set_key": keys, "bands": found})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_shingles long, set_key string, bands array<long>")
+    read = docs.select("row", "doc_id", "text", F.xxhash64("text").alias("text_key"))
+    return read.mapInPandas(run, "row long, doc_id long, text_key long, n_shingles long, set_key string, bands array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
@@ -84,46 +85,57 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
 
 def near_duplicates(
-    docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, seed: int = 17
+    docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 24, rows: int = 5, seed: int = 17, key: str | None = None
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
-    Null, empty and blank texts have no shingles and link with nothing.  Rows
-    that repeat a doc_id stay as they are and share one component.  Rows with
-    a null doc_id come back with null component and kept true.  An empty table
-    gives an empty result.
+    Null, empty and blank texts have no shingles and link with nothing.  Rows are
+    told apart by a row key, so repeated and null doc_ids lose no link: every
+    distinct shingle set is one class with one row and one text.  ``component_id``
+    is the smallest doc_id of the rows linked, a label only (null if all are null).
+    One row of a component is kept: the smallest doc_id (null last), of equal ids
+    the smallest text hash.  ``key`` names a column of stored, unique longs to use as
+    row key, which then comes back as well.  An empty table gives an empty result.
     """
+    if key is None:
+        docs = stored(docs.select("doc_id", "text").withColumn("row", F.monotonically_increasing_id()), "rows")
+    else:
+        docs = docs.select(F.col(key).alias("row"), "doc_id", "text")
     sign = stored(signed(docs, n, bands, rows, seed), "signatures")
-    full = sign.where("set_key is not null and doc_id is not null")
-    classes = stored(full.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("m")), "classes")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
+    classes = stored(
+        sign.where("set_key is not null").groupBy("set_key").agg(F.min("row").alias("rep"), F.min(order).alias("head")), "classes"
+    )
     # the signature is a function of the set, so any row of a class serves
-    reps = full.dropDuplicates(["doc_id"]).join(classes.select(F.col("rep").alias("doc_id"), "set_key"), ["doc_id", "set_key"])
-    member = stored(reps.select("doc_id", "n_shingles", F.explode("bands").alias("band")), "bands")
-    lead = member.groupBy("band").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
+    reps = sign.join(classes.select(F.col("rep").alias("row")), "row", "left_semi")
+    member = stored(reps.select("row", "n_shingles", F.explode("bands").alias("band")), "bands")
+    lead = member.groupBy("band").agg(F.min("row").alias("b"), F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     busy = stored(member.join(lead, "band"), "buckets")
-    star = stored(busy.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "star")
-    texts = docs.select("doc_id", "text").dropDuplicates(["doc_id"])
-    wanted = star.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = stored(texts.join(wanted, "doc_id", "left_semi"), "texts")
+    star = stored(busy.where("row <> b").select(F.col("row").alias("a"), "b").distinct(), "star")
+    texts = docs.select("row", "text")
+    wanted = star.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    texts = stored(texts.join(wanted, "row", "left_semi"), "texts")
     first = stored(verified(star, texts, n, percent), "links")
     found = components(first)
-    place = busy.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
-        "band", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("comp")
+    place = busy.join(found.withColumnRenamed("id", "row"), "row", "left").select(
+        "band", "row", "n_shingles", F.coalesce("component", "row").alias("comp")
     )
     mixed = place.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     place = stored(place.join(mixed, "band", "left_semi"), "mixed")
     other = place.toDF("band", "b", "m", "comp_b")
     rest = (
-        place.join(other, "band").where("comp <> comp_b and doc_id > b").where(fits("n_shingles", "m"))
-        .select(F.col("doc_id").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
+        place.join(other, "band").where("comp <> comp_b and row > b").where(fits("n_shingles", "m"))
+        .select(F.col("row").alias("a"), "b").distinct().join(star, ["a", "b"], "left_anti")
     )
     more = stored(verified(rest, texts, n, percent), "links")
     found = components(first.union(more)) if more.limit(1).count() else found
-    return (
-        sign.select("doc_id", "n_shingles", "set_key")
-        .join(classes.select("set_key", "rep"), "set_key", "left")
-        .join(found.select(F.col("id").alias("rep"), "component"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    placed = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_key", "head", F.coalesce("component", "rep").alias("component"))
+    heads = placed.groupBy("component").agg(F.min("head").alias("first"))
+    of_set = placed.join(heads, "component").select("set_key", F.col("first.doc_id").alias("_label"), F.col("first.row").alias("_stays"))
+    out = sign.select("row", "doc_id", "n_shingles", "set_key").join(of_set, "set_key", "left")
+    named = [] if key is None else [F.col("row").alias(key)]
+    return out.select(
+        *named, "doc_id", "n_shingles", F.when(F.col("_stays").isNull(), F.col("doc_id")).otherwise(F.col("_label")).alias("component_id"),
+        F.coalesce(F.col("row") == F.col("_stays"), F.lit(True)).alias("kept"),
     )
