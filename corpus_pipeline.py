@@ -16,6 +16,13 @@ from strandframe.llm.queries import MIX
 
 #: A text none of whose languages reaches this share has no main language.
 LEAST_SHARE = 0.5
+#: Row key of the stages that drop rows: ids may repeat or be null.
+ROW = "_row"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """Stored, so that every read of a row sees the same key."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +32,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
-    gone = near_dedup.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays, that of the smallest doc_id (five-word shingles, similarity 0.8 or more)."""
+    rows = keyed(docs)
+    gone = near_dedup.near_duplicates(rows, key=ROW).where("not kept").select(ROW)
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of ten benchmark words go."""
-    gone = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = keyed(docs)
+    told = decontaminate.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    gone = told.where("contaminated").select(F.col("doc_id").alias(ROW))
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
