@@ -26,6 +26,65 @@ def _(x):
     return A.pairwise_align(_turn_pairs(x), mode="local")
 
 
+def _path_code():
+    """One number for the whole path: digits 1 (pair), 2 (gap in a), 3 (gap in b) to base 5."""
+    kind = lambda x, y: F.when(x == "-", 2).when(y == "-", 3).otherwise(1)
+    kinds = F.zip_with(F.split("aligned_a", ""), F.split("aligned_b", ""), kind)
+    return F.aggregate(kinds, F.lit(0).cast("long"), lambda code, k: (code * 5 + k) % 2147483629)
+
+
+_NONE = "{'s': -1e18, 'k': 0::BIGINT, 'e': 0, 'l': 0, 'x': 0, 'y': 0}"
+
+
+def _align_sql(local: bool) -> str:
+    """Recursion over anti-diagonals: score, path code, equal letters, columns and start of the best path into every cell."""
+    gap = lambda v, cost, op: f"{{'s': {v}.s - {cost}, 'k': ({v}.k * 5 + {op}) % 2147483629, 'e': {v}.e, 'l': {v}.l + 1, 'x': {v}.x, 'y': {v}.y}}"
+    longer = lambda h, g, op: f"CASE WHEN {h} IS NULL THEN {_NONE} WHEN {h}.s - 5 >= {g}.s - 2 THEN {gap(h, 5, op)} ELSE {gap(g, 2, op)} END"
+    same = "CASE WHEN a[i] = b[d - i] THEN {} ELSE {} END"
+    stop = "WHEN greatest(coalesce(g.s, -1e18), e.s, f.s) <= 0 THEN {'s': 0.0::DOUBLE, 'k': 0::BIGINT, 'e': 0, 'l': 0, 'x': i, 'y': d - i}" if local else ""
+    return f"""WITH bare AS (SELECT seq_id, replace(aligned, '-', '') AS s FROM msa),
+    pr AS (SELECT x.seq_id AS pair_id, x.s AS a, y.s AS b, length(x.s) AS n, length(y.s) AS m FROM bare x JOIN bare y ON y.seq_id = x.seq_id + 1),
+    dp AS (
+        SELECT pair_id, 0 AS d, 0 AS i, {_NONE.replace('-1e18', '0.0::DOUBLE')} AS h, {_NONE} AS e, {_NONE} AS f, NULL::STRUCT(s DOUBLE, k BIGINT, e INTEGER, l INTEGER, x INTEGER, y INTEGER) AS p FROM pr
+        UNION ALL
+        SELECT pair_id, d, i, CASE {stop} WHEN g.s >= greatest(e.s, f.s) THEN g WHEN e.s >= f.s THEN e ELSE f END, e, f, p FROM (
+            SELECT q.pair_id, d, i, p, {longer('lh', 'le', 2)} AS e, {longer('uh', 'uf', 3)} AS f,
+                CASE WHEN up IS NOT NULL THEN {{'s': up.s + {same.format(2, -1)}, 'k': (up.k * 5 + 1) % 2147483629, 'e': up.e + {same.format(1, 0)}, 'l': up.l + 1, 'x': up.x, 'y': up.y}} END AS g
+            FROM (
+                SELECT pair_id, d + 1 AS d, i + z AS i, any_value(h) FILTER (z = 0) AS lh, any_value(e) FILTER (z = 0) AS le, any_value(h) FILTER (z = 1) AS uh,
+                    any_value(f) FILTER (z = 1) AS uf, any_value(p) FILTER (z = 1) AS up, any_value(h) FILTER (z = 0) AS p
+                FROM (SELECT *, unnest([0, 1]) AS z FROM dp) GROUP BY pair_id, d, i + z
+            ) q JOIN pr ON pr.pair_id = q.pair_id AND i <= n AND d - i <= m
+        ) c
+    ),
+    best AS (SELECT pair_id, d, i, h, row_number() OVER (PARTITION BY pair_id ORDER BY {'h.s DESC, i, d' if local else 'd DESC'}) AS r FROM dp)
+    SELECT pair_id, h.s AS score, h.x AS a_start, i AS a_end, h.y AS b_start, d - i AS b_end, h.e AS matches, h.l AS columns, round(100.0 * h.e / nullif(least(n, m), 0), 4) AS identity_pct,
+        h.k AS path_code, true AS texts_agree
+    FROM best JOIN pr USING (pair_id) WHERE r = 1"""
+
+
+def _aligned_rows(x, mode: str):
+    bare = x.msa.select("seq_id", F.replace("aligned", F.lit("-"), F.lit("")).alias("s"))
+    pairs = bare.select(F.col("seq_id").alias("pair_id"), F.col("s").alias("a")).join(bare.select((F.col("seq_id") - 1).alias("pair_id"), F.col("s").alias("b")), "pair_id")
+    found = A.pairwise_align(pairs, mode).join(pairs, "pair_id")
+    part = lambda c: F.substring(c, F.col(f"{c}_start") + 1, F.col(f"{c}_end") - F.col(f"{c}_start"))
+    agree = [F.replace(f"aligned_{c}", F.lit("-"), F.lit("")) == part(c) for c in "ab"]
+    return found.select(
+        "pair_id", "score", "a_start", "a_end", "b_start", "b_end", "matches", "columns", F.round("identity_pct", 4).alias("identity_pct"),
+        F.when(F.col("columns") == 0, F.lit(0).cast("long")).otherwise(_path_code()).alias("path_code"), (agree[0] & agree[1]).alias("texts_agree"),
+    )
+
+
+@query("align_rows_global", _align_sql(False), ["msa"])
+def _(x):
+    return _aligned_rows(x, "global")
+
+
+@query("align_rows_local", _align_sql(True), ["msa"])
+def _(x):
+    return _aligned_rows(x, "local")
+
+
 _ROWPAIRS = """rp AS (SELECT a.seq_id AS pair_id, a.aligned AS a, b.aligned AS b FROM msa a JOIN msa b ON b.seq_id = a.seq_id + 1),
     rc AS (SELECT pair_id, unnest(string_split(a, '')) AS a, unnest(string_split(b, '')) AS b, unnest(range(1, length(a) + 1)) AS pos FROM rp)"""
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
+from strandframe.operators.pairwise import pairwise_align  # noqa: F401
 from strandframe.plans import scan, tiles
 
 
@@ -15,71 +16,6 @@ from strandframe.plans import scan, tiles
 _BROADCAST_ROWS = 2_000_000
 
 
-def pairwise_align(
-    pairs: DataFrame, mode: str = "global", match: float = 2, mismatch: float = -1, open_gap: float = -5, extend_gap: float = -2,
-    matrix: dict[tuple[str, str], float] | None = None,
-) -> DataFrame:
-    """Best affine-gap score of every pair ``(pair_id, a, b)`` (Gotoh 1982).
-
-    ``global`` aligns end to end, ``local`` the best inner part.  The recursion
-    runs along anti-diagonals on whole texts, one Arrow batch at a time; Spark
-    spreads the pairs.  A ``matrix`` of letter pairs replaces match/mismatch.
-    """
-    if mode not in ("global", "local"):
-        raise ValueError("mode must be global or local")
-
-    def score(batches):
-        import numpy as np
-        import pandas as pd
-
-        letters = sorted({x for k in (matrix or {}) for x in k})
-        place = {x: i + 1 for i, x in enumerate(letters)}
-        table = np.full((len(letters) + 1, len(letters) + 1), float(mismatch))
-        for (x, y), v in (matrix or {}).items():
-            table[place[x], place[y]] = table[place[y], place[x]] = v
-
-        def codes(s):
-            return np.array([place.get(c, 0) for c in s]) if matrix else np.frombuffer(s.encode("utf-32-le"), dtype=np.uint32)
-
-        def best(s, t):
-            x, y, n, m = codes(s), codes(t), len(s), len(t)
-            if n == 0 or m == 0:
-                return 0.0 if mode == "local" or n == m else open_gap + (max(n, m) - 1) * extend_gap
-            low = -1e18
-            edge = lambda k: 0.0 if mode == "local" or k == 0 else open_gap + (k - 1) * extend_gap
-            # cell (i, j) of anti-diagonal d = i + j is kept at index i
-            h2, h1 = np.full(n + 1, low), np.full(n + 1, low)
-            e1, f1 = np.full(n + 1, low), np.full(n + 1, low)
-            h1[0] = 0.0
-            top = 0.0
-            for d in range(1, n + m + 1):
-                lo, hi = max(0, d - m), min(n, d)
-                h, e, f = np.full(n + 1, low), np.full(n + 1, low), np.full(n + 1, low)
-                if lo == 0:
-                    h[0] = edge(d)
-                if hi == d:
-                    h[d] = edge(d)
-                i = np.arange(max(lo, 1), min(hi, d - 1) + 1)
-                if len(i):
-                    j = d - i
-                    e[i] = np.maximum(h1[i] + open_gap, e1[i] + extend_gap)
-                    f[i] = np.maximum(h1[i - 1] + open_gap, f1[i - 1] + extend_gap)
-                    step = table[x[i - 1], y[j - 1]] if matrix else np.where(x[i - 1] == y[j - 1], match, mismatch)
-                    v = np.maximum(h2[i - 1] + step, np.maximum(e[i], f[i]))
-                    if mode == "local":
-                        v = np.maximum(v, 0.0)
-                        top = max(top, float(v.max()))
-                    h[i] = v
-                h2, h1, e1, f1 = h1, h, e, f
-            return top if mode == "local" else float(h1[n])
-
-        for b in batches:
-            yield pd.DataFrame({"pair_id": b["pair_id"], "score": [best(s, t) for s, t in zip(b["a"], b["b"])]})
-
-    kind = dict(pairs.dtypes)["pair_id"]
-    return pairs.select("pair_id", "a", "b").mapInPandas(score, f"pair_id {kind}, score double")
-
-
 def _letters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 

@@ -213,6 +213,44 @@ def test_alignment_scores(spark, mode):
     assert all(got[i] == naive_align(a, b, mode) for i, a, b in rows)
 
 
+@pytest.mark.parametrize("mode", ["global", "local"])
+def test_alignment_texts(spark, mode):
+    """Small cell budgets divide every pair; the path always adds up to the best score."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 30)))
+    rows = [(i, word(), word()) for i in range(60)] + [(60, None, "AC"), (61, "", ""), (62, None, None), (63, "été 😀", "ete 😀"), (64, "ACGT" * 40, "T" + "ACGT" * 40)]
+    pairs = spark.createDataFrame(rows, "pair_id int, a string, b string").repartition(3)
+    for cells in (12, 200, 1 << 25):
+        found = {r["pair_id"]: r for r in alignment.pairwise_align(pairs, mode, cells=cells).collect()}
+        assert len(found) == len(rows)
+        for i, a, b in rows:
+            a, b, r = a or "", b or "", found[i]
+            assert r.score == naive_align(a, b, mode)
+            assert r.aligned_a.replace("-", "") == a[r.a_start : r.a_end] and r.aligned_b.replace("-", "") == b[r.b_start : r.b_end]
+            if mode == "global":
+                assert (r.a_start, r.a_end, r.b_start, r.b_end) == (0, len(a), 0, len(b))
+            assert len(r.aligned_a) == len(r.aligned_b) == r.columns and "--" not in {x + y for x, y in zip(r.aligned_a, r.aligned_b)}
+            total, prior = 0, None
+            for x, y in zip(r.aligned_a, r.aligned_b):
+                kind = "a" if x == "-" else "b" if y == "-" else None
+                total += (-2 if kind == prior else -5) if kind else 2 if x == y else -1
+                prior = kind
+            assert total == r.score
+            assert r.matches == sum(x == y for x, y in zip(r.aligned_a, r.aligned_b))
+            assert r.identity_pct is None if not min(len(a), len(b)) else r.identity_pct == 100 * r.matches / min(len(a), len(b))
+    assert alignment.pairwise_align(pairs.limit(0), mode).count() == 0
+
+
+def test_alignment_matrix(spark):
+    matrix = {("W", "W"): 11, ("A", "A"): 4, ("A", "W"): -3, ("A", "G"): 0, ("G", "G"): 6}
+    pairs = spark.createDataFrame([(1, "AWGA", "AWA"), (2, "XA", "XA")], "pair_id int, a string, b string")
+    found = {r["pair_id"]: r for r in alignment.pairwise_align(pairs, matrix=matrix, mismatch=-4, open_gap=-3, extend_gap=-1).collect()}
+    assert (found[1].score, found[1].aligned_a, found[1].aligned_b) == (16, "AWGA", "AW-A")
+    assert found[2].score == 0  # X is unknown to the matrix
+    with pytest.raises(ValueError):
+        alignment.pairwise_align(pairs, open_gap=-1, extend_gap=-2)
+
+
 def test_alignment_columns(spark):
     msa = spark.createDataFrame([(1, 0, "ACGT-ACGTACGTAA"), (1, 1, "ACGT-ACGTACGTAC"), (1, 2, "ACCT-ACGTACGTAG")], "aln_id int, seq_id int, aligned string")
     assert alignment.msa_consensus(msa).first()["consensus"] == "ACGT-ACGTACGTAA"
