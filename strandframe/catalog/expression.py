@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from strandframe.catalog import tails
 from strandframe.catalog.base import query
 from strandframe.operators import expression as E
+from strandframe.operators import glm as G
 
 _SF = """w AS (SELECT gene, avg(ln(n)) AS lg FROM counts WHERE n > 0 GROUP BY gene HAVING count(*) = (SELECT count(DISTINCT sample) FROM counts)),
     sf AS (SELECT sample, exp(quantile_cont(ln(n) - lg, 0.5)) AS size_factor FROM counts JOIN w USING (gene) GROUP BY sample)"""
@@ -123,27 +124,138 @@ def _fit(x, reduced=False):
 
 
 _LM = """l AS (SELECT gene, sample, log2(n * 1e6 / sum(n) OVER (PARTITION BY sample) + 1) AS y FROM counts),
-    d AS (SELECT gene, y, (batch = 'b1')::INT::DOUBLE AS b, (condition = 'trt')::INT::DOUBLE AS c FROM l JOIN meta USING (sample)),
-    m AS (SELECT gene, count(*) AS n, avg(y) AS my, avg(b) AS mb, avg(c) AS mc, covar_pop(y, b) AS yb, covar_pop(y, c) AS yc, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(b, c) AS bc, var_pop(y) AS yy FROM d GROUP BY gene HAVING count(*) = 6),
-    f AS (SELECT *, (yb * cc - yc * bc) / (bb * cc - bc * bc) AS beta_b, (yc * bb - yb * bc) / (bb * cc - bc * bc) AS beta_c FROM m)"""
+    d AS (SELECT gene, coalesce(y, 0) AS y, (batch = 'b1')::INT::DOUBLE AS b, (condition = 'trt')::INT::DOUBLE AS c FROM (SELECT DISTINCT gene FROM counts) g CROSS JOIN meta LEFT JOIN l USING (gene, sample)),
+    m AS (SELECT gene, count(*) AS n, avg(y) AS my, avg(b) AS mb, avg(c) AS mc, covar_pop(y, b) AS yb, covar_pop(y, c) AS yc, var_pop(b) AS bb, var_pop(c) AS cc, covar_pop(b, c) AS bc, var_pop(y) AS yy FROM d GROUP BY gene),
+    f AS (SELECT *, (yb * cc - yc * bc) / (bb * cc - bc * bc) AS beta_b, (yc * bb - yb * bc) / (bb * cc - bc * bc) AS beta_c FROM m),
+    rs AS (SELECT *, greatest(n * (yy - beta_b * yb - beta_c * yc), 0) AS rss, greatest(n * (yy - yb * yb / bb), 0) AS rss0 FROM f)"""
 
 
-@query("linear_model", f"WITH {_LM} SELECT gene, round(beta_b, 5) AS batch, round(beta_c, 5) AS condition, round(n * (yy - beta_b * yb - beta_c * yc), 5) AS rss FROM f", ["counts", "meta"])
+@query("linear_model", f"WITH {_LM} SELECT gene, round(beta_b, 5) AS batch, round(beta_c, 5) AS condition, round(rss, 5) AS rss FROM rs", ["counts", "meta"])
 def _(x):
-    fit = _fit(x).where("df_residual = 3")
-    return fit.groupBy("gene").agg(
+    return _fit(x).groupBy("gene").agg(
         *[F.round(F.max(F.when(F.col("term") == t, F.col("estimate"))), 5).alias(t) for t in ("batch", "condition")], F.round(F.max("rss"), 5).alias("rss")
     )
 
 
-@query("moderated_t")
+def _adjusted(table: str, p: str) -> str:
+    """Benjamini-Hochberg over all rows of ``table``."""
+    return f"""rk AS (SELECT *, rank() OVER (ORDER BY {p} DESC) AS dr, count(*) OVER () AS tests FROM {table}),
+    bh AS (SELECT *, least(1.0, min({p} * tests / (tests - dr + 1)) OVER (ORDER BY {p} DESC RANGE UNBOUNDED PRECEDING)) AS padj FROM rk)"""
+
+
+_DIGAMMA = lambda x: f"(ln({x} + 12) - 1 / (2 * ({x} + 12)) - 1 / (12 * pow({x} + 12, 2)) + 1 / (120 * pow({x} + 12, 4)) - list_sum(list_transform(range(12), lambda k: 1 / ({x} + k))))"
+_TRIGAMMA = lambda x: f"(1 / ({x} + 12) + 1 / (2 * pow({x} + 12, 2)) + 1 / (6 * pow({x} + 12, 3)) - 1 / (30 * pow({x} + 12, 5)) + list_sum(list_transform(range(12), lambda k: 1 / pow({x} + k, 2))))"
+# bisection on the log scale for trigamma(y) = excess, where the library takes Newton steps
+_PRIOR = f"""ex AS (SELECT avg(lv) AS e, var_samp(lv) - {_TRIGAMMA("1.5::DOUBLE")} AS v FROM (SELECT ln(rss / 3) - {_DIGAMMA("1.5::DOUBLE")} + ln(1.5) AS lv FROM rs WHERE rss > 0) q),
+    bs AS (SELECT 0 AS r, ln(1e-6) AS lo, ln(1e9) AS hi, v FROM ex UNION ALL
+        SELECT r + 1, CASE WHEN {_TRIGAMMA("exp((lo + hi) / 2)")} > v THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_TRIGAMMA("exp((lo + hi) / 2)")} > v THEN hi ELSE (lo + hi) / 2 END, v FROM bs WHERE r < 80),
+    pd AS (SELECT exp((lo + hi) / 2) AS y, e FROM bs, ex WHERE r = 80), pr AS (SELECT 2 * y AS d0, exp(e + {_DIGAMMA("y")} - ln(y)) AS s0 FROM pd)"""
+
+
+@query(
+    "moderated_t",
+    f"""WITH {_LM}, {_PRIOR}, mt AS (SELECT gene, beta_c, d0 + 3 AS dof, beta_c / sqrt((d0 * s0 + rss) / (d0 + 3) / (n * (cc - bc * bc / bb))) AS t FROM rs, pr),
+    mp AS (SELECT *, {tails.t_two_sided("t", "dof", 4000)} AS p FROM mt), {_adjusted("mp", "p")}
+    SELECT gene, 'condition' AS term, round(beta_c, 5) AS estimate, round(t, 4) AS t, round(dof, 4) AS dof, round(p, 5) AS p, round(padj, 5) AS padj FROM bh""",
+    ["counts", "meta"],
+)
+def _(x):
+    found = E.moderated_t(_fit(x), ["condition"])
+    return found.select("gene", "term", F.round("estimate", 5).alias("estimate"), F.round("t", 4).alias("t"), F.round("dof", 4).alias("dof"), F.round("p", 5).alias("p"), F.round("padj", 5).alias("padj"))
+
+
+@query(
+    "nested_model_test",
+    f"""WITH {_LM}, lr AS (SELECT gene, greatest(0, n * ln(rss0 / rss)) AS deviance FROM rs WHERE rss > 0 AND rss0 > 0), lp AS (SELECT *, {tails.chi2_upper("deviance", "1")} AS p FROM lr), {_adjusted("lp", "p")}
+    SELECT gene, round(deviance, 4) AS deviance, 1.0::DOUBLE AS dof, round(p, 5) AS p, round(padj, 5) AS padj FROM bh""",
+    ["counts", "meta"],
+)
 def _(x):
-    return E.moderated_t(_fit(x), ["condition"])
+    found = E.nested_model_test(_fit(x), _fit(x, reduced=True))
+    return found.select("gene", F.round("deviance", 4).alias("deviance"), "dof", F.round("p", 5).alias("p"), F.round("padj", 5).alias("padj"))
+
+
+#: Rounds of the fits that are compared with SQL.
+_ROUNDS = 8
+
+
+def _nb_sql(name: str, second: str) -> str:
+    """Reweighted least squares of the counts on a batch and a second column, with the 3 x 3 inverse written out."""
+    mean = "greatest(CASE WHEN r = 0 THEN y + 0.1 * exp(o) ELSE exp(b0 + b1 * x1 + b2 * x2 + o) END, 0.5)"
+    gram = ", ".join(f"sum(w * x{i} * x{j}) + {'1e-6' if i == j else '0'} AS a{i}{j}" for i in range(3) for j in range(i, 3))
+    inverse = """a11 * a22 - a12 * a12 AS c00, a02 * a12 - a01 * a22 AS c01, a01 * a12 - a02 * a11 AS c02, a00 * a22 - a02 * a02 AS c11, a01 * a02 - a00 * a12 AS c12, a00 * a11 - a01 * a01 AS c22"""
+    cells = f"SELECT t.*, y, o, x0, x1, {second} AS x2, {mean} AS m FROM {{}} t JOIN gr USING (gene)"
+    return f"""{name} AS (SELECT 0 AS r, gene, 0.0::DOUBLE AS b0, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2 FROM (SELECT DISTINCT gene FROM counts) g
+        UNION ALL
+        SELECT r + 1, gene, (c00 * v0 + c01 * v1 + c02 * v2) / det, (c01 * v0 + c11 * v1 + c12 * v2) / det, (c02 * v0 + c12 * v1 + c22 * v2) / det
+        FROM (SELECT *, a00 * c00 + a01 * c01 + a02 * c02 AS det FROM (SELECT *, {inverse} FROM (
+            SELECT r, gene, {gram}, sum(w * z * x0) AS v0, sum(w * z * x1) AS v1, sum(w * z * x2) AS v2
+            FROM (SELECT *, m / (1 + 0.1 * m) AS w, ln(m) - o + (y - m) / m AS z FROM ({cells.format(name)}) q) q WHERE r < {_ROUNDS} GROUP BY r, gene) q) q) q),
+    {name}_end AS (SELECT gene, b0, b1, b2, base_mean, deviance, c00 / det AS k00, c01 / det AS k01, c02 / det AS k02, c11 / det AS k11, c12 / det AS k12, c22 / det AS k22
+        FROM (SELECT *, a00 * c00 + a01 * c01 + a02 * c02 AS det FROM (SELECT *, {inverse} FROM (
+            SELECT gene, b0, b1, b2, avg(y / exp(o)) AS base_mean, 2 * sum(CASE WHEN y > 0 THEN y * ln(y / m) ELSE 0 END - (y + 10) * ln(1 + 0.1 * (y - m) / (1 + 0.1 * m))) AS deviance, {gram}
+            FROM (SELECT *, m / (1 + 0.1 * m) AS w FROM ({cells.format(name)}) q) q WHERE r = {_ROUNDS} GROUP BY gene, b0, b1, b2) q) q) q)"""
 
 
-@query("nested_model_test")
+_GRID = f"""{_SF}, gr AS (SELECT gene, coalesce(n, 0)::DOUBLE AS y, ln(size_factor) AS o, 1.0::DOUBLE AS x0, (batch = 'b1')::INT::DOUBLE AS x1, (condition = 'trt')::INT::DOUBLE AS c
+    FROM (SELECT DISTINCT gene FROM counts) g CROSS JOIN meta JOIN sf USING (sample) LEFT JOIN counts USING (gene, sample))"""
+
+
+def _nb(x, reduced=False):
+    terms = {"batch": F.col("batch") == "b1"} | ({} if reduced else {"condition": F.col("condition") == "trt"})
+    return G.nb_fit(x.counts, x.meta, terms, dispersion=0.1, rounds=_ROUNDS, tol=0.0)
+
+
+@query(
+    "nb_glm",
+    f"""WITH {_GRID}, {_nb_sql("nb", "c")} SELECT gene, round(b0, 4) AS intercept, round(b1, 4) AS batch, round(b2, 4) AS condition, round(sqrt(k22), 4) AS condition_se, round(base_mean, 4) AS base_mean,
+    round(deviance, 3) AS deviance, {_ROUNDS} AS rounds FROM nb_end""",
+    ["counts", "meta"],
+)
+def _(x):
+    return _nb(x).select(
+        "gene", *[F.round(F.col("beta")[i], 4).alias(t) for i, t in enumerate(("intercept", "batch", "condition"))], F.round(F.sqrt(F.col("covariance")[8]), 4).alias("condition_se"),
+        F.round("base_mean", 4).alias("base_mean"), F.round("deviance", 3).alias("deviance"), "rounds",
+    )
+
+
+@query(
+    "nb_contrast",
+    f"""WITH {_GRID}, {_nb_sql("nb", "c")}, st AS (SELECT gene, base_mean, (b2 - b1) / ln(2) AS lfc, sqrt(k11 + k22 - 2 * k12) / ln(2) AS se FROM nb_end),
+    pv AS (SELECT *, {tails.normal_two_sided("lfc / se", 1200)} AS p FROM st), {_adjusted("pv", "p")}
+    SELECT gene, round(base_mean, 4) AS "baseMean", round(lfc, 4) AS "log2FoldChange", round(se, 4) AS "lfcSE", round(lfc / se, 3) AS stat, round(p, 4) AS pvalue, round(padj, 4) AS padj FROM bh""",
+    ["counts", "meta"],
+)
+def _(x):
+    found = G.contrast(_nb(x), [0.0, -1.0, 1.0])
+    return found.select("gene", *[F.round(c, d).alias(c) for c, d in (("baseMean", 4), ("log2FoldChange", 4), ("lfcSE", 4), ("stat", 3), ("pvalue", 4), ("padj", 4))])
+
+
+@query(
+    "nb_likelihood_ratio",
+    f"""WITH {_GRID}, {_nb_sql("nb", "c")}, {_nb_sql("nr", "0.0::DOUBLE")}, st AS (SELECT gene, greatest(0, q.deviance - nb_end.deviance) AS s FROM nb_end JOIN nr_end q USING (gene)),
+    pv AS (SELECT *, {tails.chi2_upper("s", "1")} AS p FROM st), {_adjusted("pv", "p")} SELECT gene, round(s, 3) AS stat, 1 AS dof, round(p, 4) AS pvalue, round(padj, 4) AS padj FROM bh""",
+    ["counts", "meta"],
+)
+def _(x):
+    found = G.likelihood_ratio(_nb(x), _nb(x, reduced=True))
+    return found.select("gene", F.round("stat", 3).alias("stat"), "dof", F.round("pvalue", 4).alias("pvalue"), F.round("padj", 4).alias("padj"))
+
+
+@query(
+    "exact_nb_test",
+    f"""WITH lb AS (SELECT sample, sum(n)::DOUBLE AS lib, condition = 'trt' AS t FROM counts JOIN meta USING (sample) GROUP BY ALL), cm AS (SELECT exp(avg(ln(lib))) AS c FROM lb),
+    sm AS (SELECT gene, coalesce(sum(round(n * c / lib)) FILTER (t), 0)::BIGINT AS s1, coalesce(sum(round(n * c / lib)) FILTER (NOT t), 0)::BIGINT AS s2 FROM counts JOIN lb USING (sample), cm GROUP BY gene),
+    k AS (SELECT gene, s1, s2, unnest(range(0, s1 + s2 + 1)) AS k FROM sm WHERE s1 + s2 > 0),
+    lg AS (SELECT *, lgamma(k + 30) - lgamma(k + 1) + lgamma(s1 + s2 - k + 30) - lgamma(s1 + s2 - k + 1) AS l FROM k),
+    pk AS (SELECT *, exp(l - max(l) OVER (PARTITION BY gene)) AS p FROM lg),
+    pv AS (SELECT gene, any_value(s1) AS s1, any_value(s2) AS s2, least(1.0, 2 * least(sum(p) FILTER (k >= s1), sum(p) FILTER (k <= s1)) / sum(p)) AS p FROM pk GROUP BY gene), {_adjusted("pv", "p")}
+    SELECT gene, s1::DOUBLE AS sum_treated, s2::DOUBLE AS sum_control, round(log2((s1 + 0.5) / (s2 + 0.5)), 5) AS "log2FoldChange", round(p, 6) AS pvalue, round(padj, 6) AS padj FROM bh""",
+    ["counts", "meta"],
+)
 def _(x):
-    return E.nested_model_test(_fit(x), _fit(x, reduced=True))
+    found = G.exact_test(x.counts, x.meta, "trt", "ctrl", 0.1)
+    return found.select("gene", "sum_treated", "sum_control", *[F.round(c, d).alias(c) for c, d in (("log2FoldChange", 5), ("pvalue", 6), ("padj", 6))])
 
 
 @query(

@@ -43,6 +43,44 @@ def ln_gamma(x) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (y + 0.5) * F.log(t) - t + F.log(series)
 
 
+#: Steps up to where the asymptotic series of the polygammas hold to double precision.
+_SHIFT = 12
+
+
+def _digamma_series(x, log):
+    return log - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+
+
+def _trigamma_series(x):
+    return 1 / x + 1 / (2 * x**2) + 1 / (6 * x**3) - 1 / (30 * x**5) + 1 / (42 * x**7)
+
+
+def digamma(x) -> Column:
+    """Derivative of ln Γ(x) for x > 0."""
+    x = _d(x)
+    return _digamma_series(x + _SHIFT, F.log(x + _SHIFT)) - sum((1 / (x + k) for k in range(_SHIFT)), F.lit(0.0))
+
+
+def trigamma(x) -> Column:
+    """Second derivative of ln Γ(x) for x > 0."""
+    x = _d(x)
+    return _trigamma_series(x + _SHIFT) + sum((1 / ((x + k) * (x + k)) for k in range(_SHIFT)), F.lit(0.0))
+
+
+def digamma_of(x: float) -> float:
+    return _digamma_series(x + _SHIFT, math.log(x + _SHIFT)) - sum(1 / (x + k) for k in range(_SHIFT))
+
+
+def trigamma_of(x: float) -> float:
+    return _trigamma_series(x + _SHIFT) + sum(1 / (x + k) ** 2 for k in range(_SHIFT))
+
+
+def tetragamma_of(x: float) -> float:
+    """Third derivative of ln Γ."""
+    z = x + _SHIFT
+    return -1 / z**2 - 1 / z**3 - 1 / (2 * z**4) + 1 / (6 * z**6) - 1 / (6 * z**8) - sum(2 / (x + k) ** 3 for k in range(_SHIFT))
+
+
 def ln_choose(n, k) -> Column:
     n, k = _d(n), _d(k)
     return ln_gamma(n + 1) - ln_gamma(k + 1) - ln_gamma(n - k + 1)

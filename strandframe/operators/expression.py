@@ -8,6 +8,7 @@ iterative fits of the well-known packages while ranks agree.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -158,21 +159,21 @@ def row_zscore(matrix: DataFrame, value: str = "norm") -> DataFrame:
 def linear_model(matrix: DataFrame, meta: DataFrame, terms: dict[str, Column], value: str) -> DataFrame:
     """Least squares per gene on design columns built from the metadata.
 
-    ``terms`` maps a coefficient name to its design column.  Gram sums come
-    from one aggregation; the small systems are solved on gene rows.
+    ``terms`` maps a coefficient name to its design column.  A described sample
+    that a gene lacks has the value 0.  Gram sums come from one aggregation; the
+    small systems are solved on gene rows.
     """
     names = ["intercept", *terms]
     design = meta.select("sample", F.lit(1.0).alias("d0"), *[c.cast("double").alias(f"d{i}") for i, c in enumerate(terms.values(), start=1)])
     p = len(names)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    # every gene has all described samples, so the design sums are the same for all: one row
+    shape = design.agg(F.count(F.lit(1)).alias("n"), F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs]).alias("xx"))
     sums = (
         matrix.join(design, "sample")
         .groupBy("gene")
-        .agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.col(value) * F.col(value)).alias("yy"),
-            F.array(*[F.sum(F.col(f"d{i}") * F.col(f"d{j}")) for i, j in pairs]).alias("xx"),
-            F.array(*[F.sum(F.col(f"d{i}") * F.col(value)) for i in range(p)]).alias("xy"),
-        )
+        .agg(F.sum(F.col(value) * F.col(value)).alias("yy"), F.array(*[F.sum(F.col(f"d{i}") * F.col(value)) for i in range(p)]).alias("xy"))
+        .join(F.broadcast(shape), F.lit(True))
         .where(F.col("n") > p)
     )
 
@@ -197,6 +198,25 @@ def linear_model(matrix: DataFrame, meta: DataFrame, terms: dict[str, Column], v
     return sums.mapInPandas(solve, f"gene {kind}, term string, estimate double, unscaled double, rss double, df_residual double")
 
 
+def _variance_prior(level: float | None, spread: float | None) -> tuple[float, float]:
+    """Degrees of freedom and variance of the prior from mean and excess variance of the log variances.
+
+    trigamma(d / 2) = spread is solved by Newton steps on its reciprocal, which
+    rise to the root from below; infinite degrees where nothing is in excess.
+    """
+    if level is None:
+        return 0.0, 1.0
+    if spread is None or spread <= 0:
+        return math.inf, math.exp(level)
+    y = 0.5 + 1 / spread
+    while True:
+        now = D.trigamma_of(y)
+        step = now * (1 - now / spread) / D.tetragamma_of(y)
+        y += step
+        if abs(step) < 1e-12 * y:
+            return 2 * y, math.exp(level + D.digamma_of(y) - math.log(y))
+
+
 def moderated_t(fit: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Empirical-Bayes moderated t (Smyth 2004) for the named coefficients.
 
@@ -204,19 +224,19 @@ def moderated_t(fit: DataFrame, terms: Sequence[str]) -> DataFrame:
     log residual variances over genes.
     """
     s2 = fit.where(F.col("rss") > 0).select("gene", (F.col("rss") / F.col("df_residual")).alias("s2"), F.col("df_residual").alias("d")).distinct()
-    hyper = s2.agg(F.avg(F.log("s2")).alias("_ml"), F.var_samp(F.log("s2")).alias("_vl"), F.avg("d").alias("_d"))
-    # digamma and trigamma by their asymptotic series
-    dig = lambda y: F.log(y) - 1 / (2 * y) - 1 / (12 * y * y)
-    tri = lambda y: 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y)
-    half = F.col("_d") / 2
-    extra = F.greatest(F.col("_vl") - tri(half), F.lit(1e-6))
-    # invert trigamma(d0/2) = extra with its two leading terms
-    y0 = (1 + F.sqrt(1 + 2 * extra)) / (2 * extra)
-    prior = hyper.select((2 * y0).alias("_d0"), F.exp(F.col("_ml") - dig(half) + F.log(half) + dig(y0) - F.log(y0)).alias("_s0"))
-    post = fit.where(F.col("term").isin(*terms)).join(F.broadcast(prior), F.lit(True))
-    s2p = (F.col("_d0") * F.col("_s0") + F.col("rss")) / (F.col("_d0") + F.col("df_residual"))
-    out = post.select("gene", "term", "estimate", (F.col("estimate") / F.sqrt(s2p * F.col("unscaled"))).alias("t"), (F.col("_d0") + F.col("df_residual")).alias("dof"))
-    out = spread_rows(out).withColumn("p", D.t_two_sided(F.col("t"), F.col("dof")))
+    half = F.col("d") / 2
+    level = F.log("s2") - D.digamma(half) + F.log(half)
+    hyper = s2.agg(F.avg(level).alias("_e"), (F.var_samp(level) - F.avg(D.trigamma(half))).alias("_v"), F.avg("s2").alias("_m")).first()
+    prior_d, prior_s = _variance_prior(hyper["_e"], hyper["_v"])
+    post = fit.where(F.col("term").isin(*terms))
+    if prior_d == math.inf:  # the variances spread no more than chance: all genes share one
+        s2p, dof = F.lit(prior_s), F.lit(math.inf)
+    else:
+        s2p = (prior_d * prior_s + F.col("rss")) / (prior_d + F.col("df_residual"))
+        dof = prior_d + F.col("df_residual")
+    out = post.select("gene", "term", "estimate", (F.col("estimate") / F.sqrt(s2p * F.col("unscaled"))).alias("t"), dof.alias("dof"))
+    tail = D.normal_two_sided(F.col("t")) if prior_d == math.inf else D.t_two_sided(F.col("t"), F.col("dof"))
+    out = spread_rows(out).withColumn("p", tail)
     return bh_fdr(cut_lineage(out), "p", by=["term"], out="padj")
 
 
