@@ -264,3 +264,37 @@ def _(x):
 )
 def _(x):
     return P.reroot(x.tree, "n7").select("child", "parent", "blen")
+
+
+@query(
+    "midpoint_reroot",
+    f"""WITH {_DEPTH}, an AS (SELECT child AS node, child AS anc FROM tree UNION ALL SELECT node, parent FROM an JOIN tree ON child = anc),
+    lv AS (SELECT node, depth FROM dp WHERE node NOT IN (SELECT parent FROM tree)), a AS (SELECT node, depth AS da FROM lv ORDER BY depth DESC, node LIMIT 1),
+    pa AS (SELECT anc FROM an JOIN a USING (node)),
+    m AS (SELECT lv.node, lv.depth, arg_max(an.anc, dp.level) AS m, max(dp.depth) AS dm FROM lv JOIN an USING (node) JOIN dp ON dp.node = an.anc WHERE an.anc IN (SELECT anc FROM pa) GROUP BY ALL),
+    e AS (SELECT m.node AS b, a.node AS a, da - dm AS la, m.depth - dm AS lb, dm FROM m, a WHERE m.node <> a.node ORDER BY da + m.depth - 2 * dm DESC, m.node LIMIT 1),
+    sp AS (SELECT CASE WHEN la >= lb THEN a ELSE b END AS node, dm + greatest(la, lb) - (la + lb) / 2 AS mid FROM e),
+    ct AS (SELECT child, parent, c.depth - mid AS below, mid - p.depth AS above FROM tree JOIN dp c ON c.node = child JOIN dp p ON p.node = parent, sp
+        WHERE child IN (SELECT anc FROM an WHERE node = sp.node) AND p.depth <= mid AND mid < c.depth),
+    gr AS (SELECT child, parent, blen FROM tree WHERE child NOT IN (SELECT child FROM ct WHERE above > 0) UNION ALL SELECT child, 'midpoint', below FROM ct WHERE above > 0
+        UNION ALL SELECT 'midpoint', parent, above FROM ct WHERE above > 0),
+    tp AS (SELECT CASE WHEN above > 0 THEN 'midpoint' ELSE parent END AS node FROM ct UNION ALL SELECT parent FROM gr JOIN tp ON child = node),
+    tu AS (SELECT CASE WHEN child IN (SELECT node FROM tp) THEN parent ELSE child END AS child, CASE WHEN child IN (SELECT node FROM tp) THEN child ELSE parent END AS parent, blen FROM gr),
+    un AS (SELECT u.child AS low, t.parent AS high, u.blen + t.blen AS blen FROM tu t JOIN (SELECT parent, min(child) AS child, min(blen) AS blen FROM tu GROUP BY parent HAVING count(*) = 1) u ON u.parent = t.child WHERE t.child = 'root')
+    SELECT child, parent, round(blen, 6) AS blen FROM tu WHERE child NOT IN (SELECT low FROM un UNION ALL SELECT 'root' FROM un) UNION ALL SELECT low, high, round(blen, 6) FROM un""",
+    ["tree"],
+)
+def _(x):
+    return P.midpoint_reroot(x.tree).select("child", "parent", F.round("blen", 6).alias("blen"))
+
+
+@query(
+    "longest_path",
+    f"""WITH {_DEPTH}, an AS (SELECT child AS node, child AS anc FROM tree UNION ALL SELECT node, parent FROM an JOIN tree ON child = anc),
+    lv AS (SELECT node, depth FROM dp WHERE node NOT IN (SELECT parent FROM tree)), a AS (SELECT node, depth AS da FROM lv ORDER BY depth DESC, node LIMIT 1),
+    m AS (SELECT lv.node, lv.depth, max(dp.depth) AS dm FROM lv JOIN an USING (node) JOIN dp ON dp.node = an.anc WHERE an.anc IN (SELECT anc FROM an JOIN a USING (node)) GROUP BY ALL)
+    SELECT a.node AS a, m.node AS b, round((da + m.depth - 2 * dm) / 2, 6) AS half_distance FROM m, a WHERE m.node <> a.node ORDER BY da + m.depth - 2 * dm DESC, m.node LIMIT 1""",
+    ["tree"],
+)
+def _(x):
+    return P.midpoint_node(x.tree).select("a", "b", F.round("half_distance", 6).alias("half_distance"))

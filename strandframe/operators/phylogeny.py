@@ -1,4 +1,8 @@
-"""Trees as edge tables (tree_id, child, parent, blen)."""
+"""Trees as edge tables (tree_id, child, parent, blen), of any depth.
+
+No operator forms all node-ancestor pairs.  Pointers double in reach every
+round, so a tree of depth d takes log2(d) rounds over one row per node.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,8 @@ from pyspark.sql import functions as F
 
 from strandframe.plans.storage import cut_lineage
 
+KEY = ["tree_id", "node"]
+
 
 def terminals(edges: DataFrame) -> DataFrame:
     inner = edges.select("tree_id", F.col("parent").alias("child")).distinct()
@@ -17,79 +23,182 @@ def tree_length(edges: DataFrame) -> DataFrame:
     return edges.groupBy("tree_id").agg(F.sum("blen").alias("total_length"), F.count(F.lit(1)).alias("n_edges"))
 
 
-def ancestors(edges: DataFrame) -> DataFrame:
-    """Every (node, ancestor) with step count and length, the node itself included.
+def nodes(edges: DataFrame) -> DataFrame:
+    return edges.select("tree_id", F.col("child").alias("node")).unionAll(edges.select("tree_id", "parent")).distinct()
 
-    Paths double in length every round, so the number of rounds is the
-    logarithm of the depth; each round is stored to keep the plan short.
-    """
-    reach = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("anc"), F.lit(1).alias("steps"), F.col("blen").cast("double").alias("length"))
-    span = 1
-    while True:
-        reach = cut_lineage(reach)
-        far = reach.where(F.col("steps") == span)
-        onward = reach.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("_top"), F.col("steps").alias("_s"), F.col("length").alias("_l"))
-        longer = far.join(onward, ["tree_id", "anc"]).select(
-            "tree_id", "node", F.col("_top").alias("anc"), (F.col("steps") + F.col("_s")).alias("steps"), (F.col("length") + F.col("_l")).alias("length")
+
+def roots(edges: DataFrame) -> DataFrame:
+    """Nodes that are no child (tree_id, node)."""
+    return edges.select("tree_id", F.col("parent").alias("child")).distinct().join(edges, ["tree_id", "child"], "left_anti").select("tree_id", F.col("child").alias("node"))
+
+
+def nearest_above(edges: DataFrame, marked: DataFrame | None = None) -> DataFrame:
+    """node, anc, steps, length for every child node: its nearest proper ancestor that is ``marked`` (tree_id, node) or a root."""
+    stops = roots(edges) if marked is None else marked.select(*KEY).unionByName(roots(edges)).distinct()
+    at = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("anc"), F.lit(1).cast("long").alias("steps"), F.col("blen").cast("double").alias("length"))
+    reach = cut_lineage(at.join(stops.select("tree_id", F.col("node").alias("anc"), F.lit(True).alias("_end")), ["tree_id", "anc"], "left").select(*KEY, "anc", "steps", "length", F.coalesce("_end", F.lit(False)).alias("_end")))
+    while reach.where(~F.col("_end")).take(1):
+        onward = reach.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("_anc"), F.col("steps").alias("_steps"), F.col("length").alias("_length"), F.col("_end").alias("_done"))
+        further = reach.where(~F.col("_end")).join(onward, ["tree_id", "anc"]).select(
+            *KEY, F.col("_anc").alias("anc"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("length") + F.col("_length")).alias("length"), F.col("_done").alias("_end")
         )
-        span *= 2
-        if not longer.take(1):
-            break
-        reach = reach.unionByName(longer)
-    nodes = edges.select("tree_id", F.col("child").alias("node")).unionAll(edges.select("tree_id", "parent")).distinct()
-    own = nodes.select("tree_id", "node", F.col("node").alias("anc"), F.lit(0).alias("steps"), F.lit(0.0).alias("length"))
-    return cut_lineage(reach.unionByName(own))
+        reach = cut_lineage(reach.where("_end").unionByName(further))
+    return reach.drop("_end")
 
 
 def tree_depths(edges: DataFrame) -> DataFrame:
     """Level and path length from the root for every node."""
-    return ancestors(edges).groupBy("tree_id", "node").agg(F.max("steps").alias("level"), F.max("length").alias("depth"))
+    own = roots(edges).select(*KEY, F.lit(0).cast("long").alias("level"), F.lit(0.0).alias("depth"))
+    return nearest_above(edges).select(*KEY, F.col("steps").alias("level"), F.col("length").alias("depth")).unionByName(own)
+
+
+def jumps(edges: DataFrame) -> list[DataFrame]:
+    """Jump pointers: entry k holds node, anc with ``anc`` 2**k steps above (stored, one row per node that has one)."""
+    found = [cut_lineage(edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("anc")))]
+    while True:
+        last = found[-1]
+        far = cut_lineage(last.join(last.select("tree_id", F.col("node").alias("anc"), F.col("anc").alias("_far")), ["tree_id", "anc"]).select(*KEY, F.col("_far").alias("anc")))
+        if not far.take(1):
+            return found
+        found.append(far)
+
+
+def subtree_sums(edges: DataFrame, weights: DataFrame) -> DataFrame:
+    """node, total: sum of ``weights`` (tree_id, node, w) over the node and all its descendants.
+
+    After round k a total covers descendants fewer than 2**k steps below; those at
+    exactly 2**k steps bring the next as many.
+    """
+    given = weights.groupBy(*KEY).agg(F.sum("w").alias("total"))
+    total = cut_lineage(nodes(edges).join(given, KEY, "left").select(*KEY, F.coalesce("total", F.lit(0)).alias("total")))
+    for level in jumps(edges):
+        gain = level.join(total.where("total <> 0"), KEY).groupBy("tree_id", F.col("anc").alias("node")).agg(F.sum("total").alias("_gain"))
+        total = cut_lineage(total.join(gain, KEY, "left").select(*KEY, (F.col("total") + F.coalesce("_gain", F.lit(0))).alias("total")))
+    return total
 
 
 def patristic_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Most recent common ancestor and path length for pairs ``(tree_id, a, b)``."""
-    up = ancestors(edges)
-    side = lambda n: up.select("tree_id", F.col("node").alias(n), "anc", F.col("length").alias(f"_l{n}"), F.col("steps").alias(f"_s{n}"))
-    shared = pairs.join(side("a"), ["tree_id", "a"]).join(side("b"), ["tree_id", "b", "anc"])
-    # the lowest common ancestor is the fewest steps up
-    best = shared.groupBy("tree_id", "a", "b").agg(F.min(F.struct(F.col("_sa"), "anc", (F.col("_la") + F.col("_lb")).alias("d"))).alias("m"))
-    return best.select("tree_id", "a", "b", F.col("m.anc").alias("mrca"), F.col("m.d").alias("distance"))
+    """Most recent common ancestor and path length for pairs ``(tree_id, a, b)``; pairs with an unknown node are left out.
+
+    The deeper node is lifted to the level of the other, then both are lifted
+    while their ancestors differ: two joins per power of two of the depth.
+    """
+    table = jumps(edges)
+    depth = cut_lineage(tree_depths(edges))
+    side = lambda n: depth.select("tree_id", F.col("node").alias(n), F.col("level").alias(f"_l{n}"), F.col("depth").alias(f"_d{n}"))
+    known = pairs.select("tree_id", "a", "b").distinct().join(side("a"), ["tree_id", "a"]).join(side("b"), ["tree_id", "b"])
+    deep = F.col("_la") >= F.col("_lb")
+    now = cut_lineage(known.select(
+        "tree_id", "a", "b", (F.col("_da") + F.col("_db")).alias("_sum"), F.when(deep, F.col("a")).otherwise(F.col("b")).alias("_u"),
+        F.when(deep, F.col("b")).otherwise(F.col("a")).alias("_v"), F.abs(F.col("_la") - F.col("_lb")).alias("_gap"),
+    ))
+    up = lambda k, n: table[k].select("tree_id", F.col("node").alias(n), F.col("anc").alias(f"{n}_up"))
+    for k in reversed(range(len(table))):
+        bit = F.col("_gap").bitwiseAND(1 << k) > 0
+        lifted = now.where(bit).join(up(k, "_u"), ["tree_id", "_u"]).withColumn("_u", F.col("_u_up")).select(*now.columns)
+        now = cut_lineage(now.where(~bit).unionByName(lifted))
+    for k in reversed(range(len(table))):
+        far = now.where("_u <> _v").join(up(k, "_u"), ["tree_id", "_u"], "left").join(up(k, "_v"), ["tree_id", "_v"], "left")
+        move = F.coalesce(F.col("_u_up") != F.col("_v_up"), F.lit(False))
+        far = far.withColumns({"_u": F.when(move, F.col("_u_up")).otherwise(F.col("_u")), "_v": F.when(move, F.col("_v_up")).otherwise(F.col("_v"))}).select(*now.columns)
+        now = cut_lineage(now.where("_u = _v").unionByName(far))
+    met = now.join(up(0, "_u"), ["tree_id", "_u"], "left").withColumn("mrca", F.when(F.col("_u") == F.col("_v"), F.col("_u")).otherwise(F.col("_u_up")))
+    top = depth.select("tree_id", F.col("node").alias("mrca"), F.col("depth").alias("_top"))
+    return met.join(top, ["tree_id", "mrca"]).select("tree_id", "a", "b", "mrca", (F.col("_sum") - 2 * F.col("_top")).alias("distance"))
 
 
 def prune(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """Keep the given leaves ``(tree_id, node)`` and join edges through unary nodes.
+    """Keep the given nodes ``(tree_id, node)`` and join edges through unary nodes.
 
     The root stays even when one branch is left.
     """
-    up = ancestors(edges)
-    lines = up.join(keep, ["tree_id", "node"], "left_semi")
-    alive = lines.select("tree_id", F.col("anc").alias("child")).distinct()
-    kept = edges.join(alive, ["tree_id", "child"], "left_semi")
+    wanted = keep.select(*KEY).distinct()
+    alive = subtree_sums(edges, wanted.withColumn("w", F.lit(1).cast("long"))).where("total > 0").select("tree_id", F.col("node").alias("child"))
+    kept = cut_lineage(edges.join(alive, ["tree_id", "child"], "left_semi"))
     forks = kept.groupBy("tree_id", "parent").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("tree_id", F.col("parent").alias("node"))
-    root = edges.select("tree_id", F.col("parent").alias("child")).distinct().join(edges, ["tree_id", "child"], "left_anti").select("tree_id", F.col("child").alias("node"))
-    stops = keep.select("tree_id", "node").join(kept.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_semi").unionByName(forks).unionByName(root).distinct()
-    paths = up.where("steps > 0").join(stops, ["tree_id", "node"], "left_semi").join(stops.select("tree_id", F.col("node").alias("anc")), ["tree_id", "anc"], "left_semi")
-    nearest = paths.groupBy("tree_id", "node").agg(F.min(F.struct("steps", "anc", "length")).alias("m"))
-    return nearest.select("tree_id", F.col("node").alias("child"), F.col("m.anc").alias("parent"), F.col("m.length").alias("blen"))
+    stops = wanted.unionByName(forks).distinct()
+    return nearest_above(kept, stops).join(stops, KEY, "left_semi").select("tree_id", F.col("node").alias("child"), F.col("anc").alias("parent"), F.col("length").alias("blen"))
+
+
+def root_path(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Nodes on the way from ``ends`` (tree_id, node; one per tree) to the root, both included."""
+    return subtree_sums(edges, ends.select(*KEY).withColumn("w", F.lit(1).cast("long"))).where("total > 0").select(*KEY)
+
+
+def _turned(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """Edges with those on the root path of ``ends`` turned, which makes these nodes the roots."""
+    path = root_path(edges, ends).select("tree_id", F.col("node").alias("child"), F.lit(True).alias("_turn"))
+    turn = F.coalesce("_turn", F.lit(False))
+    return edges.join(path, ["tree_id", "child"], "left").select(
+        "tree_id", F.when(turn, F.col("parent")).otherwise(F.col("child")).alias("child"), F.when(turn, F.col("child")).otherwise(F.col("parent")).alias("parent"), "blen"
+    )
 
 
 def reroot(edges: DataFrame, outgroup: str) -> DataFrame:
     """Make ``outgroup`` the root by turning the edges on its root path."""
-    path = ancestors(edges).where(F.col("node") == F.lit(outgroup)).select("tree_id", F.col("anc").alias("child"), F.lit(True).alias("_turn"))
-    marked = edges.join(path, ["tree_id", "child"], "left")
-    turn = F.coalesce("_turn", F.lit(False))
-    return marked.select("tree_id", F.when(turn, F.col("parent")).otherwise(F.col("child")).alias("child"), F.when(turn, F.col("child")).otherwise(F.col("parent")).alias("parent"), "blen")
+    return _turned(edges, edges.where(F.col("child") == F.lit(outgroup)).select("tree_id", F.col("child").alias("node")))
 
 
-def midpoint_node(edges: DataFrame, root: str) -> DataFrame:
-    """Leaf farthest from the root and the leaf farthest from that one.
+def midpoint_path(edges: DataFrame) -> DataFrame:
+    """The longest leaf-to-leaf path of every tree: a, b, their lengths up to the common ancestor ``mrca``, its depth.
 
-    The midpoint of the path between the two balances the tree; the two leaves
-    and half their distance are returned per tree.
+    ``a`` is the leaf farthest from the root, ``b`` the one farthest from ``a`` (the
+    root counts as a leaf if it has one child); the smaller name wins a tie.
+    """
+    depth = cut_lineage(tree_depths(edges))
+    lone = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").join(roots(edges), KEY, "left_semi")
+    leaves = terminals(edges).select("tree_id", F.col("child").alias("node")).unionByName(lone.select(*KEY))
+    far = lambda by: F.min(F.struct((-F.col(by)).alias("d"), "node"))["node"]
+    a = cut_lineage(depth.join(leaves, KEY, "left_semi").groupBy("tree_id").agg(far("depth").alias("node")))
+    path = cut_lineage(root_path(edges, a))
+    # the common ancestor with a is the nearest node on a's path, a node of the path itself included
+    onto = nearest_above(edges, path).select(*KEY, "anc").join(path, KEY, "left_anti").unionByName(path.withColumn("anc", F.col("node")))
+    tops = depth.select("tree_id", F.col("node").alias("anc"), F.col("depth").alias("_top"))
+    ends = a.join(depth, KEY).select("tree_id", F.col("node").alias("a"), F.col("depth").alias("_da"))
+    apart = onto.join(leaves, KEY, "left_semi").join(depth, KEY).join(tops, ["tree_id", "anc"]).join(ends, "tree_id").where("node <> a")
+    best = F.min(F.struct((2 * F.col("_top") - F.col("depth") - F.col("_da")).alias("d"), "node", "anc", "depth", "_top", "_da"))
+    return apart.groupBy("tree_id", "a").agg(best.alias("m")).select(
+        "tree_id", "a", F.col("m.node").alias("b"), F.col("m.anc").alias("mrca"), (F.col("m._da") - F.col("m._top")).alias("length_a"),
+        (F.col("m.depth") - F.col("m._top")).alias("length_b"), F.col("m._top").alias("mrca_depth"),
+    )
+
+
+def midpoint_node(edges: DataFrame) -> DataFrame:
+    """The two ends of the longest leaf-to-leaf path of every tree and half its length."""
+    return midpoint_path(edges).select("tree_id", "a", "b", ((F.col("length_a") + F.col("length_b")) / 2).alias("half_distance"))
+
+
+def midpoint_reroot(edges: DataFrame, name: str = "midpoint") -> DataFrame:
+    """The same trees rooted halfway along their longest leaf-to-leaf path, as edges.
+
+    The edge that holds the midpoint is cut by a new root called ``name``; a
+    midpoint on a node makes that node the root.  The former root, if one child is
+    left to it, is joined through.  Trees need non-negative lengths.
     """
-    leaves = terminals(edges).select("tree_id", F.col("child").alias("node"))
-    depth = tree_depths(edges).join(leaves, ["tree_id", "node"], "left_semi")
-    far = depth.groupBy("tree_id").agg(F.min(F.struct((-F.col("depth")).alias("d"), "node"))["node"].alias("a"))
-    pairs = far.join(leaves.select("tree_id", F.col("node").alias("b")), "tree_id").where("a <> b")
-    apart = patristic_distance(edges, pairs)
-    return apart.groupBy("tree_id", "a").agg(F.min(F.struct((-F.col("distance")).alias("d"), "b")).alias("m")).select("tree_id", "a", F.col("m.b").alias("b"), (-F.col("m.d") / 2).alias("half_distance"))
+    ends = cut_lineage(midpoint_path(edges))
+    depth = cut_lineage(tree_depths(edges))
+    # the midpoint lies above the end that is farther from the common ancestor
+    long_a = F.col("length_a") >= F.col("length_b")
+    half = (F.col("length_a") + F.col("length_b")) / 2
+    spot = ends.select("tree_id", F.when(long_a, F.col("a")).otherwise(F.col("b")).alias("node"), (F.col("mrca_depth") + F.greatest("length_a", "length_b") - half).alias("_at"))
+    level = lambda n: depth.select("tree_id", F.col("node").alias(n), F.col("depth").alias(f"_{n}"))
+    path = root_path(edges, spot).select("tree_id", F.col("node").alias("child"))
+    on_path = edges.join(path, ["tree_id", "child"], "left_semi").join(level("child"), ["tree_id", "child"]).join(level("parent"), ["tree_id", "parent"])
+    cut = on_path.join(spot.select("tree_id", "_at"), "tree_id").where("_parent <= _at and _at < _child")
+    cut = cut_lineage(cut.select("tree_id", "child", "parent", (F.col("_child") - F.col("_at")).alias("_below"), (F.col("_at") - F.col("_parent")).alias("_above")))
+    split = cut.where("_above > 0")
+    new = split.select("tree_id", "child", F.lit(name).alias("parent"), F.col("_below").alias("blen")).unionByName(
+        split.select("tree_id", F.lit(name).alias("child"), "parent", F.col("_above").alias("blen"))
+    )
+    grown = edges.join(split.select("tree_id", "child"), ["tree_id", "child"], "left_anti").select("tree_id", "child", "parent", F.col("blen").cast("double").alias("blen")).unionByName(new)
+    top = split.select("tree_id", F.lit(name).alias("node")).unionByName(cut.where("_above = 0").select("tree_id", F.col("parent").alias("node")))
+    return _without_unary(cut_lineage(_turned(cut_lineage(grown), top)), roots(edges).join(top, KEY, "left_anti"))
+
+
+def _without_unary(edges: DataFrame, old: DataFrame) -> DataFrame:
+    """Join the edges through those ``old`` nodes (one per tree) that have a parent and one child."""
+    one = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("_n"), F.min("child").alias("_child"), F.min("blen").alias("_low")).where("_n = 1")
+    through = edges.select("tree_id", F.col("child").alias("node"), "parent", "blen").join(old, KEY, "left_semi").join(one, KEY)
+    through = cut_lineage(through.select("tree_id", "node", F.col("_child").alias("child"), "parent", (F.col("blen") + F.col("_low")).alias("blen")))
+    gone = through.select("tree_id", "child").unionByName(through.select("tree_id", F.col("node").alias("child")))
+    return edges.join(gone, ["tree_id", "child"], "left_anti").unionByName(through.drop("node"))

@@ -293,7 +293,7 @@ def test_seed_candidates_are_whole(spark):
 
 def test_midpoint_leaves(spark):
     edges = spark.createDataFrame([("t", "a", "x", 1.0), ("t", "b", "x", 5.0), ("t", "x", "r", 1.0), ("t", "c", "r", 2.0)], "tree_id string, child string, parent string, blen double")
-    row = phylogeny.midpoint_node(edges, "r").first()
+    row = phylogeny.midpoint_node(edges).first()
     assert {row["a"], row["b"]} == {"b", "c"} and row["half_distance"] == 4.0
 
 
