@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
@@ -151,40 +154,90 @@ def linear_risk(df: DataFrame, beta: dict[str, float], out: str = "risk") -> Dat
     return df.withColumn(out, score)
 
 
+#: Rows of a time or risk block, and blocks of an axis, at least and at most.
+_BLOCK_ROWS, _MOST_BLOCKS = 1 << 16, 1 << 12
+
+
+def later_and_smaller(t: np.ndarray, r: np.ndarray, members: np.ndarray, asked: np.ndarray) -> tuple[int, int]:
+    """Sum over rows of ``asked`` times the ``members`` at a later t with a smaller r, and with an equal r.
+
+    Chunks of whole t values are taken from the last; rows after a chunk are a
+    histogram over r, rows inside it are compared with each other.
+    """
+    order = np.argsort(t, kind="stable")
+    t, members, asked = t[order], members[order], asked[order]
+    rank = np.unique(r, return_inverse=True)[1][order]
+    starts = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    later = np.zeros(int(rank.max()) + 2, np.int64)  # members by rank, one place on
+    chunk = max(256, math.isqrt(len(t)))
+    smaller = equal = 0
+    end = len(t)
+    while end:
+        last = int(starts[np.searchsorted(starts, end) - 1])
+        # values that start within a chunk, or one longer value alone
+        begin = min(last, int(starts[np.searchsorted(starts, max(end - chunk, 0))])) if last > end - chunk else last
+        k, a, m = rank[begin:end], asked[begin:end], members[begin:end]
+        smaller += int(a @ np.cumsum(later)[k])
+        equal += int(a @ later[k + 1])
+        if begin < last:
+            after = t[begin:end] > t[begin:end, None]
+            smaller += int(a @ ((after & (k < k[:, None])) @ m))
+            equal += int(a @ ((after & (k == k[:, None])) @ m))
+        np.add.at(later, k + 1, m)
+        end = begin
+    return smaller, equal
+
+
+def _strips(rows: DataFrame, block: str, t: str) -> DataFrame:
+    """Concordant and tied pairs inside every ``block``, compared by ``t``."""
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        found = later_and_smaller(*(frame[c].to_numpy() for c in (t, "_r", "_c", "_d")))
+        return pd.DataFrame([found], columns=["concordant", "tied"])
+
+    used = rows.select(block, *({t, "_r", "_c", "_d"} - {block}))
+    return used.groupBy(block).applyInPandas(count, "concordant long, tied long")
+
+
 def concordance_index(df: DataFrame, risk: str) -> DataFrame:
     """Share of comparable pairs whose earlier failure has the higher risk.
 
     A pair is comparable when the earlier time is an event (an event also
-    precedes a censoring at the same time); equal risks count one half.  Later
-    rows with a smaller risk are counted over the dyadic pieces of the risk
-    rank, N log N rows in one running scan, so no pair is formed.
+    precedes a censoring at the same time); equal risks count one half.
+
+    Times and risks are cut into blocks of rank.  Pairs of different time and
+    different risk blocks come from a matrix of block counts by sums along both
+    axes; pairs of one time block, and pairs of one risk block in different time
+    blocks, are counted inside the block.  A value that fills more than a block has
+    its own, where nothing is left to compare.  No valid row: counts 0, null index.
     """
-    clean = scan.present(df, risk)
-    # real times are replaced by their rank, whole units serve as they are
-    if clean.schema["time"].dataType.typeName() in ("float", "double", "decimal"):
-        places = scan.midranks(clean, [], "time").select("time", F.col("n_less").alias("_rank"))
-        clean = clean.join(places, "time").drop("time").withColumnRenamed("_rank", "time")
+    clean = scan.present(df.where("time is not null and event is not null"), risk)
     total = clean.count()
-    bits = max(1, total.bit_length())
-    ranks = scan.midranks(clean, [], risk).select(risk, F.col("n_less").alias("_r"))
-    # events come first at equal times
-    when = (F.col("time") * 2 + (1 - F.col("event"))).cast("long")
-    rows = clean.join(ranks, risk).groupBy(when.alias("_t"), "_r", "event").agg(F.count(F.lit(1)).alias("_c"))
+    width = max(_BLOCK_ROWS, -(-total // _MOST_BLOCKS))
+    frequent = F.col("n_ties") > width
+    late = 1 - F.col("event").cast("long")
+    times = scan.midranks(clean, [], "time").select("time", F.col("n_less").cast("long").alias("_before"), frequent.alias("_often"))
+    risks = scan.midranks(clean, [], risk).select(risk, F.col("n_less").cast("long").alias("_r"), (F.floor(F.col("n_less") / width) * 2 + frequent.cast("long")).cast("long").alias("_rb"))
+    time_block = F.floor(F.col("_before") / width) * 3 + F.when(F.col("_often"), 1 + late).otherwise(0)
+    placed = clean.join(times, "time").join(risks, risk)
+    rows = placed.groupBy(time_block.cast("long").alias("_tb"), (F.col("_before") * 2 + late).alias("_t"), "_rb", "_r").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum(F.col("event").cast("long")).alias("_d")
+    )
     rows = scan.cut_lineage(rows)
-    level = F.explode(F.sequence(F.lit(0), F.lit(bits - 1)))
-    node = lambda r, lev: F.floor(r / F.pow(F.lit(2.0), lev)).cast("long")
-    members = rows.select("_t", "_r", "_c", level.alias("_lev")).select("_lev", node(F.col("_r"), F.col("_lev")).alias("_node"), "_t", "_c", F.lit(0).cast("long").alias("_q"), F.lit(0).cast("long").alias("_e"))
-    asked = rows.where(F.col("event") == 1)
-    lower = asked.select("_t", "_r", "_c", level.alias("_lev")).withColumn("_node", node(F.col("_r"), F.col("_lev"))).where(F.col("_node") % 2 == 1)
+
+    cells = rows.groupBy("_tb", "_rb").agg(F.sum("_c").alias("_c"), F.sum("_d").alias("_d"))
+    # at most a few _MOST_BLOCKS per axis
+    grid = cells.select("_tb").distinct().crossJoin(F.broadcast(cells.select("_rb").distinct())).join(cells, ["_tb", "_rb"], "left").fillna(0, ["_c", "_d"])
     zero = F.lit(0).cast("long")
-    below = lower.select("_lev", (F.col("_node") - 1).alias("_node"), "_t", zero.alias("_c"), F.col("_c").alias("_q"), zero.alias("_e"))
-    equal = asked.select(F.lit(0).alias("_lev"), F.col("_r").alias("_node"), "_t", zero.alias("_c"), zero.alias("_q"), F.col("_c").alias("_e"))
-    marks = members.unionByName(below).unionByName(equal).groupBy("_lev", "_node", "_t").agg(F.sum("_c").alias("_c"), F.sum("_q").alias("_q"), F.sum("_e").alias("_e"))
-    marks = marks.withColumn("_block", scan.width_block("_t", _SPAN))
-    seen = scan.running(marks, ["_lev", "_node"], ["_t"], "_block", [("_later", "_c", "sum", "after")])
-    good = seen.agg(F.sum(F.col("_q") * F.coalesce("_later", zero)).alias("concordant"), F.sum(F.col("_e") * F.coalesce("_later", zero)).alias("tied"))
-    per = rows.groupBy("_t").agg(F.sum("_c").alias("_c"), F.sum(F.when(F.col("event") == 1, F.col("_c")).otherwise(0)).alias("_d")).withColumn("_block", scan.width_block("_t", _SPAN))
-    pairs = scan.running(per, [], ["_t"], "_block", [("_later", "_c", "sum", "after")]).agg(F.sum(F.col("_d") * F.coalesce("_later", zero)).alias("comparable"))
+    after = Window.partitionBy("_rb").orderBy(F.desc("_tb")).rowsBetween(Window.unboundedPreceding, -1)
+    below = Window.partitionBy("_tb").orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("_later", F.coalesce(F.sum("_c").over(after), zero))
+    grid = grid.withColumn("_open", F.coalesce(F.sum("_later").over(below), zero))
+    across = grid.select((F.col("_d") * F.col("_open")).alias("concordant"), F.when(F.col("_rb") % 2 == 1, F.col("_d") * F.col("_later")).otherwise(zero).alias("tied"))
+    inside = _strips(rows.where("_tb % 3 = 0"), "_tb", "_t").unionByName(_strips(rows.where("_rb % 2 = 0"), "_rb", "_tb"))
+    good = across.unionByName(inside).agg(F.coalesce(F.sum("concordant"), zero).alias("concordant"), F.coalesce(F.sum("tied"), zero).alias("tied"))
+    # at one time, events are later than none of their own
+    per = rows.where("_d > 0").groupBy("_t").agg(F.sum("_d").alias("_d"))
+    pairs = per.agg(F.coalesce(F.sum(F.col("_d") * (total - F.floor(F.col("_t") / 2) - F.col("_d"))), zero).alias("comparable"))
     return good.join(F.broadcast(pairs), F.lit(True)).select(
         "concordant", "tied", "comparable", F.try_divide(F.col("concordant") + 0.5 * F.col("tied"), F.col("comparable")).alias("c_index")
     )
