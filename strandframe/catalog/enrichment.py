@@ -39,31 +39,67 @@ def _(x):
     return _rounded(E.ora(x.ranks.where("stat > 0"), named, universe, library="lib"))
 
 
-_SETS3 = """gs AS (SELECT concat(p_brand, '/', p_type) AS gs_name, p_partkey AS gene FROM part)"""
+# sets of about 40 genes at every table size, and those of one brand and type
+_SETS3 = """gs AS (SELECT concat('s', p_partkey % greatest(1, (SELECT count(*) FROM part) // 40)) AS gs_name, p_partkey AS gene FROM part UNION ALL SELECT concat(p_brand, '/', p_type), p_partkey FROM part)"""
 
 
 def _fine_sets(x):
-    return x.table("part").select(F.concat_ws("/", "p_brand", "p_type").alias("gs_name"), F.col("p_partkey").alias("gene"))
+    part = x.table("part")
+    n = part.agg(F.count(F.lit(1)).alias("_n"))
+    dealt = part.join(F.broadcast(n), F.lit(True)).select(F.concat(F.lit("s"), F.col("p_partkey") % F.greatest(F.lit(1), F.floor(F.col("_n") / 40))).alias("gs_name"), F.col("p_partkey").alias("gene"))
+    return dealt.unionAll(part.select(F.concat_ws("/", "p_brand", "p_type"), "p_partkey"))
+
+
+_PLACED = "pl AS (SELECT gene, stat, row_number() OVER (ORDER BY stat DESC, gene) AS pos, count(*) OVER () AS nn FROM ranks)"
+
+
+def _scores_sql(name: str, hits: str, keys: str) -> str:
+    """Running-sum scores of hit rows (keys, gene, pos, nn, w)."""
+    return f"""{name}_h AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY pos) AS i, count(*) OVER (PARTITION BY {keys}) AS size, sum(w) OVER (PARTITION BY {keys}) AS nr,
+        sum(w) OVER (PARTITION BY {keys} ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM {hits}),
+    {name}_d AS (SELECT *, c / nr - (pos - i) / (nn - size)::DOUBLE AS top, (c - w) / nr - (pos - i) / (nn - size)::DOUBLE AS low FROM {name}_h),
+    {name}_e AS (SELECT {keys}, any_value(size) AS size, max(top) AS mx, min(low) AS mn, arg_min(pos, (-top, pos)) AS pmx, arg_min(pos, (low, pos)) AS pmn FROM {name}_d GROUP BY {keys}),
+    {name} AS (SELECT {keys}, size, CASE WHEN mx >= -mn THEN mx ELSE mn END AS es, CASE WHEN mx >= -mn THEN pmx ELSE pmn END AS peak FROM {name}_e)"""
+
+
+_OBSERVED = f"""{_SETS3}, {_PLACED}, hs AS (SELECT gs_name, gene, pos, nn, abs(stat) AS w FROM gs JOIN pl USING (gene) QUALIFY count(*) OVER (PARTITION BY gs_name) BETWEEN 15 AND 500),
+    {_scores_sql("sc", "hs", "gs_name")}, ed AS (SELECT gs_name, count(*) AS leading_edge, string_agg(gene::VARCHAR, ',' ORDER BY pos) AS leading_genes FROM hs JOIN sc USING (gs_name)
+        WHERE (es >= 0 AND pos <= peak) OR (es < 0 AND pos >= peak) GROUP BY gs_name)"""
 
 
 @query(
     "gsea_scores",
-    f"""WITH {_SETS3}, pl AS (SELECT gene, stat, row_number() OVER (ORDER BY stat DESC, gene) AS pos, count(*) OVER () AS nn FROM ranks),
-    h AS (SELECT gs_name, pos, nn, abs(stat) AS w, row_number() OVER (PARTITION BY gs_name ORDER BY pos) AS i, count(*) OVER (PARTITION BY gs_name) AS k, sum(abs(stat)) OVER (PARTITION BY gs_name) AS nr,
-        sum(abs(stat)) OVER (PARTITION BY gs_name ORDER BY pos ROWS UNBOUNDED PRECEDING) AS c FROM gs JOIN pl USING (gene)),
-    d AS (SELECT *, c / nr - (pos - i) / (nn - k)::DOUBLE AS top, (c - w) / nr - (pos - i) / (nn - k)::DOUBLE AS low FROM h WHERE k BETWEEN 15 AND 500),
-    e AS (SELECT gs_name, any_value(k) AS size, max(top) AS mx, min(low) AS mn, arg_min(pos, (-top, pos)) AS pmx, arg_min(pos, (low, pos)) AS pmn FROM d GROUP BY gs_name),
-    s AS (SELECT gs_name, size, CASE WHEN mx >= -mn THEN mx ELSE mn END AS es, CASE WHEN mx >= -mn THEN pmx ELSE pmn END AS peak FROM e)
-    SELECT gs_name, s.size, round(es, 6) AS es, peak AS peak_position, count(*) AS leading_edge FROM s JOIN d USING (gs_name) WHERE (es >= 0 AND pos <= peak) OR (es < 0 AND pos >= peak) GROUP BY ALL""",
+    f"""WITH {_OBSERVED} SELECT gs_name, sc.size, round(es, 6) AS es, peak AS peak_position, leading_edge, leading_genes FROM sc JOIN ed USING (gs_name)""",
     ["ranks"],
 )
 def _(x):
-    return E.gsea_scores(x.ranks, _fine_sets(x)).withColumn("es", F.round("es", 6))
+    found = E.gsea_scores(x.ranks, _fine_sets(x))
+    return found.withColumn("es", F.round("es", 6)).withColumn("leading_genes", F.array_join("leading_genes", ","))
 
 
-@query("gsea")
+#: Permutations of the registered test.
+_PERMS = 60
+
+
+@query(
+    "gsea",
+    f"""WITH {_OBSERVED}, sz AS (SELECT DISTINCT size AS k FROM sc),
+    dr AS (SELECT perm, pos, nn, w, row_number() OVER (PARTITION BY perm ORDER BY h, gene) AS j FROM (SELECT perm, gene, pos, nn, abs(stat) AS w, ('0x' || substr(md5(gene || ':' || perm), 1, 15))::BIGINT AS h FROM pl, range(1, {_PERMS + 1}) r(perm)) q),
+    nh AS (SELECT perm, k, pos, nn, w FROM dr JOIN sz ON j <= k), {_scores_sql("nu", "nh", "perm, k")},
+    ns AS (SELECT gs_name, any_value(sc.size) AS size, any_value(sc.es) AS es, count(nu.es) AS n, count(nu.es) FILTER (abs(nu.es) >= abs(sc.es)) AS beyond, avg(abs(nu.es)) AS m
+        FROM sc LEFT JOIN nu ON nu.k = sc.size AND (nu.es >= 0) = (sc.es >= 0) GROUP BY gs_name),
+    pv AS (SELECT *, CASE WHEN n > 0 THEN (beyond + 1) / (n + 1)::DOUBLE END AS p FROM ns), rk AS (SELECT *, rank() OVER (ORDER BY p DESC) AS dr, count(*) OVER () AS tests FROM pv WHERE p IS NOT NULL),
+    bh AS (SELECT gs_name, least(1.0, min(p * tests / (tests - dr + 1)) OVER (ORDER BY p DESC RANGE UNBOUNDED PRECEDING)) AS padj FROM rk)
+    SELECT gs_name, pv.size, round(es, 6) AS es, round(es / m, 5) AS nes, round(p, 6) AS pval, round(padj, 6) AS padj, leading_edge, leading_genes FROM pv JOIN ed USING (gs_name) LEFT JOIN bh USING (gs_name)""",
+    ["ranks"],
+)
 def _(x):
-    return E.gsea(x.ranks, _fine_sets(x), n_perm=100)
+    deal = lambda gene, perm: F.conv(F.substring(F.md5(F.concat(gene.cast("string"), F.lit(":"), perm.cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    found = E.gsea(x.ranks, _fine_sets(x), n_perm=_PERMS, shuffle=deal)
+    return found.select(
+        "gs_name", "size", F.round("es", 6).alias("es"), F.round("nes", 5).alias("nes"), F.round("pval", 6).alias("pval"), F.round("padj", 6).alias("padj"),
+        "leading_edge", F.array_join("leading_genes", ",").alias("leading_genes"),
+    )
 
 
 @query("gene_set_query", "SELECT p_brand AS gs_name, count(DISTINCT p_partkey) AS n_genes FROM part WHERE p_type = 'ECONOMY' GROUP BY 1")

@@ -176,14 +176,39 @@ def _(x):
     return _r(H.shapiro(x.table("orders"), "o_orderpriority", "o_totalprice", "o_orderkey"))
 
 
+_GROUPS = """(SELECT {g} AS grp, count({v}) AS n, round(avg({v}), 4) AS mean, round(stddev_samp({v}), 4) AS std, round(quantile_cont({v}, 0.5), 4) AS median, count(*) OVER () AS n_groups,
+    sum(count(*)) OVER ()::BIGINT AS n_total FROM {f} GROUP BY {g})"""
+
+
+def _shown(out):
+    """One row per group beside the test."""
+    rows = out.withColumn("g", F.explode("group_stats"))
+    return rows.select(
+        F.col("g.group").alias("grp"), F.col("g.n").alias("n"), *[F.round(F.col(f"g.{c}"), 4).alias(c) for c in ("mean", "std", "median")],
+        "test", F.round("statistic", 4).alias("statistic"), F.round("p", 4).alias("p"), F.round("p_value", 4).alias("p_value"), "significant", F.round("effect_size", 4).alias("effect_size"),
+        "n_groups", "n_total",
+    )
+
+
 @query(
     "stats_test",
     f"""WITH {_ANOVA.format(g='c_mktsegment', v='c_acctbal', f='customer')}, p AS (SELECT f, {tails.f_upper('f', 'df_between', 'df_within')} AS p FROM f)
-    SELECT 'One-way ANOVA' AS test, round(f, 4) AS statistic, round(p, 4) AS p, round(p, 4) AS p_value, p < 0.05 AS significant FROM p WHERE p >= 0.001""",
+    SELECT 'One-way ANOVA' AS test, round(f, 4) AS statistic, round(p, 4) AS p, round(p, 4) AS p_value, p < 0.05 AS significant, NULL::DOUBLE AS effect_size, g.* FROM p, {_GROUPS.format(g='c_mktsegment', v='c_acctbal', f='customer')} g""",
+)
+def _(x):
+    return _shown(H.stats_test(x.table("customer"), "c_mktsegment", "c_acctbal"))
+
+
+@query(
+    "stats_test_two_groups",
+    f"""WITH t AS (SELECT count(*) FILTER (l_linestatus = 'F') AS n1, count(*) FILTER (l_linestatus = 'O') AS n2, avg(l_tax) FILTER (l_linestatus = 'F') AS m1, avg(l_tax) FILTER (l_linestatus = 'O') AS m2,
+        var_samp(l_tax) FILTER (l_linestatus = 'F') AS v1, var_samp(l_tax) FILTER (l_linestatus = 'O') AS v2 FROM lineitem),
+    s AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t, (n1 + n2 - 2)::DOUBLE AS dof FROM t), p AS (SELECT *, {tails.t_two_sided("t", "dof")} AS p FROM s)
+    SELECT 'Independent t-test' AS test, round(t, 4) AS statistic, round(p, 4) AS p, round(p, 4) AS p_value, p < 0.05 AS significant, round((m1 - m2) / sqrt((v1 + v2) / 2), 4) AS effect_size, g.*
+    FROM p, {_GROUPS.format(g='l_linestatus', v='l_tax', f='lineitem')} g""",
 )
 def _(x):
-    out = H.stats_test(x.table("customer"), "c_mktsegment", "c_acctbal")
-    return out.select("test", F.round("statistic", 4).alias("statistic"), F.round("p", 4).alias("p"), "p_value", "significant")
+    return _shown(H.stats_test(x.table("lineitem"), "l_linestatus", "l_tax", test="ttest"))
 
 
 _PV = "SELECT p_partkey AS id, p_brand AS lib, ((p_partkey * 7919 + p_size * 31) % 1000 + 1) / 1001.0{d} AS p FROM part"

@@ -5,32 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.functions import distributions as D
+from strandframe.functions.discrete import hyper_upper
 from strandframe.operators.hypothesis import bh_fdr
 from strandframe.plans import scan
 from strandframe.plans.storage import spread_rows
 
 
-def _hyper_upper(hits: Column, drawn: Column, marked: Column, whole: Column) -> Column:
-    """P(X >= hits) drawing ``drawn`` of ``whole`` with ``marked`` special; terms by their ratio."""
-
-    def tail(hits: Column, drawn: Column, marked: Column, whole: Column) -> Column:
-        first = F.exp(D.ln_choose(marked, hits) + D.ln_choose(whole - marked, drawn - hits) - D.ln_choose(whole, drawn))
-        fixed = lambda s: [s[c].alias(c) for c in ("drawn", "marked", "whole")]
-        start = F.struct(hits.alias("i"), first.alias("t"), first.alias("s"), drawn.alias("drawn"), marked.alias("marked"), whole.alias("whole"))
-
-        def step(s: Column, _: Column) -> Column:
-            i = s["i"]
-            t = s["t"] * (s["marked"] - i) * (s["drawn"] - i) / ((i + 1) * F.greatest(s["whole"] - s["marked"] - s["drawn"] + i + 1, F.lit(1.0)))
-            return F.struct((i + 1).alias("i"), t.alias("t"), (s["s"] + t).alias("s"), *fixed(s))
-
-        more = F.least(marked, drawn) - hits
-        steps = F.when(more >= 1, F.sequence(F.lit(1).cast("long"), F.greatest(more, F.lit(1.0)).cast("long"))).otherwise(F.array().cast("array<bigint>"))
-        return F.least(F.lit(1.0), F.aggregate(steps, start, step, lambda s: s["s"]))
-
-    return D._bind(tail, hits=hits.cast("double"), drawn=drawn.cast("double"), marked=marked.cast("double"), whole=whole.cast("double"))
-
-
 def ora(genes: DataFrame, sets: DataFrame, universe: DataFrame, min_overlap: int = 1, library: str | None = None) -> DataFrame:
     """Over-representation of a gene list in gene sets.
 
@@ -51,7 +31,7 @@ def ora(genes: DataFrame, sets: DataFrame, universe: DataFrame, min_overlap: int
     ).where(F.col("overlap_count") >= min_overlap)
     j = spread_rows(per).join(F.broadcast(totals), F.lit(True))
     hits, picks, size, everything = F.col("overlap_count"), F.col("_picked"), F.col("set_size"), F.col("_universe")
-    out = scan.cut_lineage(j.withColumn("p_value", _hyper_upper(hits, picks, size, everything)))
+    out = scan.cut_lineage(j.withColumn("p_value", hyper_upper(hits, picks, size, everything)))
     out = out.withColumn("odds_ratio", hits * (everything - size - picks + hits) / F.nullif((size - hits) * (picks - hits), F.lit(0)).cast("double"))
     out = out.withColumn("combined_score", -F.log(F.greatest("p_value", F.lit(1e-300))) * F.col("odds_ratio")).drop("_universe", "_picked")
     adjusted = bh_fdr(out, "p_value", by=keys, out="adjusted_p_value")
@@ -98,45 +78,75 @@ def _sized_hits(placed: DataFrame, sets: DataFrame, min_size: int, max_size: int
 
 
 def gsea_scores(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500) -> DataFrame:
-    """Enrichment score, size and leading-edge gene count per set."""
+    """Enrichment score, size and leading edge per set: the number of its genes and their names, in order of rank.
+
+    The leading edge reaches from the top to the peak of a positive score and from
+    the dip to the bottom of a negative one.
+    """
     placed = rank_genes(ranks)
     n = placed.agg(F.count(F.lit(1)).alias("_n"))
     hits = _sized_hits(placed, sets, min_size, max_size).join(F.broadcast(n), F.lit(True))
-    scores = _scores(hits, ["gs_name"], F.col("_n"))
-    edge = hits.select("gs_name", "position").join(scores, "gs_name").where(
+    return _with_edge(hits, _scores(hits, ["gs_name"], F.col("_n")))
+
+
+def _with_edge(hits: DataFrame, scores: DataFrame) -> DataFrame:
+    """A set has at most ``max_size`` hit rows, so its names fit a row."""
+    edge = hits.select("gs_name", "gene", "position").join(scores, "gs_name").where(
         F.when(F.col("es") >= 0, F.col("position") <= F.col("peak_position")).otherwise(F.col("position") >= F.col("peak_position"))
     )
-    return scores.join(edge.groupBy("gs_name").agg(F.count(F.lit(1)).alias("leading_edge")), "gs_name")
+    names = F.transform(F.array_sort(F.collect_list(F.struct("position", "gene"))), lambda g: g["gene"])
+    return scores.join(edge.groupBy("gs_name").agg(F.count(F.lit(1)).alias("leading_edge"), names.alias("leading_genes")), "gs_name")
+
+
+def _drawn(placed: DataFrame, n: int, most: int, n_perm: int, shuffle) -> DataFrame:
+    """The first ``most`` genes of every permutation: perm, place, position, weight.
+
+    A permutation orders genes by a hash in [0, 2**60); only genes below a bound
+    that leaves more than ``most`` of them are ordered.  Should a permutation fall
+    short of it, the bound is doubled.
+    """
+    wanted = min(most, n)
+    bound = (wanted + 8 * wanted**0.5 + 32) / max(n, 1)
+    while True:
+        low = placed.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm)))).withColumn("_h", shuffle(F.col("gene"), F.col("perm")))
+        if bound < 1:
+            low = low.where(F.col("_h") < int(bound * (1 << 60)))
+        low = scan.cut_lineage(low.select("perm", "_h", "gene", "position", F.abs("stat").alias("weight")))
+        enough = low.groupBy("perm").agg(F.count(F.lit(1)).alias("_c")).where(F.col("_c") >= wanted).count() == n_perm
+        if enough or bound >= 1:
+            order = Window.partitionBy("perm").orderBy("_h", "gene")
+            return low.withColumn("_j", F.row_number().over(order)).where(F.col("_j") <= most).select("perm", "_j", "position", "weight")
+        bound *= 2
 
 
 def gsea(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int = 500, n_perm: int = 200, shuffle=None) -> DataFrame:
-    """Scores with normalised score, permutation p and BH q.
+    """Scores with normalised score, permutation p, BH q and leading edge.
 
-    Each permutation orders the genes by a seeded hash and gives nested random
-    sets of every needed size; p compares scores of the same sign, one added.
+    Each permutation orders the genes by a seeded hash (``shuffle`` of gene and
+    permutation number, uniform in [0, 2**60)) and gives nested random sets of every
+    needed size; p compares scores of the same sign, one added.  A sign that no
+    permutation of that size gives has null nes, p and q.
     """
     placed = scan.cut_lineage(rank_genes(ranks))
-    shuffle = shuffle or (lambda gene, perm: F.xxhash64(gene, perm))
-    n = placed.agg(F.count(F.lit(1)).alias("_n"))
+    shuffle = shuffle or (lambda gene, perm: F.shiftrightunsigned(F.xxhash64(gene, perm), 4))
+    total = placed.count()
+    n = F.lit(total)
     hits = _sized_hits(placed, sets, min_size, max_size)
-    observed = scan.cut_lineage(_scores(hits.join(F.broadcast(n), F.lit(True)), ["gs_name"], F.col("_n")))
+    observed = scan.cut_lineage(_with_edge(hits, _scores(hits, ["gs_name"], n)))
     sizes = observed.select(F.col("size").alias("k")).distinct()  # at most max_size rows
-    drawn = (
-        placed.withColumn("perm", F.explode(F.sequence(F.lit(1), F.lit(n_perm))))
-        .withColumn("_j", F.row_number().over(Window.partitionBy("perm").orderBy(shuffle(F.col("gene"), F.col("perm")), "gene")))
-        .where(F.col("_j") <= max_size)
-        .select("perm", "_j", "position", F.abs("stat").alias("weight"))
-    )
-    nested = drawn.join(F.broadcast(sizes), F.col("_j") <= F.col("k")).join(F.broadcast(n), F.lit(True))
-    null = _scores(nested, ["perm", "k"], F.col("_n")).groupBy("k", (F.col("es") >= 0).alias("_up")).agg(F.collect_list("es").alias("_null"))
+    most = sizes.agg(F.max("k")).first()[0] or 0
+    drawn = _drawn(placed, total, most, n_perm, shuffle)
+    nested = drawn.join(F.broadcast(sizes), F.col("_j") <= F.col("k"))
+    null = _scores(nested, ["perm", "k"], n).groupBy("k", (F.col("es") >= 0).alias("_up")).agg(F.collect_list("es").alias("_null"))
     joined = observed.join(null, (F.col("size") == F.col("k")) & ((F.col("es") >= 0) == F.col("_up")), "left")
-    draws = F.coalesce("_null", F.array().cast("array<double>"))
-    beyond = F.size(F.filter(draws, lambda e: F.abs(e) >= F.abs(F.col("es"))))
-    mean = F.aggregate(draws, F.lit(0.0), lambda a, e: a + F.abs(e)) / F.greatest(F.size(draws), F.lit(1))
+    beyond = F.size(F.filter("_null", lambda e: F.abs(e) >= F.abs(F.col("es"))))
+    mean = F.aggregate("_null", F.lit(0.0), lambda a, e: a + F.abs(e)) / F.size("_null")
+    given = F.col("_null").isNotNull()
     out = joined.select(
-        "gs_name", "size", "es", F.when(mean > 0, F.col("es") / F.nullif(mean, F.lit(0.0))).alias("nes"), ((beyond + 1) / (F.size(draws) + 1)).alias("pval")
+        "gs_name", "size", "es", F.when(given & (mean > 0), F.col("es") / F.nullif(mean, F.lit(0.0))).alias("nes"),
+        F.when(given, (beyond + 1) / (F.size("_null") + 1)).alias("pval"), "leading_edge", "leading_genes",
     )
-    return bh_fdr(out, "pval", out="padj")
+    return bh_fdr(scan.cut_lineage(out), "pval", out="padj")
 
 
 def gene_set_query(sets: DataFrame, **filters: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
+from strandframe.functions.discrete import log_side
 from strandframe.operators.expression import size_factors
 from strandframe.operators.hypothesis import bh_fdr
 from strandframe.plans.storage import cut_lineage, spread_rows
@@ -182,8 +183,6 @@ class Conditional:
     ``alpha`` 0 is the binomial with share n1 / (n1 + n2).
     """
 
-    STEP = 512
-
     def __init__(self, total: np.ndarray, n1: float, n2: float, alpha: np.ndarray):
         self.total, self.n1, self.n2, self.alpha = total, n1, n2, alpha
 
@@ -194,31 +193,9 @@ class Conditional:
     def log_side(self, x: np.ndarray, up: bool) -> np.ndarray:
         """ln of the sum of p(k) / p(x) over k >= x (``up``) or k <= x.
 
-        Where both groups have at least one pseudo unit (n / alpha >= 1) the ratios
-        fall along k and the sum ends once the rest, bounded by a geometric row,
-        cannot count; otherwise all terms are added.
+        The ratios fall along k where both groups have at least one pseudo unit (n / alpha >= 1).
         """
-        out, last = np.zeros(len(x)), np.zeros(len(x))
-        at, live = x.astype(float), np.flatnonzero(x < self.total if up else x > 0)
-        falling = np.minimum(self.n1, self.n2) >= self.alpha
-        hop = np.arange(self.STEP)
-        while len(live):
-            k = at[live, None] + hop if up else at[live, None] - 1 - hop
-            inside = k < self.total[live, None] if up else k >= 0
-            k = np.clip(k, 0, np.maximum(self.total[live, None] - 1, 0))
-            ratio = self._log_ratio(live, k) if up else -self._log_ratio(live, k)
-            terms = last[live, None] + np.cumsum(np.where(inside, ratio, 0.0), axis=1)
-            terms = np.where(inside, terms, -np.inf)
-            top = np.maximum(terms.max(axis=1), out[live])
-            out[live] = top + np.log(np.exp(out[live] - top) + np.exp(terms - top[:, None]).sum(axis=1))
-            at[live] += self.STEP if up else -self.STEP
-            last[live] = terms[:, -1]
-            # rest <= term * r / (1 - r)
-            edge = ratio[:, -1]
-            with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
-                small = (edge < 0) & (terms[:, -1] + edge - np.log(-np.expm1(edge)) < out[live] - 40)
-            live = live[inside[:, -1] & ~(small & falling[live])]
-        return out
+        return log_side(x, np.zeros(len(x)), self.total, self._log_ratio, up, np.minimum(self.n1, self.n2) >= self.alpha)
 
     def two_sided(self, x: np.ndarray) -> np.ndarray:
         """Twice the smaller tail, at most 1."""

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
+from strandframe.functions.discrete import fisher_two_sided
 from strandframe.plans import scan
+from strandframe.plans.storage import spread_rows
 
 
 def group_stats(df: DataFrame, group: str, value: str) -> DataFrame:
@@ -191,22 +193,14 @@ def levene(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
-    """Two-sided p and odds ratio for rows with counts ``a, b, c, d``."""
+    """Two-sided p and odds ratio for rows with counts ``a, b, c, d``, of any size.
+
+    p adds all tables of the same margins that are no more probable; the odds
+    ratio is null where b or c is 0.
+    """
     a, b, c, d = (F.col(x).cast("double") for x in "abcd")
-    r1, c1, n = a + b, a + c, a + b + c + d
-
-    prep = tables.withColumn("_r", r1).withColumn("_c", c1).withColumn("_n", n).withColumn("_k", a)
-    log_p = lambda k: D.ln_choose(F.col("_c"), k) + D.ln_choose(F.col("_n") - F.col("_c"), F.col("_r") - k)
-    prep = prep.withColumn("_base", D.ln_choose(F.col("_n"), F.col("_r"))).withColumn("_obs", log_p(F.col("_k")))
-    lo = F.greatest(F.lit(0.0), F.col("_r") + F.col("_c") - F.col("_n")).cast("long")
-    hi = F.least(F.col("_r"), F.col("_c")).cast("long")
-    total = F.aggregate(
-        F.sequence(lo, hi),
-        F.lit(0.0),
-        lambda acc, k: acc + F.when(log_p(k) <= F.col("_obs") + 1e-7, F.exp(log_p(k) - F.col("_base"))).otherwise(F.lit(0.0)),
-    )
     odds = F.when(b * c > 0, a * d / F.nullif(b * c, F.lit(0.0)))
-    return prep.select(*tables.columns, odds.alias("odds_ratio"), F.least(F.lit(1.0), total).alias("p"))
+    return spread_rows(tables).select(*tables.columns, odds.alias("odds_ratio"), fisher_two_sided(a, b, c, d).alias("p"))
 
 
 def _r_test(n: Column, r: Column) -> Column:
@@ -303,42 +297,63 @@ def shown_p(p: Column) -> Column:
     return F.when(p < 0.001, tiny).otherwise(F.round(p, 4))
 
 
+def _two_groups(df: DataFrame, group: str, value: str, names: Sequence) -> DataFrame:
+    return df.where(F.col(value).isNotNull() & F.col(group).isin(*names))
+
+
 def stats_test(df: DataFrame, group: str, value: str, test: str = "auto", order: str | None = None) -> DataFrame:
-    """Pick and run a group comparison.
+    """Pick and run a group comparison: test, statistic, p, p_value, significant, effect_size, group_stats, n_groups, n_total.
 
     ``auto``: two groups get a t test when every group of more than two passes
     Shapiro-Wilk at 0.05, otherwise Mann-Whitney; more groups get ANOVA.  Only
     the per-group result rows are looked at to decide.  The normality check
     takes the first 5000 rows of a group in ``order``, all rows without it.
     Mann-Whitney is exact when the smaller group has at most 8 values and none are tied.
+
+    ``effect_size`` is Cohen's d (first group minus second, in order of name) of
+    two-group tests, otherwise null.  ``group_stats`` lists group, n, mean, std and
+    median per group, null for chi-squared.  ``n_total`` counts all rows.
     """
+    known = df.where(F.col(group).isNotNull())
+    sizes = df.agg(F.count(F.lit(1)).alias("n_total"), F.count_distinct(group).alias("n_groups"))
+    effect, described = None, None
     if test == "chi2":
         found = chi2_contingency(df, group, value).select(F.lit("Chi-squared").alias("test"), F.col("chi2").alias("statistic"), "p")
-        return found.withColumn("p_value", shown_p(F.col("p"))).withColumn("significant", F.col("p") < 0.05)
-    names = [r[0] for r in df.where(F.col(group).isNotNull()).select(group).distinct().orderBy(group).limit(3).collect()]
-    if len(names) < 2:
-        raise ValueError(f"need at least 2 groups, found {len(names)}")
-    if test == "auto":
-        if len(names) == 2:
-            bad = shapiro(df, group, value, order).where(F.col("p") <= 0.05).limit(1).count()
-            test = "mannwhitney" if bad else "ttest"
-        else:
-            test = "anova"
-    if test in ("ttest", "mannwhitney") and len(names) != 2:
-        raise ValueError(f"invalid test: {test} for more than 2 groups")
-    if test == "ttest":
-        found = ttest(df, group, value, *names).select(F.lit("Independent t-test").alias("test"), F.col("t").alias("statistic"), "p")
-    elif test == "mannwhitney":
-        counts = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least")).first()
-        exact = counts["least"] <= 8
-        if exact:
-            exact = df.where(F.col(value).isNotNull()).groupBy(value).count().where("count > 1").limit(1).count() == 0
-        found = mann_whitney(df, group, value, *names, exact=exact).select(F.lit("Mann-Whitney U").alias("test"), F.col("u").alias("statistic"), "p")
-    elif test == "anova":
-        found = anova_oneway(df, group, value).select(F.lit("One-way ANOVA").alias("test"), F.col("f").alias("statistic"), "p")
     else:
-        raise ValueError(f"unknown test: {test}")
-    return found.withColumn("p_value", shown_p(F.col("p"))).withColumn("significant", F.col("p") < 0.05)
+        names = [r[0] for r in known.select(group).distinct().orderBy(group).limit(3).collect()]
+        if len(names) < 2:
+            raise ValueError(f"need at least 2 groups, found {len(names)}")
+        if test == "auto":
+            if len(names) == 2:
+                bad = shapiro(df, group, value, order).where(F.col("p") <= 0.05).limit(1).count()
+                test = "mannwhitney" if bad else "ttest"
+            else:
+                test = "anova"
+        if test in ("ttest", "mannwhitney") and len(names) != 2:
+            raise ValueError(f"invalid test: {test} for more than 2 groups")
+        if test == "ttest":
+            found = ttest(df, group, value, *names).select(F.lit("Independent t-test").alias("test"), F.col("t").alias("statistic"), "p", "cohens_d")
+        elif test == "mannwhitney":
+            clean = _two_groups(df, group, value, names)
+            exact = clean.groupBy(group).agg(F.count(F.lit(1)).alias("n")).agg(F.min("n").alias("least")).first()["least"] <= 8
+            if exact:
+                exact = clean.groupBy(value).count().where("count > 1").limit(1).count() == 0
+            found = mann_whitney(df, group, value, *names, exact=exact).select(F.lit("Mann-Whitney U").alias("test"), F.col("u").alias("statistic"), "p")
+            found = found.join(F.broadcast(ttest(df, group, value, *names).select("cohens_d")), F.lit(True))
+        elif test == "anova":
+            found = anova_oneway(df, group, value).select(F.lit("One-way ANOVA").alias("test"), F.col("f").alias("statistic"), "p")
+        else:
+            raise ValueError(f"unknown test: {test}")
+        effect = F.col("cohens_d") if "cohens_d" in found.columns else None
+        per = group_stats(known, group, value).select(F.struct(F.col(group).cast("string").alias("group"), "n", "mean", F.col("sd").alias("std"), "median").alias("g"))
+        described = per.agg(F.array_sort(F.collect_list("g")).alias("group_stats"))
+    shape = "array<struct<group:string,n:bigint,mean:double,std:double,median:double>>"
+    out = found.join(F.broadcast(sizes), F.lit(True))
+    out = out.join(F.broadcast(described), F.lit(True)) if described is not None else out.withColumn("group_stats", F.lit(None))
+    return out.select(
+        "test", "statistic", "p", shown_p(F.col("p")).alias("p_value"), (F.col("p") < 0.05).alias("significant"),
+        (F.lit(None).cast("double") if effect is None else effect).alias("effect_size"), F.col("group_stats").cast(shape).alias("group_stats"), "n_groups", "n_total",
+    )
 
 
 def bonferroni(df: DataFrame, p: str = "p", by: Sequence[str] = (), out: str = "p_adjusted") -> DataFrame:
