@@ -91,3 +91,73 @@ def _(x):
     path = scratch_path(x.spark, "oplog")
     S.append_log(x.oplog.drop("props"), path)
     return S.read_log(x.spark, path).select("event_id", "op", "ok", "duration_ms", "signature")
+
+
+# a plus stretch, a complement of two stretches and qualifiers with slashes, quotes and several lines
+_RECORD = """LOCUS       L{id} {n} bp
+DEFINITION  made from {id}
+ACCESSION   A{id}
+  ORGANISM  Testus {src}
+FEATURES             Location/Qualifiers
+     gene            1..{n}
+                     /gene="g{id}/x"
+     CDS             complement(join(2..5,
+                     7..{n}))
+                     /note="says ""{src}"" in
+                     two lines"
+                     /pseudo
+ORIGIN
+        1 {seq}
+"""
+
+
+def _filled(template):
+    parts = [F.lit(t) if k % 2 == 0 else F.col(t).cast("string") for k, t in enumerate(template.replace("{", "\0").replace("}", "\0").split("\0"))]
+    return F.concat(*parts)
+
+
+def _sources(x):
+    return x.seqs.where("length(seq) > 8").select(F.col("seq_id").alias("id"), F.coalesce("description", F.lit("none")).alias("src"), F.length("seq").alias("n"), F.lower("seq").alias("seq"))
+
+
+_FEATURES_SQL = """WITH s AS (SELECT seq_id AS id, coalesce(description, 'none') AS src, length(seq) AS n, seq FROM seqs WHERE length(seq) > 8)
+    SELECT concat('A', id) AS seq_id, concat('Testus ', src) AS organism, 'gene' AS type, concat('1..', n) AS location, 0::BIGINT AS start0, n::BIGINT AS end0, '+' AS strand, 1 AS n_parts,
+        concat('gene=g', id, '/x') AS notes, md5(seq) AS seq_md5 FROM s
+    UNION ALL SELECT concat('A', id), concat('Testus ', src), 'CDS', concat('complement(join(2..5,7..', n, '))'), 1, n, '-', 2, concat('note=says "', src, '" in two lines|pseudo='), md5(seq) FROM s"""
+
+
+def _read_features(rows):
+    flat = rows.select("seq_id", "organism", F.explode("features").alias("f"), F.md5(F.col("seq").cast("binary")).alias("seq_md5"))
+    notes = F.array_join(F.transform("f.qualifiers", lambda q: F.concat(q["key"], F.lit("="), F.coalesce(q["value"], F.lit("")))), "|")
+    return flat.select("seq_id", "organism", "f.type", "f.location", "f.start0", "f.end0", "f.strand", F.size("f.parts").alias("n_parts"), notes.alias("notes"), "seq_md5")
+
+
+@query("genbank_round_trip", _FEATURES_SQL, ["seqs"])
+def _(x):
+    path = _written(x, _sources(x).select(_filled(_RECORD).alias("value")), "genbank", lineSep="//\n")
+    return _read_features(Q.read_genbank(x.spark, path))
+
+
+_EMBL = "\n".join(
+    ["ID   L{id}; SV 1;", "AC   A{id};", "DE   made from {id}", "OS   Testus {src}"]
+    + [f"FT{line[2:]}" for line in _RECORD.split("\n")[5:12]] + ["SQ   Sequence {n} BP;", "     {seq} {n}", ""]
+)
+
+
+@query("embl_round_trip", _FEATURES_SQL, ["seqs"])
+def _(x):
+    path = _written(x, _sources(x).select(_filled(_EMBL).alias("value")), "embl", lineSep="//\n")
+    return _read_features(Q.read_embl(x.spark, path))
+
+
+@query("phylip_round_trip", "SELECT concat('s', seq_id) AS seq_id, aligned FROM msa", ["msa"])
+def _(x):
+    """One interleaved file per alignment and hundred ids: blocks of 24 columns, ids in the first only."""
+    width = 24
+    rows = x.msa.withColumn("_file", F.concat_ws("_", "aln_id", F.floor(F.col("seq_id") / 100).cast("string")))
+    block = lambda at: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_id", "aligned"))), lambda r: F.concat(F.concat(F.lit("s"), r["seq_id"], F.lit(" ")) if at == 0 else F.lit(""), F.substring(r["aligned"], at + 1, width))), "\n")
+    text = F.concat(F.count(F.lit(1)).cast("string"), F.lit(" 64\n"), F.concat_ws("\n\n", *[block(at) for at in range(0, 64, width)]))
+    files = rows.groupBy("_file").agg(text.alias("value"))
+    path = scratch_path(x.spark, "phylip")
+    files.write.partitionBy("_file").text(path)
+    return Q.read_msa(x.spark, path + "/*", "phylip")

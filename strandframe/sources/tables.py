@@ -175,9 +175,22 @@ def newick_edges(trees: DataFrame) -> DataFrame:
 
 
 def read_newick(spark: SparkSession, path: str) -> DataFrame:
-    """Trees of a file, one per ``;``; the id is the file name and place."""
-    rows = numbered_lines(spark, path).where(F.col("value").contains("("))
-    return newick_edges(rows.select(F.concat_ws(":", F.regexp_extract("file", r"([^/]+?)(\.\w+)?$", 1), F.col("line").cast("string")).alias("tree_id"), F.col("value").alias("newick")))
+    """Trees of a file, one per ``;`` on however many lines; the id is the file name and place.
+
+    Comments in square brackets are left out; neither they nor labels may hold ``;``.
+    """
+    texts = spark.read.option("lineSep", ";").text(path).where(F.col("value").rlike(r"\S"))
+    rows = texts.select(
+        F.regexp_replace("value", r"\[[^\]]*\]", "").alias("newick"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id")
+    )
+    # trees of one split in order, splits of a file in order
+    splits = rows.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("file", "_split", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    name = F.regexp_extract("file", r"([^/]+?)(\.\w+)?$", 1)
+    place = F.col("_off") + F.col("_id") - F.col("_first")
+    numbered = rows.join(starts, ["file", "_split"]).select(F.concat_ws(":", name, place.cast("string")).alias("tree_id"), "newick")
+    return newick_edges(numbered)
 
 
 def read_medline_xml(spark: SparkSession, path: str) -> DataFrame:

@@ -11,14 +11,15 @@ def records(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return spark.read.option("lineSep", separator).text(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their file and exact zero-based line number.
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True) -> DataFrame:
+    """Lines with their file and exact zero-based line number; without ``blank``, blank lines are neither given nor counted.
 
     Row ids grow inside a file split, so a line's number is the count of lines
     in earlier splits of the file plus its distance from the first id of its
     own split; only one small row per split is ordered.
     """
-    raw = spark.read.text(path).select(
+    lines = spark.read.text(path)
+    raw = (lines if blank else lines.where(F.col("value").rlike(r"\S"))).select(
         "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_id")
     )
     splits = raw.groupBy("file", "_split").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
