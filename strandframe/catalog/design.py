@@ -51,6 +51,15 @@ def _(x):
     return design.gibson_overlaps(x.turns)
 
 
+_LONG = "n AS (SELECT *, lead(ord) OVER (PARTITION BY construct ORDER BY ord) AS nx FROM turns WHERE length(seq) > 150)"
+
+
+@query("gibson_overlaps_gaps", f"WITH {_LONG} SELECT construct, ord AS junction, 20 AS overlap_length, right(seq, 20) AS overlap FROM n WHERE nx IS NOT NULL", ["turns"])
+def _(x):
+    """Fragments of some length only, so that numbers are left out between them."""
+    return design.gibson_overlaps(x.turns.where("length(seq) > 150"))
+
+
 @query(
     "golden_gate_overhangs",
     f"""WITH {_NEXT}, o AS (SELECT construct, ord AS junction, CASE WHEN length(seq) >= 4 THEN right(seq, 4) ELSE 'NNNN' END AS overhang FROM n WHERE nx IS NOT NULL)

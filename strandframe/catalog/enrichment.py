@@ -102,10 +102,10 @@ def _(x):
     )
 
 
-@query("gene_set_query", "SELECT p_brand AS gs_name, count(DISTINCT p_partkey) AS n_genes FROM part WHERE p_type = 'ECONOMY' GROUP BY 1")
+@query("gene_set_query", "SELECT p_brand AS gs_name, count(DISTINCT p_partkey) AS n_genes, string_agg(DISTINCT p_partkey::VARCHAR, ',' ORDER BY p_partkey::VARCHAR) AS genes FROM part WHERE p_type = 'ECONOMY' GROUP BY 1")
 def _(x):
-    sets = x.table("part").select(F.col("p_brand").alias("gs_name"), F.col("p_partkey").alias("gene"), F.col("p_type").alias("collection"))
-    return E.gene_set_query(sets, collection="ECONOMY")
+    sets = x.table("part").select(F.col("p_brand").alias("gs_name"), F.col("p_partkey").cast("string").alias("gene"), F.col("p_type").alias("collection"))
+    return E.gene_set_query(sets, collection="ECONOMY").withColumn("genes", F.array_join("genes", ","))
 
 
 _OVERLAPPING = """SELECT DISTINCT concat('q', l_quantity::INT) AS gs_name, l_partkey % 1000 AS gene FROM lineitem"""

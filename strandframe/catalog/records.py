@@ -124,7 +124,7 @@ def _(x):
 
 @query(
     "code_signatures",
-    """SELECT event_id, left(sha256(concat('from Bio import X', event_id)), 16) AS code_hash, concat('Bio :: ', 'Bio.', event_type, '.run') AS signature,
+    """SELECT event_id, left(sha256(concat('from Bio import X', event_id)), 16) AS code_hash, concat('Bio :: Bio.', event_type, '.run|', event_type, '.*') AS signature,
     concat('ValueError: bad ', event_type, ' ', user_id) AS error FROM events""",
 )
 def _(x):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
+from strandframe.plans import scan
 
 
 def primer_pairs(
@@ -93,12 +94,13 @@ def fragment_summary(fragments: DataFrame) -> DataFrame:
 def _junctions(fragments: DataFrame, size: int) -> DataFrame:
     """Every fragment that has a next one, with its last ``size`` letters.
 
-    ``ord`` counts fragments of a construct without gaps, so the next fragment
-    is found by an equi-join instead of a window over a whole construct.
+    The next fragment is that of the next higher ``ord`` there is, so gaps in the
+    numbering lose no junction; it is looked for in blocks of ``ord``.
     """
     ends = fragments.select("construct", "ord", F.right(_clean(), F.lit(size)).alias("end"), F.length("seq").alias("_len"))
-    following = fragments.select("construct", (F.col("ord") - 1).alias("ord"))
-    return ends.join(following, ["construct", "ord"], "left_semi")
+    places = fragments.select("construct", "ord").distinct().withColumn("_block", scan.width_block("ord", 1 << 12))
+    following = scan.running(places, ["construct"], ["ord"], "_block", [("_next", "ord", "min", "after")])
+    return ends.join(following.where("_next is not null").select("construct", "ord"), ["construct", "ord"], "left_semi")
 
 
 def gibson_overlaps(fragments: DataFrame, size: int = 20) -> DataFrame:

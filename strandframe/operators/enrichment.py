@@ -150,11 +150,11 @@ def gsea(ranks: DataFrame, sets: DataFrame, min_size: int = 15, max_size: int =
 
 
 def gene_set_query(sets: DataFrame, **filters: str) -> DataFrame:
-    """Sets matching catalogue fields, with their sorted member list and size."""
+    """Sets matching catalogue fields, with their sorted members and their number; a set fits a row."""
     kept = sets
     for column, value in filters.items():
         kept = kept.where(F.col(column) == value)
-    return kept.groupBy("gs_name").agg(F.count_distinct("gene").alias("n_genes"))
+    return kept.groupBy("gs_name").agg(F.count_distinct("gene").alias("n_genes"), F.array_sort(F.collect_set("gene")).alias("genes"))
 
 
 def redundancy_filter(terms: DataFrame, sets: DataFrame, share: float = 0.7) -> DataFrame:

@@ -11,7 +11,20 @@ from pyspark.sql import types as T
 from strandframe.plans import scan
 
 # Common species names and their directory names.
-SPECIES = {"human": "homo_sapiens", "mouse": "mus_musculus", "rat": "rattus_norvegicus", "zebrafish": "danio_rerio", "fly": "drosophila_melanogaster", "yeast": "saccharomyces_cerevisiae"}
+SPECIES = {
+    "human": "homo_sapiens",
+    "mouse": "mus_musculus",
+    "rat": "rattus_norvegicus",
+    "zebrafish": "danio_rerio",
+    "fly": "drosophila_melanogaster",
+    "drosophila": "drosophila_melanogaster",
+    "worm": "caenorhabditis_elegans",
+    "c.elegans": "caenorhabditis_elegans",
+    "arabidopsis": "arabidopsis_thaliana",
+    "rice": "oryza_sativa",
+    "yeast": "saccharomyces_cerevisiae",
+    "ecoli": "escherichia_coli",
+}
 
 
 def numeric_columns(df: DataFrame) -> DataFrame:
