@@ -3,13 +3,32 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.plans.storage import cut_lineage, scratch_path
 
 
+#: Bytes of text that a task turns into Python objects at once.
+SLICE = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches after every ``SLICE`` bytes of the text ``columns``; views, no copies; a longer text is a slice of its own."""
+    for batch in batches:
+        size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+        at = 0
+        for end in [*(np.flatnonzero(np.diff(np.cumsum(size) // SLICE)) + 1).tolist(), len(size)]:
+            if end > at:
+                yield batch.slice(at, end - at)
+            at = end
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

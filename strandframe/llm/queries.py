@@ -38,7 +38,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = language.identify(table(spark, sf_dir, "documents"))
+    found = language.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
@@ -64,7 +64,7 @@ def op9_quality_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85)
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=85, rows=8)
 
 
 def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
