@@ -158,13 +158,12 @@ def _(x):
 
 @query(
     "identity_distance",
-    """WITH b AS (SELECT seq_id // 20 AS aln_id, seq_id, aligned FROM msa), p AS (SELECT x.aln_id, x.seq_id AS a, y.seq_id AS b, x.aligned AS xa, y.aligned AS ya FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.seq_id < y.seq_id)
+    """WITH b AS (SELECT aln_id, seq_id, aligned FROM msa), p AS (SELECT x.aln_id, x.seq_id AS a, y.seq_id AS b, x.aligned AS xa, y.aligned AS ya FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.seq_id < y.seq_id)
     SELECT aln_id, a, b, round(1 - len(list_filter(range(1, 65), lambda i: xa[i] = ya[i])) / 64.0, 6)::DOUBLE AS distance FROM p""",
     ["msa"],
 )
 def _(x):
-    blocks = x.msa.withColumn("aln_id", F.floor(F.col("seq_id") / 20))
-    return A.identity_distance(blocks).withColumn("distance", F.round("distance", 6))
+    return A.identity_distance(x.msa).withColumn("distance", F.round("distance", 6))
 
 
 _INST = "inst AS (SELECT aln_id AS motif_id, translate(aligned, '-', 'A') AS instance FROM msa)"
@@ -193,17 +192,34 @@ def _(x):
     return A.motif_reverse_complement(A.motif_build(_instances(x))).select("motif_id", "pos", "letter", "count")
 
 
+#: All 64 columns of every motif, on the ungapped rows of the alignments.
+_LEAST = 12.0
+
+
 @query(
     "motif_scan",
-    f"""WITH {_MOTIF}, m AS (SELECT motif_id, pos - 8 AS p, letter, log2(probability / 0.25) AS w FROM mf WHERE pos BETWEEN 8 AND 15), chars AS ({CHARS}),
-    both2 AS (SELECT motif_id, '+' AS strand, p, letter, w FROM m UNION ALL SELECT motif_id, '-', 7 - p, translate(letter, 'ACGT', 'TGCA'), w FROM m),
-    s AS (SELECT motif_id, seq_id, strand, pos - p AS pos, sum(w) AS s, count(*) AS n FROM chars JOIN both2 ON ch = letter GROUP BY ALL)
-    SELECT motif_id, seq_id, pos, strand, round(s, 2) AS score FROM s WHERE n = 8 AND pos >= 0 AND s >= 4.0""",
-    ["msa", "seqs"],
+    f"""WITH {_MOTIF}, m AS (SELECT motif_id, pos AS p, letter, log2(probability / 0.25) AS w FROM mf), bs AS (SELECT seq_id, repeat(replace(aligned, '-', ''), 3) AS seq FROM msa),
+    ch AS (SELECT seq_id, unnest(string_split(seq, '')) AS ch, unnest(range(length(seq))) AS pos FROM bs),
+    both2 AS (SELECT motif_id, '+' AS strand, p, letter, w FROM m UNION ALL SELECT motif_id, '-', 63 - p, translate(letter, 'ACGT', 'TGCA'), w FROM m),
+    s AS (SELECT motif_id, seq_id, strand, pos - p AS pos, sum(w) AS s, count(*) AS n FROM ch JOIN both2 ON ch = letter GROUP BY ALL)
+    SELECT motif_id, seq_id, pos, strand, round(s, 2) AS score FROM s WHERE n = 64 AND pos >= 0 AND s >= {_LEAST}""",
+    ["msa"],
+)
+def _(x):
+    bare = x.msa.select("seq_id", F.expr("repeat(replace(aligned, '-', ''), 3)").alias("seq"))
+    return A.motif_scan(bare, A.motif_build(_instances(x)), _LEAST, both_strands=True)
+
+
+@query(
+    "near_rows",
+    """WITH b AS (SELECT label AS aln_id, vec_id AS seq_id, array_to_string(list_transform(embedding, lambda v: CASE WHEN v::DOUBLE < 0 THEN 'A' ELSE 'G' END), '') AS aligned FROM embeddings),
+    p AS (SELECT x.aln_id, x.seq_id AS a, y.seq_id AS b, len(list_filter(range(1, 65), lambda i: x.aligned[i] = y.aligned[i])) AS same FROM b x JOIN b y ON x.aln_id = y.aln_id AND x.seq_id < y.seq_id)
+    SELECT aln_id, a, b, round(1 - same / 64.0, 6)::DOUBLE AS distance FROM p WHERE 1 - same / 64.0 <= 0.3""",
 )
 def _(x):
-    core = A.motif_build(_instances(x)).where("pos BETWEEN 8 AND 15").withColumn("pos", F.col("pos") - 8)
-    return A.motif_scan(x.seqs, core, 4.0, both_strands=True)
+    signs = F.array_join(F.transform("embedding", lambda v: F.when(v < 0, "A").otherwise("G")), "")
+    rows = x.table("embeddings").select(F.col("label").alias("aln_id"), F.col("vec_id").alias("seq_id"), signs.alias("aligned"))
+    return A.near_rows(rows, 0.3).withColumn("distance", F.round("distance", 6))
 
 
 @query("terminals", "SELECT t1.child AS leaf, blen FROM tree t1 WHERE NOT EXISTS (SELECT 1 FROM tree p WHERE p.parent = t1.child)", ["tree"])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
@@ -12,8 +14,8 @@ from strandframe.operators.pairwise import pairwise_align  # noqa: F401
 from strandframe.plans import scan, tiles
 
 
-# lookup tables beyond this many rows are joined by shuffle
-_BROADCAST_ROWS = 2_000_000
+# weights sent to the tasks at once
+_WEIGHT_BYTES = 16 << 20
 
 
 def _letters(text: Column) -> Column:
@@ -108,8 +110,38 @@ def identity_distance(msa: DataFrame) -> DataFrame:
     left = msa.select("aln_id", F.col("seq_id").alias("a"), F.col("aligned").alias("_a"))
     right = msa.select("aln_id", F.col("seq_id").alias("b"), F.col("aligned").alias("_b"))
     pairs = left.join(right, "aln_id").where(F.col("a") < F.col("b"))
+    return _distances(pairs)
+
+
+def _distances(pairs: DataFrame) -> DataFrame:
     same = F.size(F.filter(F.zip_with(_letters(F.col("_a")), _letters(F.col("_b")), lambda x, y: x == y), lambda v: F.coalesce(v, F.lit(False))))
-    return pairs.select("aln_id", "a", "b", (1 - same / F.greatest(F.length("_a"), F.length("_b"), F.lit(1))).alias("distance"))
+    longest = F.greatest(F.length("_a"), F.length("_b"))
+    return pairs.select("aln_id", "a", "b", F.when(longest > 0, 1 - same / longest).otherwise(F.lit(0.0)).alias("distance"))
+
+
+def near_rows(msa: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of rows of one alignment with :func:`identity_distance` up to ``threshold`` (below 1): aln_id, a, b, distance.
+
+    Rows are cut into segments so short that a pair within the threshold differs in
+    fewer than half of them.  Two such rows then share one of the rarest segments of
+    each, as many as differences are allowed, and one more; only those are joined,
+    so segments that most rows hold (gaps, conserved blocks) make no pairs.
+    """
+    if not 0 <= threshold < 1:
+        raise ValueError("threshold must be at least 0 and below 1")
+    rows = msa.select("aln_id", "seq_id", "aligned").where("aligned is not null")
+    width = max(1, math.ceil(1 / threshold) // 2) if threshold else 64
+    cut = rows.select("aln_id", "seq_id", F.length("aligned").alias("_l"), F.posexplode(tiles.pieces("aligned", width)).alias("_s", "_t"))
+    held = cut.groupBy("aln_id", "_s", "_t").agg(F.count(F.lit(1)).alias("_f"))
+    # differences allowed against the longest partner
+    most = F.floor(F.col("_l") * threshold / (1 - threshold) + 1e-9) + 1
+    parts = cut.join(held, ["aln_id", "_s", "_t"]).groupBy("aln_id", "seq_id", "_l").agg(F.array_sort(F.collect_list(F.struct("_f", "_s", "_t"))).alias("_o"))
+    keys = parts.select("aln_id", "seq_id", F.explode(F.slice("_o", F.lit(1), F.greatest(most, F.lit(1)).cast("int"))).alias("o")).where("o._f > 1").select("aln_id", "seq_id", "o._s", "o._t")
+    # empty rows have no segment and distance 0 to each other
+    keys = keys.unionByName(rows.where("aligned = ''").select("aln_id", "seq_id", F.lit(-1).alias("_s"), F.lit("").alias("_t")))
+    pairs = keys.select("aln_id", "_s", "_t", F.col("seq_id").alias("a")).join(keys.select("aln_id", "_s", "_t", F.col("seq_id").alias("b")), ["aln_id", "_s", "_t"]).where("a < b").select("aln_id", "a", "b").distinct()
+    side = lambda n: rows.select("aln_id", F.col("seq_id").alias(n), F.col("aligned").alias(f"_{n}"))
+    return _distances(pairs.join(side("a"), ["aln_id", "a"]).join(side("b"), ["aln_id", "b"])).where(F.col("distance") <= threshold + 1e-12)
 
 
 def motif_build(instances: DataFrame, pseudocount: float = 0.5) -> DataFrame:
@@ -135,59 +167,82 @@ def motif_reverse_complement(motif: DataFrame) -> DataFrame:
     )
 
 
-def motif_scan(df: DataFrame, motif: DataFrame, threshold: float, both_strands: bool = False) -> DataFrame:
+def motif_scan(df: DataFrame, motif: DataFrame, threshold: float | dict, both_strands: bool = False) -> DataFrame:
     """Windows scoring at least ``threshold``; minus hits keep forward positions.
 
-    Windows with a letter outside A, C, G, T have no score.  Motifs are short
-    weight tables, collected once into literals.
+    ``threshold`` is one number or one per motif_id.  Windows with a letter outside
+    A, C, G, T have no score.  Sequences are cut into tiles; inside a tile all windows
+    of a motif run through its columns together, the most telling columns first, and
+    a window is given up once the best rest of the columns cannot lift it to the
+    threshold.  Weights go to the tasks in blocks of at most ``_WEIGHT_BYTES``.
     """
-    found: dict = {}
-    for r in motif.select("motif_id", "pos", "letter", "weight").collect():
-        found.setdefault(r["motif_id"], {})[(r["pos"], r["letter"])] = r["weight"]
-    by_width: dict[int, list] = {}
-    for motif_id, weights in found.items():
-        width = max(p for p, _ in weights) + 1
-        strands = [("+", weights)]
-        if both_strands:
-            flip = str.maketrans("ACGT", "TGCA")
-            strands.append(("-", {(width - 1 - p, ch.translate(flip)): w for (p, ch), w in weights.items()}))
-        by_width.setdefault(width, []).extend((motif_id, strand, table) for strand, table in strands)
-
+    kind = dict(motif.dtypes)["motif_id"]
+    widths = motif.groupBy("motif_id").agg((F.max("pos") + 1).alias("width"), F.array_sort(F.collect_list(F.struct("pos", "letter", "weight"))).alias("cells"))
+    block = F.floor(F.sum(F.col("width") * 64).over(Window.orderBy("motif_id")) / _WEIGHT_BYTES)  # one row per motif
+    packed = scan.cut_lineage(widths.withColumn("_block", block))
+    longest, n_blocks = packed.agg(F.max("width"), F.max("_block")).first()
+    if longest is None:
+        return df.sparkSession.createDataFrame([], f"motif_id {kind}, seq_id {dict(df.dtypes)['seq_id']}, pos long, strand string, score double")
     out = None
-    for width, tables in by_width.items():
-        part = _scan_width(df, width, tables, threshold, dict(motif.dtypes)["motif_id"])
+    for b in range(int(n_blocks) + 1):
+        tables = []
+        for r in packed.where(F.col("_block") == b).collect():
+            weights = np.full((r["width"], 4), -np.inf)
+            for c in r["cells"]:
+                weights[c["pos"], "ACGT".index(c["letter"])] = c["weight"]
+            least = threshold[r["motif_id"]] if isinstance(threshold, dict) else threshold
+            tables.append((r["motif_id"], "+", weights, float(least)))
+            if both_strands:
+                tables.append((r["motif_id"], "-", np.ascontiguousarray(weights[::-1, ::-1]), float(least)))
+        part = _scan_tiles(df, tables, int(longest), kind)
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _scan_width(df: DataFrame, width: int, tables: list, threshold: float, kind: str) -> DataFrame:
-    """Hits of all motifs of one width.
-
-    A window is read in pieces of up to 8 letters, each a base-4 number.  Per
-    piece there is a table of at most 65536 numbers per motif with the piece's
-    sum; the first table keeps only numbers that can still reach the threshold
-    with the best rest, so most windows end at the first lookup.
-    """
-    spark = df.sparkSession
-    piece = 8
-    spots = list(range(0, width, piece))
-    words = tiles.kmer_rows(df.select("seq_id", F.translate(F.upper("seq"), "ACGT", "0123").alias("seq")), width)
-    code = lambda at: F.conv(F.substring("kmer", at + 1, piece), 4, 10).cast("long").alias(f"_w{at}")
-    hits = words.where(F.length(F.translate("kmer", "0123", "")) == 0).select("seq_id", "pos", *[code(at) for at in spots])
-    best = {(m, s): [max(t[(p, ch)] for ch in "ACGT") for p in range(width)] for m, s, t in tables}
-    for at in spots:
-        size = min(piece, width - at)
-        numbers = np.arange(4**size, dtype=np.int64)
-        parts = []
-        for motif_id, strand, table in tables:
-            weight = np.array([[table[(at + p, ch)] for ch in "ACGT"] for p in range(size)])
-            score = sum(weight[p][(numbers >> (2 * (size - 1 - p))) & 3] for p in range(size))
-            rest = sum(best[(motif_id, strand)]) - sum(best[(motif_id, strand)][at : at + size])
-            live = score + rest >= threshold - 1e-9
-            parts.append(pd.DataFrame({"motif_id": motif_id, "strand": strand, f"_w{at}": numbers[live], f"_s{at}": score[live]}))
-        rows = pd.concat(parts)
-        lookup = spark.createDataFrame(rows, f"motif_id {kind}, strand string, _w{at} long, _s{at} double")
-        keys = [f"_w{at}"] if at == 0 else [f"_w{at}", "motif_id", "strand"]
-        hits = hits.join(F.broadcast(lookup) if len(rows) <= _BROADCAST_ROWS else lookup, keys)
-    total = sum((F.col(f"_s{at}") for at in spots), F.lit(0.0))
-    return hits.withColumn("_s", total).where(F.col("_s") >= threshold).select("motif_id", "seq_id", "pos", "strand", F.round("_s", 2).alias("score"))
+def window_hits(codes: np.ndarray, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and scores of the windows of ``codes`` (0 to 3, 4 for any other letter) that reach the threshold."""
+    width = len(weights)
+    at = np.arange(len(codes) - width + 1)
+    if not len(at):
+        return at, np.zeros(0)
+    table = np.hstack([weights, np.full((width, 1), -np.inf)])
+    best, worst = weights.max(axis=1), np.where(np.isfinite(weights), weights, 0).min(axis=1)
+    order = np.argsort(worst - best, kind="stable")
+    rest = np.append(np.cumsum(best[order][::-1])[::-1], 0.0)
+    score = np.zeros(len(at))
+    for k, column in enumerate(order):
+        score = score + table[column, codes[at + column]]
+        alive = score + rest[k + 1] >= threshold - 1e-9
+        if not alive.all():
+            at, score = at[alive], score[alive]
+            if not len(at):
+                break
+    if len(at):
+        # added in the order of the columns, so that the last digits do not depend on the pruning
+        score = table[np.arange(width), codes[at[:, None] + np.arange(width)]].sum(axis=1)
+    keep = score >= threshold
+    return at[keep], score[keep]
+
+
+def _scan_tiles(df: DataFrame, tables: list, longest: int, kind: str) -> DataFrame:
+    lookup = np.full(256, 4, np.uint8)
+    for k, letters in enumerate(("Aa", "Cc", "Gg", "Tt")):
+        lookup[[ord(c) for c in letters]] = k
+    own = tiles.tile_width(longest - 1)
+    seq_kind = dict(df.dtypes)["seq_id"]
+    shared = df.sparkSession.sparkContext.broadcast(tables)  # at most _WEIGHT_BYTES per strand
+
+    def run(batches):
+        for batch in batches:
+            for seq_id, start, tile in zip(batch["seq_id"], batch["tile_start0"], batch["tile"], strict=True):
+                # one byte a letter; any letter beyond ASCII becomes one that scores nothing
+                codes = lookup[np.frombuffer(tile.encode("ascii", "replace"), np.uint8)]
+                for motif_id, strand, weights, least in shared.value:
+                    at, score = window_hits(codes, weights, least)
+                    mine = at < own
+                    if mine.any():
+                        yield pd.DataFrame({"motif_id": motif_id, "seq_id": seq_id, "pos": at[mine] + start, "strand": strand, "score": score[mine]})
+
+    rows = tiles.tile_rows(df.select("seq_id", "seq").where("seq is not null"), overlap=longest - 1)
+    found = rows.mapInPandas(run, f"motif_id {kind}, seq_id {seq_kind}, pos long, strand string, score double")
+    return found.withColumn("score", F.round("score", 2))
