@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandframe.plans.storage import stored
+
 SEED = 42
 
 
@@ -81,7 +83,9 @@ def ml_pipeline(df: DataFrame, target: str, task: str = "classification", model:
         rows = rows.withColumn("_y", F.col(target).cast("double"))
         main = RegressionEvaluator(labelCol="_y", metricName="r2")
         measures = {m: RegressionEvaluator(labelCol="_y", metricName=m) for m in ("r2", "rmse", "mae")}
-    train, test = rows.randomSplit([1 - test_size, test_size], seed=SEED)
+    # written once, so that every pass of the fit and the measures sees the same split
+    rows = stored(rows.withColumn("_u", F.rand(SEED)), "split")
+    train, test = rows.where(F.col("_u") >= test_size).drop("_u"), rows.where(F.col("_u") < test_size).drop("_u")
     pipe = Pipeline(stages=[*stages, _estimator(task, model, n_classes)])
     out: list[tuple[str, str, float]] = []
     if cv and cv > 1:
