@@ -21,8 +21,10 @@ def missing_enzymes(df: DataFrame, enzymes: dict | None = None) -> DataFrame:
 def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = True, enzymes: dict | None = None) -> DataFrame:
     """One row per cut: ``cut`` is the 1-based first base after the cut.
 
-    An enzyme is (site, top cut offset[, bottom cut offset]); sites that are
-    not palindromes are matched on both strands.  Circular sequences wrap.
+    An enzyme is (site, top cut offset[, bottom cut offset]), offsets from the site's
+    first letter, beyond the site for type IIS; sites that are not palindromes are
+    matched on both strands.  Circular sequences wrap; cuts past an end of a linear
+    one do not happen.
     """
     table = enzymes or T.ENZYMES
     chosen = {n: table[n] for n in (names or table) if n in table}
@@ -53,10 +55,10 @@ def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = T
     hits = words.select("seq_id", "_n", "tile_start0", F.explode(F.array_compact(F.array(*named))).alias("h"))
     start = F.col("tile_start0") + F.col("h.i")
     cut = start + F.col("h.off") + 1
-    inside = hits.where(start < F.col("_n")).select(
-        "seq_id", F.col("_n").alias("seq_length"), "h.enzyme", "h.site", F.when(cut > F.col("_n"), cut - F.col("_n")).otherwise(cut).alias("cut")
-    )
-    return inside.distinct()
+    # an enzyme that cuts beside its site may cut past an end: off a linear sequence, round a circular one
+    place = cut if linear else F.pmod(cut - 1, F.col("_n")) + 1
+    inside = hits.where(start < F.col("_n")).select("seq_id", F.col("_n").alias("seq_length"), "h.enzyme", "h.site", place.alias("cut"))
+    return (inside.where((F.col("cut") > 1) & (F.col("cut") <= F.col("seq_length"))) if linear else inside).distinct()
 
 
 def restriction_sites(df: DataFrame, names: Sequence[str] | None = None, linear: bool = True, enzymes: dict | None = None) -> DataFrame:
