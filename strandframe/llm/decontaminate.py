@@ -15,9 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.llm.common import slices
+
 SHARD_WORDS = 400_000
 STRIDE = 8
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -166,6 +169,37 @@ def _hits(texts: list[list[bytes]], phrases: Phrases) -> Iterator[tuple[int, int
         yield from flush()
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """(item_id, text) of the benchmark in blocks of about ``block_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
+    n_blocks = max(1, -(-n_bytes // block_bytes))
+    for b in range(n_blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
+        yield [(r["item_id"], r["text"]) for r in block]
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
+    """Rows of ``docs`` (text and any others) in which no window of the benchmark occurs.
+
+    Each row goes by its own text, so repeated and null ids do not matter; null and
+    wordless texts stay.  Empty tables give no rows or take none away.
+    """
+    for block in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # at most about block_bytes
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            phrases = Phrases(shared.value, window)
+            for part in slices(batches, "text"):
+                hit = np.zeros(part.num_rows, bool)
+                for d, *_ in _hits([phrase_words(t) for t in part.column("text").to_pylist()], phrases):
+                    hit[d] = True
+                yield part.filter(pa.array(~hit))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, spans (merged word ranges), items, n_items, items_sha256, contaminated per row of ``docs``.
 
@@ -174,15 +208,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_
     have no words on either side.  A null item_id hits but is not listed; items
     that repeat an id count once.  Empty tables give no rows or no hits.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    n_bytes = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).cast("long")).first()[0]
-    n_blocks = max(1, -(-n_bytes // block_bytes))
     out = docs.select("doc_id", "text", F.array().cast("array<int>").alias("ends"), F.array().cast("array<string>").alias("items"))
     kind = "doc_id long, text string, ends array<int>, items array<string>"
     sc = docs.sparkSession.sparkContext
-    for b in range(n_blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b).collect()
-        shared = sc.broadcast([(r["item_id"], r["text"]) for r in block])  # at most about block_bytes
+    for block in _blocks(benchmark, block_bytes):
+        shared = sc.broadcast(block)  # at most about block_bytes
 
         def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
             phrases = Phrases(shared.value, window)

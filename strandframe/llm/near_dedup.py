@@ -23,15 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strandframe.llm.common import components, slices, stored
+from strandframe.llm.common import components, picked, scratch, slices, stored
 from strandframe.llm.words import WordHash, scramble, shingle_set, split_words
 
 UNIVERSE = 1 << 20
 MASK = (1 << 64) - 1
 LONGS = pa.list_(pa.int64())
-#: Row keys of at most so many bytes are sent to every executor to pick texts; more are joined by shuffle.
-SENT_BYTES, ROW_BYTES = 16 << 20, 32
 
 
 def _tables(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +68,7 @@ def may_link(a: str, b: str, n_a: str, n_b: str, percent: int) -> Column:
 
 
 def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFrame:
-    """``docs`` (row, doc_id, text, text_key) with n_shingles, set_hi and set_lo (128-bit digest of the set), band keys and sketch."""
+    """``docs`` (row, text and others) with n_shingles, set_hi and set_lo (128-bit digest of the set), band keys and sketch."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scatter, shifts = _tables(bands * rows, seed)
         salt = np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -97,7 +96,8 @@ def signed(docs: DataFrame, n: int, bands: int, rows: int, seed: int) -> DataFra
             more = [pa.array(sizes, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), _lists(full * bands, keys), _lists(longs, bits)]
             yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "n_shingles", "set_hi", "set_lo", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, text string, text_key long, n_shingles long, set_hi long, set_lo long, bands array<long>, sketch array<long>")
+    kinds = [T.StructField(c, T.LongType()) for c in ("n_shingles", "set_hi", "set_lo")] + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("bands", "sketch")]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *kinds]))
 
 
 def _lists(lengths: np.ndarray, parts: list[np.ndarray]) -> pa.Array:
@@ -109,8 +109,7 @@ def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFra
     """Pairs ``a``, ``b`` whose full sets meet ``100 * common >= percent * union``; texts come from ``rows`` (row, text)."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    few = wanted.count() * ROW_BYTES <= SENT_BYTES
-    texts = stored(rows.select("row", "text").join(F.broadcast(wanted) if few else wanted, "row", "left_semi"), "texts")
+    texts = stored(picked(rows.select("row", "text"), wanted), "texts")
     sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,7 +141,29 @@ def near_duplicates(
     comes back as well.  An empty table gives an empty result.
     """
     row = F.monotonically_increasing_id() if key is None else F.col(key)
-    sign = stored(signed(docs.select(row.alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_key")), n, bands, rows, seed), "signatures")
+    with scratch(docs.sparkSession) as keep:
+        sign = stored(signed(_rows(docs, row), n, bands, rows, seed), "signatures")
+        found = keep(_linked(sign, n, percent), "near")
+    named = [] if key is None else [F.col("row").alias(key)]
+    return found.select(*named, "doc_id", "n_shingles", "component_id", "kept", "stays")
+
+
+def deduplicated(docs: DataFrame, n: int = 5, percent: int = 80, bands: int = 40, rows: int = 6, seed: int = 17) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text and any others) that stay: one of each component of :func:`near_duplicates`."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    told = _rows(docs, F.monotonically_increasing_id(), *[F.struct(*others).alias("others")] if others else [])
+    sign = stored(signed(told, n, bands, rows, seed), "signatures")
+    with scratch(docs.sparkSession) as keep:
+        gone = keep(_linked(sign, n, percent).where("not stays").select("row"), "gone")
+    return picked(sign, gone, "left_anti").select(*[F.col(c if c in ("doc_id", "text") else f"others.`{c}`").alias(c) for c in docs.columns])
+
+
+def _rows(docs: DataFrame, row: Column, *more: Column) -> DataFrame:
+    return docs.select(row.alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_key"), *more)
+
+
+def _linked(sign: DataFrame, n: int, percent: int) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept, stays of all signed rows."""
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key", "row")
     classes = stored(
         sign.where("set_hi is not null").groupBy("set_hi", "set_lo").agg(F.min("row").alias("rep"), F.min(order).alias("head")), "classes"
@@ -170,9 +191,8 @@ def near_duplicates(
     heads = placed.groupBy("component").agg(F.min("head").alias("first"))
     of_set = placed.join(heads, "component").select("set_hi", "set_lo", F.col("first.doc_id").alias("_label"), F.col("first.row").alias("_stays"))
     out = sign.select("row", "doc_id", "n_shingles", "set_hi", "set_lo").join(of_set, ["set_hi", "set_lo"], "left")
-    named = [] if key is None else [F.col("row").alias(key)]
     label = F.when(F.col("_stays").isNull(), F.col("doc_id")).otherwise(F.col("_label"))
     return out.select(
-        *named, "doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"),
+        "row", "doc_id", "n_shingles", label.alias("component_id"), F.col("doc_id").eqNullSafe(label).alias("kept"),
         F.coalesce(F.col("row") == F.col("_stays"), F.lit(True)).alias("stays"),
     )
