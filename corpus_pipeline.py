@@ -16,34 +16,28 @@ from strandframe.llm.queries import MIX
 
 #: A text none of whose languages reaches this share has no main language.
 LEAST_SHARE = 0.5
-#: Row key of the stages that drop rows: ids may repeat or be null.
-ROW = "_row"
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """Stored, so that every read of a row sees the same key."""
-    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "keyed")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without letters or without a main language go; a missing ``lang`` is filled in."""
+    """Texts without letters or without a main language go; a missing ``lang`` is filled in.
+
+    Null and empty texts go; rows of repeated or null ids are judged one by one.
+    """
     found = language.identify(docs).where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SHARE))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays, that of the smallest doc_id (five-word shingles, similarity 0.8 or more)."""
-    rows = keyed(docs)
-    gone = near_dedup.near_duplicates(rows, key=ROW).where("not kept").select(ROW)
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    """One row of each near-duplicate group stays, that of the smallest doc_id (five-word shingles, similarity 0.8 or more).
+
+    Null ids come last, of equal ids the smaller text hash stays; texts without words all stay.
+    """
+    return near_dedup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of ten benchmark words go."""
-    rows = keyed(docs)
-    told = decontaminate.contaminated(rows.select(F.col(ROW).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
-    gone = told.where("contaminated").select(F.col("doc_id").alias(ROW))
-    return rows.join(gone, ROW, "left_anti").select(*docs.columns)
+    """Documents that hold a window of ten benchmark words go, each by its own text; null texts stay."""
+    return decontaminate.uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
