@@ -181,9 +181,11 @@ def _linked(sign: DataFrame, n: int, percent: int) -> DataFrame:
     place = busy.join(found.withColumnRenamed("id", "row"), "row", "left").select("band", "b", "row", F.coalesce("component", "row").alias("comp"))
     mixed = place.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
     # pairs with the leader are known
-    open_ = stored(place.where("row <> b").join(mixed, "band", "left_semi").drop("b").join(sketches, "row"), "open")
-    other = open_.toDF("_row", "band", "_comp", "_n", "_sketch")
+    open_ = stored(place.where("row <> b").join(mixed, "band", "left_semi").drop("b").join(sign.select("row", "n_shingles", "sketch", "bands"), "row"), "open")
+    other = open_.toDF("_row", "band", "_comp", "_n", "_sketch", "_bands")
     apart = F.expr("comp <> _comp and row > _row") & may_link("sketch", "_sketch", "n_shingles", "_n", percent)
+    # a pair comes from the first band it shares; in that bucket, too, it is open or holds the leader
+    apart = apart & F.expr("band = array_min(array_intersect(bands, _bands))")
     rest = open_.join(other, "band").where(apart).select(F.col("row").alias("a"), F.col("_row").alias("b"))
     more = stored(verified(rest, sign, n, percent), "links")
     found = components(first.union(more)) if more.limit(1).count() else found
