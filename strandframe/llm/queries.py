@@ -47,7 +47,7 @@ def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.repeated_words(table(spark, sf_dir, "documents")).drop("kept_text")
+    return repeats.repeated_words(table(spark, sf_dir, "documents")).drop("kept_text", "spans")
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,19 @@
-"""Substring dedup: repeated word windows found by prefix-partitioned suffix groups.
+"""Substring dedup: repeated word windows found by prefix-split suffix groups.
 
 Every word position starts a suffix.  Suffixes are split by prefixes of growing
 length: first by an anchor of about half a window (only the smallest anchor of
-each window is kept, about one position in nine, and a window that occurs twice
+each window is kept, about one position in ten, and a window that occurs twice
 has the same anchor both times), then, only where an anchor repeats, by the
 whole window.  A prefix of window length with two or more suffixes is an
 internal node at that depth of the suffix tree, so its suffixes are the starts
-of all repeats of at least that length.  Nodes are 128-bit path hashes rather
-than trees in memory: a window that holds a third of all rows is one node,
-which no prefix can split, but its count still combines before the shuffle.
+of all repeats of at least that length.  Nodes are 128-bit path hashes counted
+with map-side combine rather than trees in memory: a window that holds a third of
+all rows is one node, which no prefix can split.
+
+Texts are stored once and never shuffled for the search.  Which prefixes repeat is
+told to the tasks by a bitmap of fixed size; a prefix that only shares a bit is
+searched in vain, none is missed.  Texts of equal words are one text from then on:
+each of their windows also starts elsewhere.
 """
 
 from __future__ import annotations
@@ -17,87 +22,177 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import stored
-from strandframe.llm.words import WordHash, grams, split_words
+from strandframe.llm.common import slices, stored
+from strandframe.llm.words import MIX_A, WordHash, grams, scramble, split_words
 
+#: Bits of the bitmaps that are sent to all tasks.
+BITS = 1 << 27
+#: Spans of at most so many bytes (ROW_BYTES a row, 8 a span) are sent to the tasks; more are joined by shuffle.
+SENT_BYTES, ROW_BYTES = 32 << 20, 64
+LOW = (1 << 64) - 1
 
-def _anchors(h: np.ndarray, window: int, k: int) -> np.ndarray:
-    """Positions of the smallest ``k``-word hash (leftmost of equals) of each window."""
+
+def anchors_of(h: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the smallest ``k``-word prefix (leftmost of equals) of each window."""
     g = grams(h, k)
     span = window - k + 1
     if len(g) < span:
-        return np.empty(0, np.int64)
-    views = np.lib.stride_tricks.sliding_window_view(g, span)
-    return np.unique(np.concatenate([views[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(views))) for i in range(0, len(views), 65536)]))
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    # 32 bits of the hash above, the place below, so that one minimum finds both and equal windows choose alike
+    half = np.uint64(32)
+    packed = (g >> half << half) | np.arange(len(g), dtype=np.uint64)
+    least, width = packed, 1
+    while width < span:  # minima of doubled widths, the last ones overlapping
+        step = min(width, span - width)
+        least = np.minimum(least[:-step], least[step:])
+        width += step
+    at = np.unique(least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return at, g[at]
+
+
+def reach(spots: np.ndarray, window: int, k: int, n_words: int) -> np.ndarray:
+    """Window starts whose window contains the anchor at one of ``spots``."""
+    step = np.zeros(n_words + 2, np.int64)
+    np.add.at(step, np.maximum(spots - (window - k), 0), 1)
+    np.add.at(step, np.minimum(spots, n_words - window) + 1, -1)
+    return np.flatnonzero(np.cumsum(step)[: max(n_words - window + 1, 0)] > 0)
+
+
+def bitmap(keys: DataFrame, key: Column) -> np.ndarray:
+    """One byte for each of BITS places: whether the ``key`` (a long) of a row falls on it.  The driver gets BITS / 8 bytes."""
+    place = F.pmod(key, F.lit(BITS)) + 1
+    built = keys.select(F.bitmap_bucket_number(place).alias("b"), F.bitmap_bit_position(place).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in built.toLocalIterator():
+        m = np.frombuffer(r["m"], np.uint8)
+        at = (r["b"] - 1) * len(m)
+        out[at : at + len(m)] = m
+    return out
+
+
+def marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys.astype(np.int64) % BITS
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def indexed(docs: DataFrame, window: int, k: int) -> DataFrame:
+    """``docs`` (row, doc_id, text) with n_words, the digest of the words (hi, lo) and the anchors (keys, ats)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            cache, n, hi, lo, ends, keys, ats = WordHash(), [], [], [], [0], [], []
+            for text in part.column("text").to_pylist():
+                w = split_words(text)
+                digest = xxhash.xxh3_128_intdigest(b" ".join(w))
+                at, key = anchors_of(cache.of(w), window, k)
+                n.append(len(w))
+                hi.append((digest >> 64) - (1 << 63))
+                lo.append((digest & LOW) - (1 << 63))
+                keys.append(key.view(np.int64))
+                ats.append(at.astype(np.int32))
+                ends.append(ends[-1] + len(at))
+            lists = [pa.ListArray.from_arrays(np.array(ends, np.int32), pa.array(np.concatenate(x), t)).cast(pa.list_(t)) for x, t in ((keys, pa.int64()), (ats, pa.int32()))]
+            more = [pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "n_words", "hi", "lo", "keys", "ats"])
 
+    return docs.mapInArrow(run, "row long, doc_id long, text string, n_words long, hi long, lo long, keys array<long>, ats array<int>")
 
-def _reach(spots: np.ndarray, window: int, k: int, n_words: int) -> np.ndarray:
-    """Window starts whose window contains the anchor at one of ``spots``."""
-    first, last = np.maximum(spots - (window - k), 0), np.minimum(spots, n_words - window)
-    step = np.zeros(n_words + 1, np.int64)
-    np.add.at(step, first, 1)
-    np.add.at(step, np.maximum(last + 1, first), -1)
-    return np.flatnonzero(np.cumsum(step) > 0)
 
+def _place_id(lo: np.int64, at: np.ndarray) -> np.ndarray:
+    """One long for a place (text, word), equal texts alike."""
+    return scramble(np.full(len(at), lo).view(np.uint64) * MIX_A + at.astype(np.uint64)).view(np.int64)
 
-def repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text, kept_sha256 for every row of ``docs`` (doc_id, text).
 
-    A word goes when a window that covers it also starts anywhere else.  Null,
-    empty and blank texts have no words and the digest of the empty text.  Rows
-    are told apart by a row key, so repeated doc_ids and null doc_ids are safe.
-    """
-    k = max(1, window // 2)
-    rows = stored(docs.select("doc_id", "text").withColumn("rid", F.expr("uuid()")), "rows")
+def windows_of(rows: DataFrame, found: np.ndarray, firsts: np.ndarray, window: int, k: int) -> DataFrame:
+    """row, at, ka, kb, place of every window around an anchor that is marked in ``found``, one row of equal texts only."""
+    shared = rows.sparkSession.sparkContext.broadcast((found, firsts))  # BITS / 8 bytes each
 
-    def anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            cache = WordHash()
-            for rid, text in zip(batch["rid"], batch["text"], strict=True):
-                h = cache.of(split_words(text))
-                at = _anchors(h, window, k)
-                if len(at):
-                    yield pd.DataFrame({"rid": rid, "key": grams(h, k)[at].astype(np.int64), "at": at.astype(np.int32)})
-
-    found = stored(rows.select("rid", "text").mapInPandas(anchors, "rid string, key long, at int"), "anchors")
-    twice = found.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("key")
-    spots = found.join(twice, "key", "left_semi").groupBy("rid").agg(F.collect_list("at").alias("spots"))
-    near = stored(rows.join(spots, "rid"), "near")
-
-    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, firsts = shared.value
+        for part in slices(batches, "text"):
             a, b = WordHash(1), WordHash(2)
-            for rid, text, spots in zip(batch["rid"], batch["text"], batch["spots"], strict=True):
-                w = split_words(text)
-                at = _reach(np.asarray(spots, np.int64), window, k, len(w))
-                ga, gb = grams(a.of(w), window, 1)[at], grams(b.of(w), window, 2)[at]
-                yield pd.DataFrame({"rid": rid, "at": at.astype(np.int32), "ka": ga.astype(np.int64), "kb": gb.astype(np.int64)})
+            out: list[list[np.ndarray]] = [[], [], [], [], []]
+            keep = marked(firsts, part.column("row").to_numpy())
+            ends = part.column("keys").offsets.to_numpy()
+            hit = marked(found, part.column("keys").values.to_numpy())
+            ats = part.column("ats").values.to_numpy()
+            rid, lo = part.column("row").to_numpy(), part.column("lo").to_numpy()
+            texts = part.column("text")
+            for i in np.flatnonzero(keep):
+                spots = ats[ends[i] : ends[i + 1]][hit[ends[i] : ends[i + 1]]].astype(np.int64)
+                if not len(spots):
+                    continue
+                w = split_words(texts[int(i)].as_py())
+                at = reach(spots, window, k, len(w))
+                start, stop = int(at[0]), int(at[-1]) + window
+                w = w[start:stop]
+                for column, values in zip(out, (np.full(len(at), rid[i]), at.astype(np.int32), grams(a.of(w), window, 1)[at - start].view(np.int64), grams(b.of(w), window, 2)[at - start].view(np.int64), _place_id(lo[i], at)), strict=True):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["row", "at", "ka", "kb", "place"])
+
+    return rows.select("row", "text", "lo", "keys", "ats").where(F.size("keys") > 0).mapInArrow(run, "row long, at int, ka long, kb long, place long")
+
+
+def _spans(starts: DataFrame, window: int) -> DataFrame:
+    """row and the merged word ranges [first, end) of its windows, flat, from row and at."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = []
+            for at in batch.column("starts").to_pylist():
+                s = np.unique(np.array(at, np.int64))
+                cut = np.flatnonzero(np.diff(s) > window)
+                first, last = np.append(s[0], s[cut + 1]), np.append(s[cut], s[-1]) + window
+                lists.append(np.stack([first, last], 1).ravel().tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(lists, pa.list_(pa.int64()))], ["row", "spans"])
 
-    nodes = stored(near.mapInPandas(windows, "rid string, at int, ka long, kb long"), "windows")
-    deep = nodes.groupBy("ka", "kb").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("ka", "kb")
-    starts = nodes.join(deep, ["ka", "kb"], "left_semi").groupBy("rid").agg(F.collect_list("at").alias("starts"))
+    per = starts.groupBy("row").agg(F.collect_list("at").alias("starts"))  # places of one text
+    return per.mapInArrow(run, "row long, spans array<long>")
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, text, starts in zip(batch["doc_id"], batch["text"], batch["starts"], strict=True):
+
+def repeated_words(docs: DataFrame, window: int = 35) -> DataFrame:
+    """doc_id, n_words, n_removed, spans, kept_text, kept_sha256 for every row of ``docs`` (doc_id, text).
+
+    A word goes when a window that covers it also starts anywhere else; ``spans``
+    are the word ranges removed.  Null, empty and blank texts have no words and the
+    digest of the empty text.  Rows are told apart by a row key, so repeated and null
+    doc_ids are safe.  Texts shorter than a window keep all words.  An empty table
+    gives an empty result.
+    """
+    k = max(1, window // 2)
+    rows = stored(indexed(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), window, k), "rows")
+    classes = stored(rows.where(f"n_words >= {window}").groupBy("hi", "lo").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("copies")), "classes")
+    seen = rows.select("lo", F.explode(F.arrays_zip("keys", "ats")).alias("a")).select(F.col("a.keys").alias("key"), F.xxhash64("lo", "a.ats").alias("place"))
+    twice = seen.groupBy("key").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p <> q")
+    nodes = stored(windows_of(rows, bitmap(twice, F.col("key")), bitmap(classes, F.col("first")), window, k), "windows")
+    deep = stored(nodes.groupBy("ka", "kb").agg(F.min("place").alias("p"), F.max("place").alias("q")).where("p <> q").select("ka", "kb"), "nodes")
+    starts = nodes.select("row", "at", "ka", "kb").join(deep, ["ka", "kb"], "left_semi")
+    inner = _spans(starts, window)
+    # all rows of a text that has copies lose all words
+    copies = classes.where("copies > 1").select("hi", "lo")
+    whole = rows.select("row", "hi", "lo", "n_words").where(f"n_words >= {window}").join(copies, ["hi", "lo"], "left_semi")
+    whole = whole.select("row", F.array(F.lit(0).cast("long"), F.col("n_words")).alias("spans"))
+    touched = stored(inner.join(whole.select("row"), "row", "left_anti").unionByName(whole), "spans")
+    size = touched.agg(F.coalesce(F.sum(F.size("spans") * 8 + ROW_BYTES), F.lit(0))).first()[0]
+    given = rows.select("row", "doc_id", "text").join(F.broadcast(touched) if size <= SENT_BYTES else touched, "row", "left").select("doc_id", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            n, gone, kept, digests = [], [], [], []
+            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
                 w = split_words(text)
-                step = np.zeros(len(w) + window + 1, np.int64)
-                if starts is not None:
-                    s = np.asarray(starts, np.int64)
-                    np.add.at(step, s, 1)
-                    np.add.at(step, s + window, -1)
-                gone = np.cumsum(step)[: len(w)] > 0
-                left = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
-                out.append((doc, len(w), int(gone.sum()), left.decode("utf-8", "surrogatepass"), hashlib.sha256(left).hexdigest()))
-            frame = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_text", "kept_sha256"])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    return rows.join(starts, "rid", "left").select("doc_id", "text", "starts").mapInPandas(
-        cut, "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
-    )
+                n.append(len(w))
+                for first, end in reversed(list(zip((spans or [])[::2], (spans or [])[1::2], strict=True))):
+                    del w[first:end]
+                gone.append(n[-1] - len(w))
+                left = b" ".join(w)
+                kept.append(left.decode("utf-8", "surrogatepass"))
+                digests.append(hashlib.sha256(left).hexdigest())
+            spans = part.column("spans")
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), spans, pa.array(kept, pa.string()), pa.array(digests, pa.string())], ["doc_id", "n_words", "n_removed", "spans", "kept_text", "kept_sha256"])
+
+    return given.mapInArrow(cut, "doc_id long, n_words long, n_removed long, spans array<long>, kept_text string, kept_sha256 string")
