@@ -112,6 +112,16 @@ SELECT conv_id, count(*) AS n_turns,
     WHEN 'assistant' THEN coalesce(prior = 'user', false) ELSE false END
     AND (following IS NOT NULL OR role = 'assistant')) AS valid
 FROM e GROUP BY conv_id
+""",
+    "op6_substring_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+st AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k FROM w, (SELECT unnest(range(1, len(ws) - 33)) AS i)),
+hit AS (SELECT doc_id, i FROM st WHERE k IN (SELECT k FROM st GROUP BY k HAVING count(*) > 1)),
+pos AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT pos.doc_id, pos.i, word, max(CASE WHEN hit.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY pos.doc_id ORDER BY pos.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM pos LEFT JOIN hit ON hit.doc_id = pos.doc_id AND hit.i = pos.i)
+SELECT d.doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
+FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
 """,
     "op11_filter_audit": r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
