@@ -122,6 +122,18 @@ g AS (SELECT pos.doc_id, pos.i, word, max(CASE WHEN hit.i IS NOT NULL THEN 1 ELS
   FROM pos LEFT JOIN hit ON hit.doc_id = pos.doc_id AND hit.i = pos.i)
 SELECT d.doc_id, count(word) AS n_words, CAST(coalesce(sum(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '')) AS kept_sha256
 FROM documents d LEFT JOIN g ON g.doc_id = d.doc_id GROUP BY d.doc_id
+""",
+    "op10_minhash_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, md5(array_to_string(ws[i:i + 2], ' ')) AS k FROM w, (SELECT unnest(range(1, greatest(len(ws) - 2, least(len(ws), 1)) + 1)) AS i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v),
+m AS (SELECT u AS doc_id, least(u, min(v)) AS component_id FROM r GROUP BY u)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, coalesce(component_id, d.doc_id) = d.doc_id AS kept, coalesce(component_id, d.doc_id) = d.doc_id AS stays
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
 """,
     "op11_filter_audit": r"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
