@@ -108,7 +108,7 @@ def _lists(lengths: np.ndarray, parts: list[np.ndarray]) -> pa.Array:
 def verified(pairs: DataFrame, rows: DataFrame, n: int, percent: int) -> DataFrame:
     """Pairs ``a``, ``b`` whose full sets meet ``100 * common >= percent * union``; texts come from ``rows`` (row, text)."""
     pairs = stored(pairs.select("a", "b").distinct(), "pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    wanted = pairs.select(F.col("a").alias("row")).distinct().union(pairs.select("b").distinct()).distinct()
     texts = stored(picked(rows.select("row", "text"), wanted), "texts")
     sides = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
 
