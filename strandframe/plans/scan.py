@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from strandframe.plans.storage import cut_lineage
 
 N_BLOCKS = 256
+#: Blocks that one window orders at once.
+SPAN = 1024
 
 _AGG = {"sum": F.sum, "max": F.max, "min": F.min}
 
@@ -60,6 +62,31 @@ def value_block(df: DataFrame, value: str, out: str = "_block", n: int = N_BLOCK
     return marked.drop(tmp).withColumn(out, F.col(out).cast("int"))
 
 
+def _frame(keys: Sequence[str], order: Sequence[str], side: str) -> Window:
+    """Rows on one side of the current one.  Rows after it are those before it in falling order: a frame without an
+    end is summed anew for every row."""
+    back = side in ("after", "onward")
+    by = [F.col(c).desc() if back else F.col(c).asc() for c in order]
+    return Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, 0 if side in ("upto", "onward") else -1)
+
+
+def _carried(totals: DataFrame, keys: list[str], block: str, specs: Sequence[tuple[str, str, str, str]]) -> DataFrame:
+    """What the other blocks carry into every block, over spans of ``SPAN`` blocks, so that no task orders all blocks of a key."""
+    spans = totals.withColumn("_span", F.floor(F.col(block) / SPAN).cast("long"))
+    strict = {"upto": "before", "onward": "after"}
+    near = spans.select(
+        *keys, block, "_span",
+        *[_AGG[fn](f"_tot_{out}").over(_frame([*keys, "_span"], [block], strict.get(side, side))).alias(f"_near_{out}") for out, _, fn, side in specs],
+    )
+    sums = spans.groupBy(*keys, "_span").agg(*[_AGG[fn](f"_tot_{out}").alias(f"_sum_{out}") for out, _, fn, _ in specs])
+    far = sums.select(
+        *keys, "_span",
+        *[_AGG[fn](f"_sum_{out}").over(_frame(keys, ["_span"], strict.get(side, side))).alias(f"_far_{out}") for out, _, fn, side in specs],
+    )
+    both = near.join(far, [*keys, "_span"], "left")
+    return both.select(*keys, block, *[_combine(fn, F.col(f"_near_{out}"), F.col(f"_far_{out}")).alias(f"_carry_{out}") for out, _, fn, _ in specs])
+
+
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -76,32 +103,14 @@ def running(
     keys = list(keys)
     # one shuffle serves the window inside blocks and the block totals
     df = df.repartition(*keys, block)
-    far = {
-        "before": (Window.unboundedPreceding, -1),
-        "upto": (Window.unboundedPreceding, 0),
-        "after": (1, Window.unboundedFollowing),
-        "onward": (0, Window.unboundedFollowing),
-    }
-    inside = Window.partitionBy(*keys, block).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(block)
     totals = df.groupBy(*keys, block).agg(
         *[_AGG[fn](F.col(src)).alias(f"_tot_{out}") for out, src, fn, _ in specs]
     )
-    carry = totals.select(
-        *keys,
-        block,
-        *[
-            _AGG[fn](f"_tot_{out}")
-            .over(across.rowsBetween(*(far["before"] if side in ("before", "upto") else far["after"])))
-            .alias(f"_carry_{out}")
-            for out, _, fn, side in specs
-        ],
-    )
     local = df.select(
         "*",
-        *[_AGG[fn](F.col(src)).over(inside.rowsBetween(*far[side])).alias(f"_loc_{out}") for out, src, fn, side in specs],
+        *[_AGG[fn](F.col(src)).over(_frame([*keys, block], order, side)).alias(f"_loc_{out}") for out, src, fn, side in specs],
     )
-    joined = local.join(carry, [*keys, block], "left")
+    joined = local.join(_carried(totals, keys, block, specs), [*keys, block], "left")
     result = joined.select(
         *[c for c in df.columns],
         *[_combine(fn, F.col(f"_loc_{out}"), F.col(f"_carry_{out}")).alias(out) for out, _, fn, _ in specs],
