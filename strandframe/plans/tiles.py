@@ -53,7 +53,8 @@ def kmer_rows(df: DataFrame, k: int, seq: str = "seq") -> DataFrame:
         raise ValueError("k must be >= 1")
     tiles = tile_rows(df, seq, overlap=k - 1)
     rest = [c for c in tiles.columns if c not in ("tile", "tile_start0")]
-    windows = F.regexp_extract_all("tile", F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))
+    # a letter is taken after every look ahead, so that none starts inside a letter beyond 16 bits
+    windows = F.regexp_extract_all("tile", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))
     return tiles.select(*rest, "tile_start0", F.posexplode(windows).alias("_i", "kmer")).select(
         *rest, (F.col("tile_start0") + F.col("_i")).alias("pos"), "kmer"
     )
