@@ -35,8 +35,11 @@ def read_otu(spark: SparkSession, path: str, taxa_are_rows: bool = True) -> Data
 
 def read_gmt(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(parts) > 2)
-    return rows.select(F.get(parts, F.lit(0)).alias("gs_name"), F.get(parts, F.lit(1)).alias("description"), F.explode(F.slice(parts, F.lit(3), F.size(parts))).alias("gene")).where(F.col("gene") != "")
+    # name and description are taken before the genes are exploded: beside them, the line would be split again for every gene
+    lines = spark.read.text(path).where(F.size(parts) > 2).select(
+        F.get(parts, F.lit(0)).alias("gs_name"), F.get(parts, F.lit(1)).alias("description"), F.slice(parts, F.lit(3), F.size(parts)).alias("_genes")
+    )
+    return lines.select("gs_name", "description", F.explode("_genes").alias("gene")).where(F.col("gene") != "")
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:
