@@ -115,7 +115,9 @@ def primer_pairs(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), _HELD):
-                yield _best_primers(batch.iloc[at : at + _HELD], product_size, lengths, starts, top)
+                best = _best_primers(batch.iloc[at : at + _HELD], product_size, lengths, starts, top)
+                if len(best):
+                    yield best
 
     kind = dict(df.dtypes)["seq_id"]
     good = regions.mapInPandas(run, f"seq_id {kind}, start int, length int, rev_start int, forward string, _back string, fwd_tm double, rev_tm double, fwd_gc double, rev_gc double, score double, _found long")
