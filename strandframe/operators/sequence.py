@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import dna
 from strandframe.functions import tables as T
-from strandframe.plans import scan, tiles
+from strandframe.plans import letters, scan, tiles
 
 STOPS = ("TAA", "TAG", "TGA")
 _SPAN = 1 << 16
@@ -140,29 +142,74 @@ def kmer_count(df: DataFrame, k: int = 3, top: int = 10) -> DataFrame:
     """Total, distinct and the ``top`` k-mers per sequence.
 
     Equal counts are ordered by first occurrence; totals of sequences shorter
-    than ``k`` are 0 and give no row.
+    than ``k`` are 0 and give no row.  A sequence is counted where it is read;
+    only very long ones and repeated ids are tiled and counted over a shuffle.
     """
-    spots = tiles.kmer_rows(df.select("seq_id", F.upper("seq").alias("seq")), k)
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    once, rest = letters.alone(df.select("seq_id", F.upper("seq").alias("seq")).where("seq_id is not null"), "seq_id", "seq")
+
+    def count(rows: letters.Rows) -> tuple[np.ndarray, dict]:
+        first, n, row = _counted(rows, k)
+        kinds = np.bincount(row, minlength=len(rows.size))
+        # by row, falling count, first place
+        order = np.lexsort((first, -n, row))
+        rank = np.arange(len(row)) - (np.cumsum(kinds) - kinds)[row[order]]
+        best = order[rank < top]
+        row, at = row[best], first[best]
+        return row, {
+            "kmer": [rows.text[i : i + k] for i in at.tolist()], "n": n[best], "rank": (rank[rank < top] + 1).astype(np.int32),
+            "total_kmers": rows.size[row] - k + 1, "unique_kmers": kinds[row].astype(np.int64),
+        }
+
+    found = letters.mapped(once, count, "seq_id", "seq", "kmer string, n long, rank int, total_kmers long, unique_kmers long")
+    spots = tiles.kmer_rows(rest, k)
     counted = spots.groupBy("seq_id", "kmer").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
     summary = counted.groupBy("seq_id").agg(F.sum("n").alias("total_kmers"), F.count(F.lit(1)).alias("unique_kmers"))
     order = Window.partitionBy("seq_id").orderBy(F.desc("n"), "first_pos")
     best = counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    return best.join(summary, "seq_id").select("seq_id", "kmer", "n", "rank", "total_kmers", "unique_kmers")
+    return found.unionByName(best.join(summary, "seq_id").select("seq_id", "kmer", "n", "rank", "total_kmers", "unique_kmers"))
+
+
+def _counted(rows: letters.Rows, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First place, count and row of every distinct window of ``k`` letters of every row."""
+    at, code = letters.windows(rows, k)
+    row = rows.row_of(at)
+    span = int(code.max(initial=0)) + 1
+    if span * len(rows.size) >= 1 << 62:
+        known, code = np.unique(code, return_inverse=True)
+        span = len(known) + 1
+    _, spot, n = np.unique(row * span + code, return_index=True, return_counts=True)
+    return at[spot], n.astype(np.int64), row[spot]
 
 
 def kmer_spectrum(df: DataFrame, k: int = 3) -> DataFrame:
     """Count of every k-mer over all sequences and in how many sequences it occurs."""
-    spots = tiles.kmer_rows(df.select("seq_id", F.upper("seq").alias("seq")), k)
-    per_seq = spots.groupBy("kmer", "seq_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_seq.groupBy("kmer").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_seqs"))
+    if k < 1:
+        raise ValueError("k must be >= 1")
+    once, rest = letters.alone(df.select("seq_id", F.upper("seq").alias("seq")), "seq_id", "seq")
+
+    def count(rows: letters.Rows) -> tuple[np.ndarray, dict]:
+        first, n, row = _counted(rows, k)
+        # the windows of the rows by their letters: one number for each, as in the whole slice
+        at, code = letters.windows(rows, k)
+        _, spot, kind = np.unique(code[np.searchsorted(at, first)], return_index=True, return_inverse=True)
+        return row[spot], {
+            "kmer": [rows.text[i : i + k] for i in first[spot].tolist()],
+            "n": np.bincount(kind, weights=n, minlength=len(spot)).astype(np.int64), "n_seqs": np.bincount(kind, minlength=len(spot)).astype(np.int64),
+        }
+
+    found = letters.mapped(once, count, "seq_id", "seq", "kmer string, n long, n_seqs long").drop("seq_id")
+    per_seq = tiles.kmer_rows(rest, k).groupBy("kmer", "seq_id").agg(F.count(F.lit(1)).alias("n"))
+    both = found.unionByName(per_seq.select("kmer", "n", F.lit(1).cast("long").alias("n_seqs")))
+    return both.groupBy("kmer").agg(F.sum("n").alias("n"), F.sum("n_seqs").alias("n_seqs"))
 
 
 def _frame_marks(df: DataFrame, strands: str) -> DataFrame:
-    """Start and stop codons with the next stop of their frame."""
-    up = F.upper("seq")
-    texts = [F.struct(F.lit("+").alias("strand"), up.alias("seq"))]
+    """Start and stop codons with the next stop of their frame; ``seq`` is upper case."""
+    texts = [F.struct(F.lit("+").alias("strand"), F.col("seq"))]
     if "-" in strands:
-        texts.append(F.struct(F.lit("-").alias("strand"), dna.reverse_complement(up).alias("seq")))
+        texts.append(F.struct(F.lit("-").alias("strand"), dna.reverse_complement("seq").alias("seq")))
     both = df.select("seq_id", F.explode(F.array(*texts)).alias("s")).select("seq_id", "s.strand", "s.seq")
     marks = (
         tiles.kmer_rows(both, 3)
@@ -180,18 +227,88 @@ def _frame_marks(df: DataFrame, strands: str) -> DataFrame:
     return scan.running(marks, keys, ["start"], "_block", [("stop", "_stop", "min", "after")]).where(F.col("_stop").isNull())
 
 
+def _codon_kinds() -> np.ndarray:
+    """1 for ATG, 2 for stops, 0 for any other codon, by 25 a + 5 b + c (A, C, G, T, any other letter)."""
+    out = np.zeros(125, np.int8)
+    for codon in ("ATG", *STOPS):
+        a, b, c = ("ACGT".index(x) for x in codon)
+        out[25 * a + 5 * b + c] = 1 if codon == "ATG" else 2
+    return out
+
+
+def _base_codes(pairs: dict[str, str]) -> np.ndarray:
+    out = np.full(256, 4, np.int64)
+    for x, y in pairs.items():
+        out[ord(x)] = "ACGT".index(y)
+    return out
+
+
+_FORWARD = _base_codes({x: x for x in "ACGT"})
+_TURNED = _base_codes({x: y for x, y in zip(T.COMPLEMENT_FROM, T.COMPLEMENT_TO, strict=True) if y in "ACGT"})
+
+
+def _outermost(rows: letters.Rows, strands: str) -> tuple[np.ndarray, ...]:
+    """Row, strand, frame (0 to 2), start and stop (-1: none follows) of the outermost ATG before every stop and after the last."""
+    kinds, text, each = _codon_kinds(), letters.one_byte(rows.text), rows.each()
+    parts = []
+    for strand in strands:
+        code = (_FORWARD if strand == "+" else _TURNED)[text]
+        if len(code) < 3:
+            continue
+        a, c = (code[:-2], code[2:]) if strand == "+" else (code[2:], code[:-2])
+        kind = kinds[25 * a + 5 * code[1:-1] + c]
+        kind[each[:-2] != each[2:]] = 0
+        at = np.flatnonzero(kind)
+        row, mark = each[at], kind[at]
+        pos = at - rows.first[row]
+        if strand == "-":
+            pos = rows.size[row] - 3 - pos
+        # codons of one frame in falling order of place: the last stop seen is the next one
+        lane = row * 3 + pos % 3
+        order = np.lexsort((-pos, lane))
+        lane, pos, row, mark = lane[order], pos[order], row[order], mark[order]
+        spot = np.maximum.accumulate(np.where(mark == 2, np.arange(len(mark)), -1))
+        has = (spot >= 0) & (lane[spot] == lane) if len(mark) else np.zeros(0, bool)
+        stop = np.where(has, pos[spot], -1) if len(mark) else pos
+        start = mark == 1
+        lane, pos, row, stop = lane[start], pos[start], row[start], stop[start]
+        # of starts with one stop, the last in falling order is the outermost
+        last = np.append((lane[1:] != lane[:-1]) | (stop[1:] != stop[:-1]), True)[: len(lane)]
+        parts.append((row[last], np.full(int(last.sum()), strand), pos[last] % 3, pos[last], stop[last]))
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _outer_frames(df: DataFrame, strands: str, least: int | None) -> DataFrame:
+    """The outermost start per stop with ``least`` letters or more, stop included; ``least`` None: those that no stop follows.
+
+    Frames of a sequence are found where it is read; only very long ones and
+    repeated ids are tiled and scanned over a shuffle.
+    """
+    once, rest = letters.alone(df.select("seq_id", F.upper("seq").alias("seq")), "seq_id", "seq")
+
+    def find(rows: letters.Rows) -> tuple[np.ndarray, dict]:
+        row, strand, frame, start, stop = _outermost(rows, strands)
+        wanted = np.flatnonzero(stop < 0 if least is None else (stop >= 0) & (stop + 3 - start >= least))
+        return row[wanted], {
+            "strand": strand[wanted].tolist(), "frame": (frame[wanted] + 1).astype(np.int32), "start": start[wanted],
+            "stop": pa.array(stop[wanted], mask=stop[wanted] < 0),
+        }
+
+    found = letters.mapped(once, find, "seq_id", "seq", "strand string, frame int, start long, stop long")
+    far = _frame_marks(rest, strands).groupBy("seq_id", "strand", "frame", "stop").agg(F.min("start").alias("start"))
+    far = far.where("stop is null" if least is None else F.col("stop") + 3 - F.col("start") >= least)
+    return found.unionByName(far)
+
+
 def longest_orf(df: DataFrame, min_len: int = 30, table: int = 1) -> DataFrame:
     """Longest ATG..stop of the three forward frames; the first wins a tie.
 
     Stops are TAA, TAG and TGA for every genetic code; ``length`` includes the
     stop codon and ``end`` is exclusive.  Letters are upper-cased first.
     """
-    found = (
-        _frame_marks(df, "+")
-        .where(F.col("stop").isNotNull())
-        .withColumn("length", F.col("stop") - F.col("start") + 3)
-        .where(F.col("length") >= min_len)
-    )
+    found = _outer_frames(df, "+", min_len).withColumn("length", F.col("stop") - F.col("start") + 3)
     best = found.groupBy("seq_id").agg(F.min(F.struct((-F.col("length")).alias("neg"), "frame", "start", "stop")).alias("b"))
     joined = df.select("seq_id", "seq").join(best, "seq_id")
     length = (-F.col("b.neg")).cast("int")
@@ -210,14 +327,8 @@ def all_orfs(df: DataFrame, min_len: int = 90, table: int = 11, proteins: bool =
 
     Minus-strand coordinates refer to the reverse complement.
     """
-    keys = ["seq_id", "strand", "frame", "stop"]
-    found = (
-        _frame_marks(df, "+-")
-        .where(F.col("stop").isNotNull())
-        .groupBy(*keys)
-        .agg(F.min("start").alias("start"))
-        .select("seq_id", "strand", "frame", "start", (F.col("stop") + 3).alias("end"), (F.col("stop") + 3 - F.col("start")).alias("length_nt"))
-        .where(F.col("length_nt") >= min_len)
+    found = _outer_frames(df, "+-", min_len).select(
+        "seq_id", "strand", "frame", "start", (F.col("stop") + 3).alias("end"), (F.col("stop") + 3 - F.col("start")).alias("length_nt")
     )
     if not proteins:
         return found
@@ -232,7 +343,7 @@ def all_orfs(df: DataFrame, min_len: int = 90, table: int = 11, proteins: bool =
 
 def truncated_orfs(df: DataFrame) -> DataFrame:
     """Per strand and frame, the outermost start that no stop follows."""
-    return _frame_marks(df, "+-").where(F.col("stop").isNull()).groupBy("seq_id", "strand", "frame").agg(F.min("start").alias("start"))
+    return _outer_frames(df, "+-", None).select("seq_id", "strand", "frame", "start")
 
 
 def seq_qc(df: DataFrame) -> DataFrame:
