@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
 from strandframe.operators.sequence import match_starts
-from strandframe.plans import scan, tiles
+from strandframe.plans import letters, scan, tiles
 
 
 def missing_enzymes(df: DataFrame, enzymes: dict | None = None) -> DataFrame:
@@ -18,6 +19,20 @@ def missing_enzymes(df: DataFrame, enzymes: dict | None = None) -> DataFrame:
     return df.select("enzyme").distinct().where(~F.col("enzyme").isin(known))
 
 
+def _probes(names: Sequence[str], table: dict) -> list[tuple[str, str, str, int]]:
+    """Name, site, letters to look for and top cut offset; both strands of sites that are not palindromes."""
+    probes = []
+    for name, (site, top, *bottom) in {n: table[n] for n in names if n in table}.items():
+        m = len(site)
+        below = bottom[0] if bottom else m - top
+        read = site.upper().replace("U", "T")
+        probes.append((name, site, read, top))
+        back = T.reverse_complement_text(site)
+        if back != site:
+            probes.append((name, site, back.upper().replace("U", "T"), m - below))
+    return probes
+
+
 def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = True, enzymes: dict | None = None) -> DataFrame:
     """One row per cut: ``cut`` is the 1-based first base after the cut.
 
@@ -27,15 +42,7 @@ def cut_rows(df: DataFrame, names: Sequence[str] | None = None, linear: bool = T
     one do not happen.
     """
     table = enzymes or T.ENZYMES
-    chosen = {n: table[n] for n in (names or table) if n in table}
-    probes = []
-    for name, (site, top, *bottom) in chosen.items():
-        m = len(site)
-        below = bottom[0] if bottom else m - top
-        probes.append((name, site, T.iupac_pattern(site), top))
-        back = T.reverse_complement_text(site)
-        if back != site:
-            probes.append((name, site, T.iupac_pattern(back), m - below))
+    probes = [(name, site, T.iupac_pattern(read), off) for name, site, read, off in _probes(names or table, table)]
     longest = max(len(s) for _, s, _, _ in probes)
     text = F.translate(F.upper("seq"), "U", "T")
     n = F.length("seq")
@@ -70,6 +77,42 @@ def restriction_sites(df: DataFrame, names: Sequence[str] | None = None, linear:
 
 def digest_fragments(df: DataFrame, names: Sequence[str], linear: bool = True, enzymes: dict | None = None) -> DataFrame:
     """Fragments of a combined digest: n+1 pieces when linear, n when circular."""
+    if linear:
+        once, rest = letters.alone(df.select("seq_id", F.translate(F.upper("seq"), "U", "T").alias("seq")), "seq_id", "seq")
+        found = letters.mapped(once, _linear_pieces(names, enzymes or T.ENZYMES), "seq_id", "seq", "start long, end long, size long")
+        return found.unionByName(_scanned_fragments(rest, names, True, enzymes))
+    return _scanned_fragments(df, names, False, enzymes)
+
+
+def _linear_pieces(names: Sequence[str], table: dict):
+    """Pieces of whole texts: every probe is compared at all places of a slice together."""
+    probes = _probes(names, table)
+    letter = {x: np.isin(np.arange(256), [ord(b) for b in T.IUPAC_BASES[x]]) for _, _, pattern, _ in probes for x in pattern}
+
+    def find(rows: letters.Rows) -> tuple[np.ndarray, dict]:
+        text, each = letters.one_byte(rows.text), rows.each()
+        cuts = []
+        for _, _, pattern, off in probes:
+            m = len(pattern)
+            if len(text) < m:
+                continue
+            hit = each[: len(text) - m + 1] == each[m - 1 :]
+            for j, x in enumerate(pattern):
+                hit &= letter[x][text[j : len(text) - m + 1 + j]]
+            at = np.flatnonzero(hit)
+            cut = at - rows.first[each[at]] + off
+            inside = (cut > 0) & (cut < rows.size[each[at]])
+            cuts.append(rows.first[each[at[inside]]] + cut[inside])
+        # a piece starts at every text that has letters and at every cut
+        start = np.unique(np.concatenate([rows.first[rows.size > 0], *cuts]))
+        row = each[start]
+        end = np.append(start[1:], len(text)) if len(start) else start
+        return row, {"start": start - rows.first[row] + 1, "end": end - rows.first[row], "size": end - start}
+
+    return find
+
+
+def _scanned_fragments(df: DataFrame, names: Sequence[str], linear: bool, enzymes: dict | None) -> DataFrame:
     cuts = cut_rows(df, names, linear, enzymes).select("seq_id", "seq_length", "cut").distinct()
     marked = cuts.withColumn("_block", scan.width_block("cut", 1 << 16))
     stepped = scan.running(marked, ["seq_id"], ["cut"], "_block", [("_prev", "cut", "max", "before")])
