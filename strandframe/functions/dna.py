@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from strandframe.functions import tables as T
+from strandframe.plans import letters
 
 ColumnOrName = str | Column
 
@@ -100,6 +103,15 @@ def _mass(seq: Column, masses: dict[str, float]) -> Column:
     return F.when((n > 0) & (known == n), F.floor((units + 50) / 100) / 100)
 
 
+def mass_of_counts(counts: ColumnOrName, length: Column, masses: dict[str, float]) -> Column:
+    """As :func:`protein_mass`, from the :func:`letter_counts` of an upper-case text."""
+    count = lambda x: F.get(counts, F.lit(ord(x) - 65)).cast("long")
+    total = sum((count(x) * F.lit(round(m * 10000)) for x, m in masses.items()), F.lit(0).cast("long"))
+    known = sum((count(x) for x in masses), F.lit(0).cast("long"))
+    units = total - (length - 1).cast("long") * F.lit(round(T.WATER_MASS * 10000))
+    return F.when((length > 0) & (known == length), F.floor((units + 50) / 100) / 100)
+
+
 def protein_mass(seq: ColumnOrName) -> Column:
     """Average mass in dalton, null when a residue is unknown."""
     return _mass(F.upper(_c(seq)), T.RESIDUE_MASS)
@@ -115,23 +127,61 @@ def wallace_temperature(seq: ColumnOrName) -> Column:
     return (letter_count(up, "ATW") * 2 + letter_count(up, "GCS") * 4).cast("double")
 
 
-def pair_energies(seq: ColumnOrName) -> tuple[Column, Column]:
-    """Arrays of neighbour enthalpy and entropy, one entry per adjacent pair."""
-    pairs = F.regexp_extract_all(F.upper(_c(seq)), F.lit("(?=(..))"), F.lit(1))
-    order = "ACGT"
+def letter_counts(seq: ColumnOrName) -> Column:
+    """Counts of the letters A to Z (as written) as an array of 26, all in one pass over the text."""
+
+    @F.pandas_udf("array<int>")
+    def run(texts: pd.Series) -> pd.Series:
+        found = [None if t is None else np.bincount(letters.one_byte(t), minlength=128)[65:91].astype(np.int32) for t in _texts(texts)]
+        return pd.Series(found, dtype=object)
+
+    return run(_c(seq))
+
+
+def _texts(given: pd.Series) -> list[str | None]:
+    return [t if isinstance(t, str) else None for t in given.tolist()]
+
 
-    def table(which: int) -> Column:
-        return F.array(*[F.lit(T.NEIGHBOUR_ENERGY[a + b][which]) for a in order for b in order])
+def pair_sums(seq: ColumnOrName) -> Column:
+    """Struct of summed neighbour enthalpy and entropy over adjacent pairs; pairs with a letter outside A, C, G, T have none."""
+    tenths = np.zeros((2, 25), np.int64)
+    code = np.full(256, 4, np.int64)
+    code[[ord(x) for x in "ACGT"]] = range(4)
+    for (x, y), both in T.NEIGHBOUR_ENERGY.items():
+        tenths[:, 5 * "ACGT".index(x) + "ACGT".index(y)] = [round(v * 10) for v in both]
 
-    def code(pair: Column) -> Column:
-        return (F.instr(F.lit(order), F.substring(pair, 1, 1)) - 1) * 4 + F.instr(
-            F.lit(order), F.substring(pair, 2, 1)
-        ) - 1
+    @F.pandas_udf("dh double, ds double")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sums = np.zeros((len(texts), 2))
+        for k, t in enumerate(_texts(texts)):
+            if t:
+                at = code[letters.one_byte(t)]
+                sums[k] = tenths @ np.bincount(5 * at[:-1] + at[1:], minlength=25) / 10
+        return pd.DataFrame({"dh": sums[:, 0], "ds": sums[:, 1]})
 
-    def look(which: int) -> Column:
-        return F.transform(pairs, lambda p: F.coalesce(F.get(table(which), code(p)), F.lit(0.0)))
+    return run(_c(seq))
 
-    return look(0), look(1)
+
+def frame_proteins(seq: ColumnOrName, table: int = 1) -> Column:
+    """Proteins of the three frames of a text without gaps, as an array; null for null."""
+    residues = np.frombuffer(T.degenerate_residues(table).encode(), np.uint8)
+    digit = np.zeros(256, np.int64)
+    for k, x in enumerate(T.IUPAC_ORDER):
+        digit[[ord(x), ord(x.lower())]] = k + 1
+    digit[[ord(x) for x in "Uu"]] = digit[ord("T")]
+
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        found = []
+        for t in _texts(texts):
+            if t is not None:
+                d = digit[letters.one_byte(t)]
+                read = residues[256 * d[:-2] + 16 * d[1:-1] + d[2:]].tobytes().decode() if len(d) > 2 else ""
+                t = [read[k::3] for k in range(3)]
+            found.append(t)
+        return pd.Series(found, dtype=object)
+
+    return run(_c(seq))
 
 
 def melting_from_sums(dh: Column, ds: Column, first: Column, last: Column, length: Column,
@@ -154,33 +204,42 @@ def melting_from_sums(dh: Column, ds: Column, first: Column, last: Column, lengt
 
 def neighbour_temperature(seq: ColumnOrName, sodium_mm: float = 50.0, strand_nm: float = 25.0) -> Column:
     up = F.regexp_replace(F.upper(_c(seq)), "[^ACGT]", "")
-    dh, ds = pair_energies(up)
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
+    sums = pair_sums(up)
     return F.when(
         F.length(up) > 1,
-        melting_from_sums(total(dh), total(ds), F.left(up, F.lit(1)), F.right(up, F.lit(1)), F.length(up), sodium_mm, strand_nm),
+        melting_from_sums(sums["dh"], sums["ds"], F.left(up, F.lit(1)), F.right(up, F.lit(1)), F.length(up), sodium_mm, strand_nm),
     )
 
 
 def to_three_letter(seq: ColumnOrName) -> Column:
     """One letter residues to three letter codes, ``Xaa`` where unknown."""
-    letters = "".join(T.THREE_LETTER)
-    names = F.array(*[F.lit(T.THREE_LETTER[x]) for x in letters])
-    parts = F.regexp_extract_all(_c(seq), F.lit("(?s)."), F.lit(0))
-    return F.array_join(
-        F.transform(parts, lambda ch: F.coalesce(F.get(names, F.instr(F.lit(letters), ch) - 1), F.lit("Xaa"))), ""
-    )
+    names = np.array([T.THREE_LETTER.get(chr(k), "Xaa").encode() for k in range(256)], "S3")
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else names[letters.one_byte(t)].tobytes().decode() for t in _texts(texts)], dtype=object)
+
+    return run(_c(seq))
 
 
 def to_one_letter(seq: ColumnOrName) -> Column:
     """Three letter codes back to one letter, ``X`` where unknown."""
-    names = F.array(*[F.lit(v) for v in T.THREE_LETTER.values()])
-    letters = F.array(*[F.lit(v) for v in T.THREE_LETTER])
-    parts = F.regexp_extract_all(_c(seq), F.lit("(?s)..."), F.lit(0))
-    return F.array_join(
-        F.transform(parts, lambda w: F.coalesce(F.get(letters, F.array_position(names, F.initcap(w)).cast("int") - 1), F.lit("X"))),
-        "",
-    )
+    one = {v: k for k, v in T.THREE_LETTER.items()}
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        seen: dict[str, str] = {}
+        found = []
+        for t in _texts(texts):
+            if t is not None:
+                words = [t[k : k + 3] for k in range(0, len(t) - len(t) % 3, 3)]
+                for w in set(words) - seen.keys():
+                    seen[w] = one.get(w[:1].upper() + w[1:].lower(), "X")
+                t = "".join([seen[w] for w in words])
+            found.append(t)
+        return pd.Series(found, dtype=object)
+
+    return run(_c(seq))
 
 
 def overlapping_positions(seq: ColumnOrName, pattern: str) -> Column:

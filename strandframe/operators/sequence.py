@@ -47,19 +47,14 @@ def seq_stats(df: DataFrame) -> DataFrame:
 
 def six_frame(df: DataFrame, table: int = 1) -> DataFrame:
     """One row per reading frame: three for RNA, six for DNA, none for proteins."""
-    forward = dna.known_bases("seq")
-    backward = dna.known_bases(dna.reverse_complement("seq"))
-    frames = F.explode(
-        F.when(F.col("_kind") == "rna", F.array(*[F.lit(f"+{i}") for i in (1, 2, 3)]))
-        .when(F.col("_kind") == "dna", F.array(*[F.lit(f"{s}{i}") for s in "+-" for i in (1, 2, 3)]))
-        .otherwise(F.array().cast("array<string>"))
-    )
-    rows = df.select("seq_id", dna.sequence_kind("seq").alias("_kind"), forward.alias("_f"), backward.alias("_b")).select(
-        "seq_id", "_f", "_b", frames.alias("frame")
+    kind = dna.sequence_kind("seq")
+    texts = df.select("seq_id", kind.alias("_kind"), dna.known_bases("seq").alias("_f"), dna.known_bases(dna.reverse_complement("seq")).alias("_b"))
+    # null where a strand has no frames
+    read = texts.select(
+        "seq_id", dna.frame_proteins(F.when(F.col("_kind") != "protein", F.col("_f")), table).alias("_f"), dna.frame_proteins(F.when(F.col("_kind") == "dna", F.col("_b")), table).alias("_b")
     )
-    strand = F.when(F.col("frame").startswith("+"), F.col("_f")).otherwise(F.col("_b"))
-    offset = F.substring("frame", 2, 1).cast("int")
-    return rows.select("seq_id", "frame", dna.translate(strand.substr(offset, F.length(strand)), table).alias("protein"))
+    named = [F.when(F.col(c).isNotNull(), F.struct(F.lit(f"{s}{i + 1}").alias("frame"), F.get(c, F.lit(i)).alias("protein"))) for c, s in (("_f", "+"), ("_b", "-")) for i in range(3)]
+    return read.select("seq_id", F.explode(F.array_compact(F.array(*named))).alias("p")).select("seq_id", "p.*")
 
 
 def residue_composition(df: DataFrame) -> DataFrame:
@@ -79,17 +74,19 @@ def protein_parameters(df: DataFrame) -> DataFrame:
     the pH of zero net charge, found by 50 bisection steps over
     Henderson-Hasselbalch charges (Bjellqvist pK values, general termini).
     """
-    up = F.upper(F.col("seq"))
     n = F.length("seq")
-    share = lambda letters: F.round(dna.letter_count(up, letters) / n, 6)
+    among = lambda letters: sum((F.get("_l", F.lit(ord(x) - 65)) for x in letters[1:]), F.get("_l", F.lit(ord(letters[0]) - 65)))
+    share = lambda letters: F.round(among(letters) / F.col("length"), 6)
     # pK of charged groups.
     positive = {"K": 10.0, "R": 12.0, "H": 5.98}
     negative = {"D": 4.05, "E": 4.45, "C": 9.0, "Y": 10.0}
-    counts = F.struct(*[dna.letter_count(up, x).cast("double").alias(x) for x in "KRHDECY"])
-    out = df.where(n > 0).select(
+    counts = F.struct(*[among(x).cast("double").alias(x) for x in "KRHDECY"])
+    # the letters of every text are counted once
+    counted = df.select("seq_id", n.alias("length"), dna.letter_counts(F.upper("seq")).alias("_l")).where("length > 0")
+    out = counted.select(
         "seq_id",
-        n.alias("length"),
-        dna.protein_mass("seq").alias("molecular_weight"),
+        "length",
+        dna.mass_of_counts("_l", F.col("length"), T.RESIDUE_MASS).alias("molecular_weight"),
         share("FWY").alias("aromaticity"),
         share("VIYFWL").alias("helix"),
         share("NPGS").alias("turn"),
@@ -131,11 +128,28 @@ def nucleic_parameters(df: DataFrame) -> DataFrame:
 
 def gc_skew(df: DataFrame, window: int = 100) -> DataFrame:
     """(G-C)/(G+C) of consecutive chunks with its running sum along the sequence."""
-    chunks = df.select("seq_id", F.posexplode(tiles.pieces("seq", window)).alias("chunk", "_t"))
+    once, rest = letters.alone(df.select("seq_id", "seq"), "seq_id", "seq")
+
+    def skews(rows: letters.Rows) -> tuple[np.ndarray, dict]:
+        text = letters.one_byte(rows.text)
+        per_row = -(-rows.size // window)
+        row = np.repeat(np.arange(len(per_row)), per_row)
+        chunk = np.arange(len(row)) - np.repeat(np.cumsum(per_row) - per_row, per_row)
+        at = rows.first[row] + chunk * window
+        g, c = (np.add.reduceat(np.isin(text, [ord(x) for x in both]).astype(np.int64), at) if len(at) else at for both in ("Gg", "Cc"))
+        # in units of 1e-4, halves away from zero
+        both = np.maximum(g + c, 1)
+        units = np.sign(g - c) * ((2 * np.abs(g - c) * 10000 + both) // (2 * both))
+        total = np.cumsum(units)
+        lead = (np.cumsum(per_row) - per_row)[row]
+        return row, {"chunk": chunk.astype(np.int32), "skew": units / 10000, "cumulative": (total - total[lead] + units[lead]) / 10000}
+
+    found = letters.mapped(once, skews, "seq_id", "seq", "chunk int, skew double, cumulative double")
+    chunks = rest.select("seq_id", F.posexplode(tiles.pieces("seq", window)).alias("chunk", "_t"))
     g, c = dna.letter_count("_t", "Gg"), dna.letter_count("_t", "Cc")
     skew = F.when(g + c > 0, F.round((g - c) / (g + c), 4)).otherwise(F.lit(0.0))
     rows = chunks.select("seq_id", "chunk", skew.alias("skew"), scan.width_block("chunk", _SPAN).alias("_block"))
-    return scan.running(rows, ["seq_id"], ["chunk"], "_block", [("cumulative", "skew", "sum", "upto")]).drop("_block")
+    return found.unionByName(scan.running(rows, ["seq_id"], ["chunk"], "_block", [("cumulative", "skew", "sum", "upto")]).drop("_block"))
 
 
 def kmer_count(df: DataFrame, k: int = 3, top: int = 10) -> DataFrame:

@@ -98,11 +98,11 @@ def mapped(df: DataFrame, work: Callable[[Rows], tuple[np.ndarray, dict]], key:
 
 def alone(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``key`` no other row has and whose text is handled whole, and the rest."""
-    short = F.coalesce(F.length(text) <= SLICE, F.lit(True))
-    many = cut_lineage(df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_many")))
-    if not many.take(1):
-        return df.where(short), df.where(~short)
-    same = F.col(key).eqNullSafe(F.col("_many"))
-    repeated = df.join(many, same, "left_semi")
-    once = df.join(many, same, "left_anti")
-    return once.where(short), once.where(~short).unionByName(repeated)
+    long = F.coalesce(F.length(text) > SLICE, F.lit(False))
+    odd = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max(long).alias("_long")).where("_n > 1 or _long")
+    odd = cut_lineage(odd.select(F.col(key).alias("_odd")))
+    if not odd.take(1):
+        # the usual case: nothing is left for the other way, which is planned away
+        return df, df.sparkSession.createDataFrame([], df.schema)
+    same = F.col(key).eqNullSafe(F.col("_odd"))
+    return df.join(odd, same, "left_anti"), df.join(odd, same, "left_semi")

@@ -69,3 +69,50 @@ def test_frames(rows):
                     opened[i, strand, f + 1] = start
     assert {tuple(r) for r in sequence.all_orfs(rows, 9).collect()} == closed and closed
     assert {tuple(r[:3]): r[3] for r in sequence.truncated_orfs(rows).collect()} == opened and opened
+
+
+def test_pieces_and_skew(rows):
+    from strandframe.operators import restriction
+
+    sites = {"One": ("GAT", 1), "Far": ("ATGR", 6), "Odd": ("TTT", 0)}
+    turned = [("GAT", 1), ("ATC", 1), ("ATGR", 6), ("YCAT", 6), ("TTT", 0), ("AAA", 0)]
+    bases = {"R": "AG", "Y": "CT"}
+    pieces, skews = set(), {}
+    for i, t in whole():
+        if i == 7:
+            continue
+        cuts = {p + off for s, off in turned for p in range(len(t) - len(s) + 1) if all(c in bases.get(x, x) for x, c in zip(s, t[p:]))}
+        edges = [0, *sorted(c for c in cuts if 0 < c < len(t)), len(t)]
+        pieces |= {(i, a + 1, b, b - a) for a, b in zip(edges, edges[1:]) if t}
+        total = 0.0
+        for chunk, p in enumerate(range(0, len(t), 4)):
+            g, c = t[p : p + 4].count("G"), t[p : p + 4].count("C")
+            skew = (g - c) / (g + c) if g + c else 0.0
+            total += round(skew, 4)
+            skews[i, chunk] = (pytest.approx(skew, abs=6e-5), pytest.approx(total, abs=1e-9))
+    got = {tuple(r) for r in restriction.digest_fragments(rows, list(sites), enzymes=sites).collect()}
+    assert {r for r in got if r[0] != 7} == pieces
+    assert {(r["seq_id"], r["chunk"]): (r["skew"], r["cumulative"]) for r in sequence.gc_skew(rows, 4).where("seq_id <> 7").collect()} == skews
+
+
+def test_counts_and_codes(spark):
+    from pyspark.sql import functions as F
+
+    from strandframe.functions import dna
+
+    df = spark.createDataFrame([("ARNé*?",), ("",), (None,), ("WW",)], "seq string")
+    r = df.select(dna.letter_counts("seq"), dna.to_three_letter("seq"), dna.to_one_letter(F.lit("alaARGxyzTe")), dna.pair_sums("seq")).collect()
+    assert sum(r[0][0]) == 3 and r[0][0][0] == 1 and r[3][0][22] == 2 and sum(r[1][0]) == 0 and r[2][0] is None
+    assert [x[1] for x in r] == ["AlaArgAsnXaaTerXaa", "", None, "TrpTrp"] and r[0][2] == "ARX" and r[0][3]["dh"] == 0
+    got = spark.createDataFrame([("ACGTNA",)], "s string").select(dna.pair_sums("s").alias("p"), dna.frame_proteins("s").alias("f")).first()
+    assert (got["p"]["dh"], got["p"]["ds"]) == (-8.4 - 10.6 - 8.4, -22.4 - 27.2 - 22.4) and got["f"] == ["TX", "R", "V"]
+
+
+def test_motif_windows_end_with_their_row(spark):
+    from strandframe.operators import alignment as A
+
+    weights = [("m", p, x, 1.0 if x == "ACG"[p] else -1.0) for p in range(3) for x in "ACGT"]
+    motif = spark.createDataFrame(weights, "motif_id string, pos int, letter string, weight double")
+    df = spark.createDataFrame([(1, "TTAC"), (2, "GACG"), (3, ""), (4, "acgNCGT"), (5, "AC")], "seq_id long, seq string").coalesce(1)
+    got = {tuple(r) for r in A.motif_scan(df, motif, 3.0, both_strands=True).select("seq_id", "pos", "strand").collect()}
+    assert got == {(2, 1, "+"), (4, 0, "+"), (4, 4, "-")}
