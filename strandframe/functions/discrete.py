@@ -135,6 +135,27 @@ class Drawn:
         return np.where(self.log_p(self.mode) <= limit, 1.0, np.minimum(1.0, out))
 
 
+def binomial_two_sided(x: np.ndarray, n: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Twice the smaller of P(X >= x) and P(X <= x), at most 1, for whole 0 <= x <= n and 0 < p < 1.
+
+    The tail away from the mode is summed; it is the smaller one or the other is above one half.
+    """
+    x, n, p = (np.asarray(v, float) for v in (x, n, p))
+    up = x > n * p
+    log_odds = np.log(p) - np.log1p(-p)
+    out = np.zeros(len(x))
+    for side in (True, False):
+        rows = np.flatnonzero(up == side)
+        m, odds = n[rows], log_odds[rows]
+        ratio = lambda live, k, m=m, odds=odds: np.log(m[live, None] - k) - np.log(k + 1) + odds[live, None]
+        some = log_side(x[rows], np.zeros(len(rows)), m, ratio, side, np.ones(len(rows), bool))
+        own = log_binomial(x[rows], m, p[rows])
+        near, point = np.exp(own + some), np.exp(own)
+        # the other side holds the rest and this count
+        out[rows] = np.minimum(1.0, 2 * np.minimum(near, 1 - near + point))
+    return out
+
+
 def _on_rows(test: Callable[..., np.ndarray], *columns: pd.Series) -> pd.Series:
     given = np.stack([c.to_numpy(float, na_value=np.nan) for c in columns])
     out = np.full(given.shape[1], np.nan)
@@ -161,3 +182,13 @@ def hyper_upper(hits: Column, drawn: Column, marked: Column, whole: Column) -> C
 def fisher_two_sided(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided exact p of a 2 x 2 table of counts; null where a count is."""
     return _column(lambda a, b, c, d: Drawn(a + b, a + c, a + b + c + d).two_sided(a), a, b, c, d)
+
+
+def binomial_smaller_tail(hits: Column, trials: Column, share: Column) -> Column:
+    """Two-sided p of :func:`binomial_two_sided`; a share of 0 or 1 gives 1 where its only count is seen, else 0."""
+    def test(x: np.ndarray, n: np.ndarray, p: np.ndarray, _: np.ndarray) -> np.ndarray:
+        sure = (p <= 0) | (p >= 1)
+        only = np.where(p <= 0, x == 0, x == n).astype(float)
+        return np.where(sure, only, binomial_two_sided(x, n, np.where(sure, 0.5, p)))
+
+    return _column(test, hits, trials, share, F.lit(0.0))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
+from strandframe.functions.discrete import binomial_smaller_tail
 from strandframe.operators.hypothesis import bh_fdr
 from strandframe.plans import scan
 from strandframe.plans.storage import cut_lineage, spread_rows
@@ -263,7 +264,5 @@ def exact_two_sample(counts: DataFrame, a, b) -> DataFrame:
     ).where(F.col("xa") + F.col("xb") > 0)
     j = spread_rows(per).join(F.broadcast(lib), F.lit(True)).withColumn("share", F.col("la") / (F.col("la") + F.col("lb")))
     xa, n, s = F.col("xa"), F.col("xa") + F.col("xb"), F.col("share")
-    ge = F.when(xa > 0, D.beta_inc(F.greatest(xa, F.lit(1)), n - xa + 1, s)).otherwise(F.lit(1.0))
-    le = F.when(xa < n, D.beta_inc(F.greatest(n - xa, F.lit(1)), xa + 1, 1 - s)).otherwise(F.lit(1.0))
-    out = j.select("gene", "xa", "xb", F.log2(((xa + 0.5) / F.col("la")) / ((F.col("xb") + 0.5) / F.col("lb"))).alias("log2FoldChange"), F.least(F.lit(1.0), 2 * F.least(ge, le)).alias("p"))
+    out = j.select("gene", "xa", "xb", F.log2(((xa + 0.5) / F.col("la")) / ((F.col("xb") + 0.5) / F.col("lb"))).alias("log2FoldChange"), binomial_smaller_tail(xa, n, s).alias("p"))
     return bh_fdr(cut_lineage(out), "p", out="padj")
