@@ -32,7 +32,7 @@ PACKED = "bucket long, run long, packed binary"
 
 def merge(runs: list[np.ndarray]) -> np.ndarray:
     """One sorted run of sorted runs: a stable merge by the first digest word, then equal digests become one record."""
-    cat = np.concatenate(runs)
+    cat = np.concatenate(runs, dtype=RECORD)  # which by itself would turn the digests to the machine's byte order
     words = cat["digest"].astype(np.uint64)
     order = np.argsort(words[:, 0], kind="stable")
     tied = words[order[1:], 0] == words[order[:-1], 0]

@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 from itertools import permutations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,23 @@ def test_exact_copies(docs, rows, fan, monkeypatch):
     assert Counter(tuple(r) for r in exact_dedup.exact_copies(docs, fan=fan).collect()) == want
 
 
+@pytest.mark.parametrize("parts", [1, 16, 17, 40, 300])
+def test_exact_copies_rounds(spark, parts):
+    """Any number of merge rounds: one for up to 16 runs, two up to 256, three beyond."""
+    docs = spark.range(0, 1200, 1, parts).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 500).alias("text"))
+    want = Counter((i, i % 500, 3 if i % 500 < 200 else 2, i < 500, digest(f"text{i % 500}")) for i in range(1200))
+    assert Counter(tuple(r) for r in exact_dedup.exact_copies(docs).collect()) == want
+
+
+def test_merge_keeps_digest_bytes():
+    rows = np.zeros(2, exact_dedup.RECORD)
+    rows["digest"] = np.frombuffer(bytes(range(64)), ">u8").reshape(-1, 4)
+    rows["rows"] = 1
+    once = exact_dedup.merge([rows])
+    assert once.tobytes() == rows.tobytes()
+    assert exact_dedup.merge([once, once])["digest"].tobytes() == rows["digest"].tobytes()
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert filter_audit.audited(empty, labels).count() == 0
