@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.functions import distributions as D
-from strandframe.operators import alignment, enrichment, expression, hypothesis, microbiome, phylogeny, structure, survival
+from strandframe.operators import alignment, enrichment, expression, hypothesis, microbiome, pairwise, phylogeny, structure, survival
 from strandframe.plans import scan
 
 
@@ -241,6 +241,41 @@ def test_alignment_texts(spark, mode):
     assert alignment.pairwise_align(pairs.limit(0), mode).count() == 0
 
 
+def test_alignment_groups():
+    """Pairs of every length run in few groups, hold the cell budget and leave few cells beyond the ends of texts."""
+    rnd = random.Random(10)
+    sizes = [(k, rnd.randint(0, 900), rnd.randint(0, 900)) for k in range(1000)]
+    whole = {k: (n, m) for k, n, m in sizes}
+    some = list(pairwise.groups(sizes, 1 << 24))
+    assert sorted(k for g in some for k in g) == list(whole) and len(some) < 60
+    cells = [sum(whole[k][0] + 1 for k in g) * (max(whole[k][1] for k in g) + 1) for g in some]
+    assert max(cells) <= 1 << 24 and sum(cells) < 1.2 * sum((n + 1) * (m + 1) for n, m in whole.values())
+    assert list(pairwise.groups([], 9)) == [] and list(pairwise.groups([(7, 50, 50)], 9)) == [[7]]
+
+
+@pytest.mark.parametrize("local", [False, True])
+@pytest.mark.parametrize("scores", [{}, {"match": 1.5, "mismatch": -0.75, "open_gap": -2.25, "extend_gap": -0.5}, {"match": 900, "mismatch": -700, "open_gap": -2000, "extend_gap": -40}, {"match": 1, "mismatch": 1, "open_gap": -1, "extend_gap": 0}])
+def test_alignment_together(local, scores):
+    """A pair has the same path alone as beside longer and shorter ones, and beside letters of many kinds."""
+    rnd = random.Random(12)
+    word = lambda letters, most: "".join(rnd.choices(letters, k=rnd.randint(0, most)))
+    for letters in ("AC", "".join(map(chr, range(48, 300)))):
+        aligner = pairwise.Aligner(pairwise.Scores(**scores), local)
+        texts = [(word(letters, 60), word(letters, 80)) for _ in range(50)] + [("", ""), ("A", ""), ("", "AC")]
+        xs, ys = ([aligner.s.codes(v) for v in side] for side in zip(*texts))
+        for x, y, (*place, steps) in zip(xs, ys, aligner.batch(xs, ys)):
+            (*alone, walked), = aligner.batch([x], [y])
+            assert place == alone and steps.tolist() == walked.tolist()
+            if len(steps):
+                assert aligner._scored(x[place[1] : place[2]], y[place[3] : place[4]], place[1], place[3], steps)[0] == pytest.approx(place[0])
+
+
+def test_alignment_whole_scores_are_small():
+    """Whole scores run in the smallest integers that hold them, others as doubles."""
+    kind = lambda n, **scores: pairwise.Aligner(pairwise.Scores(**scores), False)._numbers(n, n, -3.0, -3.0)[0]
+    assert [kind(400), kind(4000), kind(400, match=1e9), kind(400, match=0.5)] == [np.int16, np.int32, np.float64, np.float64]
+
+
 def test_alignment_matrix(spark):
     matrix = {("W", "W"): 11, ("A", "A"): 4, ("A", "W"): -3, ("A", "G"): 0, ("G", "G"): 6}
     pairs = spark.createDataFrame([(1, "AWGA", "AWA"), (2, "XA", "XA")], "pair_id int, a string, b string")
