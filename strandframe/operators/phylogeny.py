@@ -9,9 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandframe.plans import skew
 from strandframe.plans.storage import cut_lineage
 
 KEY = ["tree_id", "node"]
+#: Pairs at one node beyond which they are spread over several tasks.
+HOT_PAIRS = 1 << 17
 
 
 def terminals(edges: DataFrame) -> DataFrame:
@@ -81,12 +84,23 @@ def patristic_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """Most recent common ancestor and path length for pairs ``(tree_id, a, b)``; pairs with an unknown node are left out.
 
     The deeper node is lifted to the level of the other, then both are lifted
-    while their ancestors differ: two joins per power of two of the depth.
+    while their ancestors differ: two joins per power of two of the depth.  Pairs
+    meet on few nodes near the root, so those of one node are salted.
     """
     table = jumps(edges)
     depth = cut_lineage(tree_depths(edges))
     side = lambda n: depth.select("tree_id", F.col("node").alias(n), F.col("level").alias(f"_l{n}"), F.col("depth").alias(f"_d{n}"))
-    known = pairs.select("tree_id", "a", "b").distinct().join(side("a"), ["tree_id", "a"]).join(side("b"), ["tree_id", "b"])
+
+    def onto(left: DataFrame, right: DataFrame, node: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+        """``left`` joined to ``right`` on a node; ``counted``: stored rows that hold the node as often."""
+        keys = ["tree_id", node]
+        if few:
+            return left.join(right, keys, how)
+        return skew.salted_join(left, right, keys, ["a", "b"], HOT_PAIRS, how, skew.hot_keys(left if counted is None else counted, keys, HOT_PAIRS))
+
+    given = cut_lineage(pairs.select("tree_id", "a", "b").distinct())
+    few = given.count() <= HOT_PAIRS
+    known = onto(onto(given, side("a"), "a"), side("b"), "b", counted=given)
     deep = F.col("_la") >= F.col("_lb")
     now = cut_lineage(known.select(
         "tree_id", "a", "b", (F.col("_da") + F.col("_db")).alias("_sum"), F.when(deep, F.col("a")).otherwise(F.col("b")).alias("_u"),
@@ -95,16 +109,18 @@ def patristic_distance(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     up = lambda k, n: table[k].select("tree_id", F.col("node").alias(n), F.col("anc").alias(f"{n}_up"))
     for k in reversed(range(len(table))):
         bit = F.col("_gap").bitwiseAND(1 << k) > 0
-        lifted = now.where(bit).join(up(k, "_u"), ["tree_id", "_u"]).withColumn("_u", F.col("_u_up")).select(*now.columns)
+        lifted = onto(now.where(bit), up(k, "_u"), "_u").withColumn("_u", F.col("_u_up")).select(*now.columns)
         now = cut_lineage(now.where(~bit).unionByName(lifted))
     for k in reversed(range(len(table))):
-        far = now.where("_u <> _v").join(up(k, "_u"), ["tree_id", "_u"], "left").join(up(k, "_v"), ["tree_id", "_v"], "left")
+        apart = now.where("_u <> _v")
+        far = onto(onto(apart, up(k, "_u"), "_u", "left"), up(k, "_v"), "_v", "left", counted=apart)
         move = F.coalesce(F.col("_u_up") != F.col("_v_up"), F.lit(False))
         far = far.withColumns({"_u": F.when(move, F.col("_u_up")).otherwise(F.col("_u")), "_v": F.when(move, F.col("_v_up")).otherwise(F.col("_v"))}).select(*now.columns)
         now = cut_lineage(now.where("_u = _v").unionByName(far))
-    met = now.join(up(0, "_u"), ["tree_id", "_u"], "left").withColumn("mrca", F.when(F.col("_u") == F.col("_v"), F.col("_u")).otherwise(F.col("_u_up")))
+    met = onto(now, up(0, "_u"), "_u", "left").select("tree_id", "a", "b", "_sum", F.when(F.col("_u") == F.col("_v"), F.col("_u")).otherwise(F.col("_u_up")).alias("mrca"))
+    met = met if few else cut_lineage(met)
     top = depth.select("tree_id", F.col("node").alias("mrca"), F.col("depth").alias("_top"))
-    return met.join(top, ["tree_id", "mrca"]).select("tree_id", "a", "b", "mrca", (F.col("_sum") - 2 * F.col("_top")).alias("distance"))
+    return onto(met, top, "mrca").select("tree_id", "a", "b", "mrca", (F.col("_sum") - 2 * F.col("_top")).alias("distance"))
 
 
 def prune(edges: DataFrame, keep: DataFrame) -> DataFrame:

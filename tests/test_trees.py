@@ -148,3 +148,24 @@ def test_prune_of_a_chain(spark):
     edges = spark.range(1, 3000).selectExpr("'t' as tree_id", "concat('v', id) as child", "concat('v', id - 1) as parent", "1.0D as blen")
     kept = P.prune(edges, spark.createDataFrame([("t", "v2999"), ("t", "v1500")], "tree_id string, node string"))
     assert {(r.child, r.parent, r.blen) for r in kept.collect()} == {("v2999", "v1500", 1499.0), ("v1500", "v0", 1500.0)}
+
+
+def test_patristic_distance_spreads_hot_nodes(spark, monkeypatch):
+    """Nearly all pairs meet at one node; their joins still deal them over the tasks."""
+    monkeypatch.setattr(P, "HOT_PAIRS", 200, raising=False)
+    edges = [("t", f"r{k}", "root", 1.0) for k in range(3)] + [("t", f"c{k}", f"r{k % 3}", 2.0) for k in range(300)]
+    pairs = [("t", f"c{k % 300}", f"c{(k * 7 + k // 300) % 300}") for k in range(6000)]
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in conf.items():
+        spark.conf.set(key, value)
+    try:
+        found = P.patristic_distance(spark.createDataFrame(edges, "tree_id string, child string, parent string, blen double"), spark.createDataFrame(pairs, "tree_id string, a string, b string"))
+        parts = [len(p) for p in found.rdd.glom().collect()]
+        got = {(r.a, r.b): (r.mrca, r.distance) for r in found.collect()}
+    finally:
+        for key in conf:
+            spark.conf.unset(key)
+    group = lambda c: int(c[1:]) % 3
+    want = {(a, b): (a, 0.0) if a == b else (f"r{group(a)}", 4.0) if group(a) == group(b) else ("root", 6.0) for _, a, b in pairs}
+    assert got == want and sum(parts) == len(want)
+    assert max(parts) < len(want) / 2
