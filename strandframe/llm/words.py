@@ -30,6 +30,20 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WordIndex(dict):
+    """word -> its number, kept for the words of one batch, so that several hashes need one look-up of each word."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+    def hashes(self, seed: int) -> np.ndarray:
+        return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in self), np.uint64, len(self))
+
+
 def scramble(x: np.ndarray) -> np.ndarray:
     """Bijective mixing of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
